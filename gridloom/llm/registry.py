@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chunk_reuse import op2
 from .matroska import op5
 from .packing import op9
+from .quality import op4
 from .secrets import op7
 from .sharding import op1
 from .wavelet import op10
@@ -12,6 +13,7 @@ from .wavelet import op10
 QUERIES = {
     "op1_hash_tree_sharding": op1,
     "op2_bpe_chunk_reuse": op2,
+    "op4_attention_quality": op4,
     "op5_matroska": op5,
     "op7_credential_linking": op7,
     "op9_grouping_genetic_packing": op9,
