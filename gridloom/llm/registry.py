@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chunk_reuse import op2
 from .matroska import op5
+from .minhash import op3
 from .packing import op9
 from .quality import op4
 from .secrets import op7
@@ -13,6 +14,7 @@ from .wavelet import op10
 QUERIES = {
     "op1_hash_tree_sharding": op1,
     "op2_bpe_chunk_reuse": op2,
+    "op3_minhash_near_dedup": op3,
     "op4_attention_quality": op4,
     "op5_matroska": op5,
     "op7_credential_linking": op7,
