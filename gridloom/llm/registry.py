@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .backoff import OP8_SQL, op8
 from .chunk_reuse import op2
 from .matroska import op5
 from .minhash import op3
+from .mtree import OP6_SQL, op6
 from .packing import op9
 from .quality import op4
 from .secrets import op7
@@ -17,9 +19,14 @@ QUERIES = {
     "op3_minhash_near_dedup": op3,
     "op4_attention_quality": op4,
     "op5_matroska": op5,
+    "op6_mtree_topk": op6,
     "op7_credential_linking": op7,
+    "op8_stupid_backoff": op8,
     "op9_grouping_genetic_packing": op9,
     "op10_wavelet_matrix": op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mtree_topk": OP6_SQL,
+    "op8_stupid_backoff": OP8_SQL,
+}
