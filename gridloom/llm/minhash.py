@@ -158,7 +158,7 @@ def _sign(words: int, bands: int, rows: int):
                 ends.append(ends[-1] + (bands if len(found) else 0))
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), lists], ["doc_id", "text_hash", "n", "h1", "h2", "keys"])
 
     return run
 
@@ -203,23 +203,46 @@ def _confirm(threshold: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame, words: int, threshold: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, n, group, component_id) with shingles, and rows (doc_id, text_hash, n) without."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = checkpoint(docs.mapInArrow(_sign(words, bands, rows), "doc_id long, n long, h1 long, h2 long, keys array<long>"))
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = checkpoint(named.mapInArrow(_sign(words, bands, rows), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
     some = signed.where("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
     component = checkpoint(_components(docs, classes, words, threshold))
-    named = classes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    leasts = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.join(leasts, "component").select("h1", "h2", "component_id")
-    grouped = some.select("doc_id", "n", "h1", "h2").join(names, ["h1", "h2"])
-    alone = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = grouped.select("doc_id", "n", "component_id").unionByName(alone)
+    owned = classes.join(component, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("group"))
+    leasts = owned.groupBy("group").agg(F.min("least").alias("component_id"))
+    names = owned.join(leasts, "group").select("h1", "h2", "group", "component_id")
+    grouped = some.select("doc_id", "text_hash", "n", "h1", "h2").join(names, ["h1", "h2"]).drop("h1", "h2")
+    return grouped, signed.where("n = 0").select("doc_id", "text_hash", "n")
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+    grouped, alone = _grouped(docs, words, threshold, bands, rows)
+    out = grouped.select("doc_id", "n", "component_id").unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, words: int = SHINGLE, threshold: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each group the one with the least doc_id.
+
+    Rows equal in doc_id and text count as one.
+    """
+    grouped, alone = _grouped(docs, words, threshold, bands, rows)
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
+    stay = checkpoint(first.select("x.doc_id", "x.text_hash").unionByName(alone.select("doc_id", "text_hash").distinct()))
+    stay = stay.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
+    sent = F.broadcast(stay) if stay.count() <= SENT_IDS else stay
+    key = F.xxhash64(F.col("text").cast("string"))
+    out = docs.join(sent, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (key == F.col("__hash")), "left_semi")
+    every = grouped.select("doc_id", "text_hash").unionByName(alone.select("doc_id", "text_hash"))
+    repeated = every.groupBy("doc_id", "text_hash").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+
+
 def _components(docs: DataFrame, classes: DataFrame, words: int, threshold: int) -> DataFrame:
     """(node, component) of the classes that have a confirmed link."""
     spread = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))

@@ -154,3 +154,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """The rows of docs with every span found in ``text`` masked; ``n_chars``, if there, follows."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("string")
+    def masked(texts):
+        return texts.map(mask_text, na_action="ignore")
+
+    out = docs.withColumn("text", masked(F.col("text").cast("string")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
