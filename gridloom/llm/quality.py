@@ -49,21 +49,28 @@ def encode_passages(texts: list[bytes], passage: int = PASSAGE) -> tuple[np.ndar
     same = where[1:] == where[:-1]
     pairs = np.bincount((where[1:] * N_CLASSES + kind[1:])[same] * N_CLASSES + kind[:-1][same], minlength=n * N_CLASSES**2).reshape(n, -1).astype(np.float32)
     size = np.bincount(where, minlength=n).astype(np.float32)
-    distinct = _distinct(data, where, n)
+    distinct = _distinct(data, where, n, np.cumsum(lengths))
     share = np.maximum(size, 1)[:, None]
     return np.hstack([np.sqrt(ones / share), np.sqrt(pairs / share), (distinct / np.maximum(size, 1))[:, None], np.log1p(size)[:, None], np.log1p(np.repeat(lengths, counts).astype(np.float32))[:, None], (size == 0).astype(np.float32)[:, None]]), counts
 
 
-def _distinct(data: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-    """How many of 4096 hashed 8-byte windows each passage touches: low where it repeats itself."""
+def _distinct(data: np.ndarray, where: np.ndarray, n: int, ends: np.ndarray) -> np.ndarray:
+    """How many of 4096 hashed 8-byte windows each passage touches: low where it repeats itself.
+
+    Windows that would reach into the next text do not count.
+    """
     if len(data) < 8:
         return np.zeros(n, np.float32)
     h = data[:-7].astype(np.uint32)
     for k in range(1, 8):
         h = h * np.uint32(0x01000193) ^ data[k : len(data) - 7 + k]
     h = (h * np.uint32(2654435761)) >> np.uint32(20)
+    inside = np.ones(len(data), bool)
+    last = (ends[:, None] - np.arange(1, 8)).ravel()
+    inside[last[last >= 0]] = False
+    inside = inside[:-7]
     seen = np.zeros(n << 12, bool)
-    seen[(where[:-7] << 12) + h] = True
+    seen[((where[:-7] << 12) + h)[inside]] = True
     return seen.reshape(n, -1).sum(1).astype(np.float32)
 
 

@@ -108,7 +108,8 @@ class WaveletFile:
             return ones
         packed = self._block(level, block)
         whole, bits = divmod(rest, 8)
-        return ones + int(np.bitwise_count(packed[:whole]).sum()) + (int(packed[whole]) & (1 << bits) - 1).bit_count()
+        ones += int(np.bitwise_count(packed[:whole]).sum())
+        return ones + (int(packed[whole]) & (1 << bits) - 1).bit_count() if bits else ones
 
     def _bit(self, level: int, i: int) -> int:
         block, rest = divmod(i, BLOCK * 8)
