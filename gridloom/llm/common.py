@@ -41,3 +41,9 @@ def utf8_crc32(column: str):
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that other columns of any name cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def settled(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
+    """A checkpoint read by as many tasks as its rows ask for, so that small steps stay small."""
+    out = checkpoint(df)
+    return out.coalesce(max(1, -(-out.count() // rows_per_partition)))

@@ -7,9 +7,9 @@ Runs of ROWS bins make BANDS bucket keys.
 
 Texts with equal sets are one class from the start. In each bucket all classes are linked with
 one hub only, a star, so a bucket of n classes makes n - 1 candidate edges. Edges are confirmed
-on full sets, confirmed classes are joined into components, and further stars with other hubs
-follow. What a bucket then still holds of different components is compared pair by pair, each
-pair in its first common bucket only, so no link between different texts is left to the stars.
+on full sets and confirmed classes joined into components. What a bucket then still holds of
+different components is compared in full, small buckets pair by pair and large ones in blocks,
+so no link between different texts is left to the stars.
 
 Defined results: null, empty and blank texts have no shingles and are groups of their own; null
 doc ids take part but name no group unless all its ids are null; repeated rows share a group;
@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, settled, table
 from .graph import connected_components
 
 SHINGLE = 5  # words, where a contract says nothing else
 BANDS, ROWS = 48, 6
-STARS = 3  # turns of stars before the rest is compared pair by pair
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _BLANKS = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 _FOLD = str.maketrans(_UPPER | _BLANKS)
@@ -247,29 +246,23 @@ def _components(docs: DataFrame, classes: DataFrame, words: int, threshold: int)
     """(node, component) of the classes that have a confirmed link."""
     spread = classes.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("hub")).where("members > 1")
-    buckets = checkpoint(spread.join(shared.select("key", "hub"), "key").select("key", "band", "node", "n", "hub"))
-    edges = buckets.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    buckets = settled(spread.join(shared.select("key", "hub"), "key").select("key", "band", "node", "n", "hub"))
     sets = _set_table(docs, classes, buckets, words)
-    tried = checkpoint(edges)
-    links = checkpoint(_confirmed(tried, sets, threshold))
-    for turn in range(1, STARS + 1):
-        component = checkpoint(connected_components(links)) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        owned = buckets.join(component, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
-        open_ = owned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub")).where("low != high")
-        rest = checkpoint(owned.join(open_.select("key", "hub"), "key"))
-        if rest.isEmpty():
-            return component
-        if turn < STARS:
-            hubs = rest.where("node = hub").select("key", F.col("component").alias("own"), F.col("n").alias("m"))
-            near = rest.where("node != hub").join(hubs, "key").where(_possible("n", "m", threshold) & (F.col("component") != F.col("own")))
-            new = near.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
-        else:
-            new = _across(rest, classes, threshold)
-        new = checkpoint(new.join(tried, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            links = checkpoint(links.unionByName(_confirmed(new, sets, threshold)))
-            tried = tried.unionByName(new)
-    return connected_components(links) if not links.isEmpty() else component
+    tried = settled(buckets.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    links = settled(_confirmed(tried, sets, threshold))
+    component = settled(connected_components(links))
+    owned = buckets.join(component, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
+    open_ = owned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rest = settled(owned.join(open_.select("key"), "key"))
+    more = _across(rest, classes, sets, tried, threshold)
+    # the stars' components and what joins them: a small graph of components
+    named = component.withColumnRenamed("node", "x").withColumnRenamed("component", "c")
+    ends = more.join(named, F.col("a") == F.col("x"), "left").select("b", F.coalesce("c", "a").alias("a"))
+    ends = ends.join(named, F.col("b") == F.col("x"), "left").select("a", F.coalesce("c", "b").alias("b"))
+    top = settled(connected_components(ends))
+    every = component.unionByName(top.where("node != component").select("node", F.col("node").alias("component"))).distinct()
+    over = top.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return every.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
 def _possible(n: str, m: str, threshold: int):
@@ -277,13 +270,64 @@ def _possible(n: str, m: str, threshold: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
 
 
-def _across(rest: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components that share a bucket, each from its first common bucket."""
-    keyed = rest.join(classes.select("node", "keys"), "node")
+def _across(rest: DataFrame, classes: DataFrame, sets: DataFrame, tried: DataFrame, threshold: int) -> DataFrame:
+    """Confirmed links between different components that share a bucket.
+
+    Small buckets give pairs, each from its first common bucket only. In a large one, the members
+    outside its main component meet all members block by block, in memory; no pairs are listed.
+    """
+    sizes = rest.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("members"), F.max_by("component", "count").alias("main"), F.max("count").alias("most"))
+    owned = settled(rest.join(sizes, "key"))
+    keyed = owned.where(F.col("members") <= PAIRED).join(classes.select("node", "keys"), "node")
     one = keyed.select("key", "band", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"), F.col("keys").alias("k1"))
     two = keyed.select("key", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"), F.col("keys").alias("k2"))
     first = F.array_position(F.zip_with("k1", "k2", lambda x, y: x == y), True) == F.col("band") + 1
-    return one.join(two, "key").where((F.col("a") > F.col("b")) & (F.col("c1") != F.col("c2")) & _possible("n1", "n2", threshold) & first).select("a", "b")
+    pairs = one.join(two, "key").where((F.col("a") > F.col("b")) & (F.col("c1") != F.col("c2")) & _possible("n1", "n2", threshold) & first).select("a", "b")
+    small = _confirmed(pairs.join(tried, ["a", "b"], "left_anti"), sets, threshold)
+    large = owned.where(F.col("members") > PAIRED).join(sets, "node").select("key", "node", "component", "hashes", "main", F.ceil((F.col("members") - F.col("most")) / BLOCK_LEFT).cast("int").alias("left_blocks"), F.ceil(F.col("members") / BLOCK_RIGHT).cast("int").alias("right_blocks"))
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = large.where("component != main").select("key", block("left_blocks").alias("i"), every("right_blocks").alias("j"), "node", "component", "hashes")
+    inside = large.select("key", every("left_blocks").alias("i"), block("right_blocks").alias("j"), "node", "component", "hashes")
+    inside = inside.toDF("key2", "i2", "j2", "node", "component", "hashes")
+    met = outside.groupBy("key", "i", "j").cogroup(inside.groupBy("key2", "i2", "j2")).applyInArrow(_meet(threshold), "a long, b long")
+    return settled(small.unionByName(met))
+
+
+#: Buckets of up to so many members are compared as pairs; larger ones in blocks of these sizes.
+PAIRED, BLOCK_LEFT, BLOCK_RIGHT = 16, 256, 1024
+
+
+def _meet(threshold: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = {"a": [], "b": []}
+        if left.num_rows and right.num_rows:
+            flat = [np.asarray(t["hashes"].combine_chunks().flatten()) for t in (left, right)]
+            sizes = [np.asarray(t["hashes"].combine_chunks().value_lengths()).astype(np.int64) for t in (left, right)]
+            owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+            own, place = np.unique(np.concatenate(flat), return_inverse=True)
+            width, cut = len(own), len(flat[0])
+            common = np.zeros((left.num_rows, right.num_rows), np.float32)
+            for at in range(0, width, 4096):  # counts of common shingles, some columns at a time
+                tables = []
+                for side, where in enumerate((place[:cut], place[cut:])):
+                    here = (where >= at) & (where < at + 4096)
+                    m = np.zeros((len(sizes[side]), min(4096, width - at)), np.float32)
+                    m[owner[side][here], where[here] - at] = 1
+                    tables.append(m)
+                common += tables[0] @ tables[1].T
+            same = common.astype(np.int64)
+            union = sizes[0][:, None] + sizes[1][None, :] - same
+            groups = [np.asarray(t["component"]) for t in (left, right)]
+            x, y = np.nonzero((100 * same >= threshold * union) & (groups[0][:, None] != groups[1][None, :]))
+            names = [np.asarray(t["node"]) for t in (left, right)]
+            one = {(c, d): (a, b) for a, b, c, d in zip(names[0][x].tolist(), names[1][y].tolist(), groups[0][x].tolist(), groups[1][y].tolist(), strict=True)}
+            for a, b in one.values():  # one link joins two components
+                links["a"].append(max(a, b))
+                links["b"].append(min(a, b))
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in links.items()})
+
+    return run
 
 
 #: Up to so many ids are sent to every executor (about 50 MB); beyond, the texts are dealt out by a join.
@@ -292,7 +336,7 @@ SENT_IDS = 500_000
 
 def _set_table(docs: DataFrame, classes: DataFrame, buckets: DataFrame, words: int) -> DataFrame:
     """(node, hashes) of every class that shares a bucket, from the text of its least doc_id."""
-    wanted = checkpoint(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", F.col("least").alias("own")))
+    wanted = settled(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", F.col("least").alias("own")))
     if wanted.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text", "h1", "h2")
