@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import fields
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Built with the grid operators."""
-    raise NotImplementedError
+QUERIES = dict(fields.QUERIES)
+ORACLES = dict(fields.ORACLES)
+flagship = fields.flagship
