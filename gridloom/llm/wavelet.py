@@ -37,10 +37,10 @@ def build(ids: np.ndarray, planes: int) -> list[tuple[np.ndarray, int]]:
     """(packed bits, number of zeros) for each plane."""
     out, now = [], ids
     for level in range(planes - 1, -1, -1):
-        bits = (now >> level & 1).astype(bool)
-        zeros = now[~bits]
+        bits = (now & now.dtype.type(1 << level)).astype(bool)
+        zeros = np.compress(~bits, now)
         out.append((np.packbits(bits, bitorder="little"), len(zeros)))
-        now = np.concatenate([zeros, now[bits]])
+        now = np.concatenate([zeros, np.compress(bits, now)])
     return out
 
 
@@ -187,24 +187,30 @@ def _pack(end_id: int, path: str, full: int):
         from pyspark import TaskContext
 
         shard, part = TaskContext.get().partitionId(), 0
-        words, end = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        words = word_encoder(path)
         docs, sizes, held, count = [], [], [], 0
 
         def close():
             nonlocal docs, sizes, held, count, part
-            ids = np.concatenate(held)
-            blob = write_file(ids, docs, np.array(sizes))
+            blob = write_file(np.concatenate(held), docs, np.concatenate(sizes))
             out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([count], pa.int64()), pa.array([blob], pa.binary())], ["shard", "part", "n_ids", "file"])
             docs, sizes, held, count, part = [], [], [], 0, part + 1
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(words.encode(text.as_py() or "") + end, "<u4")
-                docs.append(doc.as_py())
-                sizes.append(len(ids))
-                held.append(ids.astype("<u2") if int(ids.max()) < 1 << 16 else ids)
-                count += len(ids)
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, bounds = words.encode_many(texts)
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            if not len(ids) or int(ids.max()) < 1 << 16:
+                ids = ids.astype("<u2")
+            at = 0
+            while at < len(names):  # documents up to the one that fills the file
+                to = min(len(names), max(at + 1, int(np.searchsorted(bounds, bounds[at] + full - count))))
+                docs += names[at:to]
+                sizes.append(np.diff(bounds[at : to + 1]))
+                held.append(ids[bounds[at] : bounds[to]])
+                count, at = count + int(bounds[to] - bounds[at]), to
                 if count >= full:
                     yield close()
         if docs:
