@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fields
+from . import analytics, fields
 
-QUERIES = dict(fields.QUERIES)
-ORACLES = dict(fields.ORACLES)
+QUERIES = {**fields.QUERIES, **analytics.QUERIES}
+ORACLES = {**fields.ORACLES, **analytics.ORACLES}
 flagship = fields.flagship
