@@ -44,8 +44,11 @@ def trailing(metrics: DataFrame, span: str = "10 seconds", step: str = "1 second
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "host", "metric", "mean", "most", "n")
 
 
-def last_values(metrics: DataFrame, keep: int = 200, idle: int = 600_000) -> DataFrame:
-    """(host, metric, n, values): after each batch the last ``keep`` values of every key that got rows."""
+def last_values(metrics: DataFrame, keep: int = 200, idle: int = 600_000, late: str = "30 seconds") -> DataFrame:
+    """(host, metric, n, values): after each batch the last ``keep`` values of every key that got rows.
+
+    A key's state goes when event time has moved ``idle`` milliseconds beyond its last row.
+    """
 
     def step(key: tuple, batches: Iterator, state: GroupState):
         import pandas as pd
@@ -56,16 +59,16 @@ def last_values(metrics: DataFrame, keep: int = 200, idle: int = 600_000) -> Dat
         rows = sorted(((t, float(v)) for pdf in batches for t, v in zip(pdf["ts"], pdf["value"], strict=True)), key=lambda x: x[0])
         kept = [*(state.get[0] if state.exists else []), *[v for _, v in rows]][-keep:]
         state.update((kept,))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(int(rows[-1][0].timestamp() * 1000) + idle)
         yield pd.DataFrame({"host": [key[0]], "metric": [key[1]], "n": [len(kept)], "values": [kept]})
 
-    return metrics.groupBy("host", "metric").applyInPandasWithState(step, "host string, metric string, n int, values array<double>", "kept array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return metrics.withWatermark("ts", late).groupBy("host", "metric").applyInPandasWithState(step, "host string, metric string, n int, values array<double>", "kept array<double>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 EVENTS = "run_id string, iteration int, residual_norm double, best double, best_at int, stagnating boolean, diverging boolean"
 
 
-def watch(residuals: DataFrame, window: int = 10, least_change: float = 1e-6, diverged: float = 1e3, idle: int = 600_000) -> DataFrame:
+def watch(residuals: DataFrame, window: int = 10, least_change: float = 1e-6, diverged: float = 1e3, idle: int = 600_000, late: str = "30 seconds") -> DataFrame:
     """For each new iteration of each run: the best residual so far, and whether the run stagnates or diverges.
 
     State: the first residual, the best and where it was, and the last ``window`` residuals.
@@ -78,7 +81,8 @@ def watch(residuals: DataFrame, window: int = 10, least_change: float = 1e-6, di
             state.remove()
             return
         first, best, best_at, seen, last = state.get if state.exists else (None, None, None, 0, [])
-        rows = sorted((int(i), float(r)) for pdf in batches for i, r in zip(pdf["iteration"], pdf["residual_norm"], strict=True))
+        found = [(int(i), float(r), t) for pdf in batches for i, r, t in zip(pdf["iteration"], pdf["residual_norm"], pdf["ts"], strict=True)]
+        newest, rows = max(t for _, _, t in found), sorted((i, r) for i, r, _ in found)
         out = []
         for iteration, r in rows:
             seen += 1
@@ -90,10 +94,10 @@ def watch(residuals: DataFrame, window: int = 10, least_change: float = 1e-6, di
             stagnating = len(last) == window and mean > 0 and (max(last) - min(last)) / mean < least_change
             out.append((key[0], iteration, r, best, best_at, stagnating, seen > 3 and r > diverged * first))
         state.update((first, best, best_at, seen, last))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(int(newest.timestamp() * 1000) + idle)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    return residuals.groupBy("run_id").applyInPandasWithState(step, EVENTS, "first double, best double, best_at int, seen int, last array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return residuals.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, EVENTS, "first double, best double, best_at int, seen int, last array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recommendations(events: DataFrame) -> DataFrame:
