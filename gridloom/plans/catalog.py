@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, fields
+from . import analytics, fields, streams, validation
 
-QUERIES = {**fields.QUERIES, **analytics.QUERIES}
-ORACLES = {**fields.ORACLES, **analytics.ORACLES}
+QUERIES = {**fields.QUERIES, **analytics.QUERIES, **streams.QUERIES, **validation.QUERIES}
+ORACLES = {**fields.ORACLES, **analytics.ORACLES, **streams.ORACLES}
 flagship = fields.flagship

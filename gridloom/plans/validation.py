@@ -67,3 +67,10 @@ def transfer_accuracy(spark: SparkSession, grid: Grid, name: str = "trigonometri
     u = grid.evaluate(spark, u=p.exact)
     back = stencil.prolong_bilinear(stencil.restrict_full(u, grid), grid)
     return stencil.norms(stencil.combine(u, back, lambda a, b: a - b), grid)
+
+
+QUERIES = {
+    "validation_suite": lambda spark, sf_dir: suite(spark)[0],
+    "validation_summary": lambda spark, sf_dir: suite(spark)[1],
+    "mms_errors": lambda spark, sf_dir: error_table(spark, ["trigonometric", "polynomial", "mixed"], [9, 17, 33]),
+}
