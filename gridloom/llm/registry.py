@@ -7,6 +7,7 @@ from .chunk_reuse import op2
 from .matroska import op5
 from .minhash import op3
 from .mtree import OP6_SQL, op6
+from .oracles import OP3_SQL, op1_sql
 from .packing import op9
 from .quality import op4
 from .secrets import op7
@@ -27,6 +28,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_hash_tree_sharding": op1_sql(),
+    "op3_minhash_near_dedup": OP3_SQL,
     "op6_mtree_topk": OP6_SQL,
     "op8_stupid_backoff": OP8_SQL,
 }
