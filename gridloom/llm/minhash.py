@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, settled, table
+from .common import checkpoint, release, settled, table, tidy
 from .graph import connected_components
 
 SHINGLE = 5  # words, where a contract says nothing else
@@ -46,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """64-bit hashes of words, kept for at most ``limit`` of them."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
 
     def __missing__(self, word: str) -> int:
@@ -206,11 +206,12 @@ def _grouped(docs: DataFrame, words: int, threshold: int, bands: int, rows: int)
     """Rows (doc_id, text_hash, n, group, component_id) with shingles, and rows (doc_id, text_hash, n) without."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    signed = checkpoint(named.mapInArrow(_sign(words, bands, rows), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
+    signed = checkpoint(named.mapInArrow(tidy(_sign(words, bands, rows)), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
     some = signed.where("n > 0")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"))
     classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
     component = checkpoint(_components(docs, classes, words, threshold))
+    release(docs.sparkSession)
     owned = classes.join(component, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("group"))
     leasts = owned.groupBy("group").agg(F.min("least").alias("component_id"))
     names = owned.join(leasts, "group").select("h1", "h2", "group", "component_id")
@@ -250,11 +251,14 @@ def _components(docs: DataFrame, classes: DataFrame, words: int, threshold: int)
     sets = _set_table(docs, classes, buckets, words)
     tried = settled(buckets.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     links = settled(_confirmed(tried, sets, threshold))
+    release(docs.sparkSession)
     component = settled(connected_components(links))
+    release(docs.sparkSession)
     owned = buckets.join(component, "node", "left").select("key", "band", "node", "n", F.coalesce("component", "node").alias("component"))
     open_ = owned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     rest = settled(owned.join(open_.select("key"), "key"))
     more = _across(rest, classes, sets, tried, threshold)
+    release(docs.sparkSession)
     # the stars' components and what joins them: a small graph of components
     named = component.withColumnRenamed("node", "x").withColumnRenamed("component", "c")
     ends = more.join(named, F.col("a") == F.col("x"), "left").select("b", F.coalesce("c", "a").alias("a"))
@@ -340,7 +344,7 @@ def _set_table(docs: DataFrame, classes: DataFrame, buckets: DataFrame, words: i
     if wanted.count() <= SENT_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text", "h1", "h2")
-    sets = checkpoint(texts.mapInArrow(_sets(words), "node long, hashes array<long>"))
+    sets = checkpoint(texts.mapInArrow(tidy(_sets(words)), "node long, hashes array<long>"))
     found, distinct = sets.agg(F.count("node"), F.count_distinct("node")).first()
     return sets if found == distinct else checkpoint(sets.groupBy("node").agg(F.min("hashes").alias("hashes")))
 
@@ -349,7 +353,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The edges (a, b) whose full sets are similar enough."""
     left = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_confirm(threshold), "a long, b long")
+    return both.mapInArrow(tidy(_confirm(threshold)), "a long, b long")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, slices, table, tidy
 
 PASSAGE = 1024
 SAMPLE, BAG = 6000, 24
 THRESHOLD = 0.3
-SLICE = 1 << 22  # bytes encoded at a time
+SLICE = 1 << 20  # bytes encoded at a time
 
 #: Byte classes, each a set of bytes; what is in none of them is class 0.
 _CLASSES = [b" ", b"\n\r\t\x0b\x0c", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".", b",", b"!?", b"'\"", b"-_", b"|", b"$%&#*@~^+=", b"<>/\\", b"()[]{}", b":;", bytes(range(128, 256))]
@@ -152,8 +152,9 @@ class GatedAttention:
         return self
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = [self.forward(x, counts)[0] for x, counts in encode_bags(texts)]
-        return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
+        """In double arithmetic and rounded, so that a text's neighbours in a batch leave no trace."""
+        out = [self.forward(x.astype(np.float64), counts)[0] for x, counts in encode_bags(texts)]
+        return np.round(np.concatenate(out), 9) if out else np.zeros(0)
 
 
 def held_out(doc_id="doc_id"):
@@ -175,26 +176,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAtte
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by ``sample``
-    got = {}
-    for r in rows.select("doc_id", "text", "label").mapInArrow(_sampled, "doc_id long, label double, bag binary").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(sample).toLocalIterator():
-        got[r["doc_id"]] = (np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, N_FEATURES), r["label"])
+    got: dict[int, tuple[bytes, float]] = {}
+    for r in rows.select("doc_id", "text", "label").mapInArrow(tidy(_sampled), "doc_id long, label double, bag binary").collect():  # at most ``sample`` ids
+        one = bytes(r["bag"])
+        got[r["doc_id"]] = (min(one, got[r["doc_id"]][0]) if r["doc_id"] in got else one, r["label"])
+    got = {d: (np.frombuffer(b, np.float32).reshape(-1, N_FEATURES), v) for d, (b, v) in sorted(got.items())}
     y = np.array([v for _, v in got.values()])
     if len(got) < 2 or y.min() == y.max():
         return None
-    return GatedAttention(N_FEATURES).fit([b for b, _ in got.values()], y)
+    model = GatedAttention(N_FEATURES).fit([b for b, _ in got.values()], y)
+    got.clear()
+    give_back()
+    return model
 
 
 def score_documents(docs: DataFrame, model: GatedAttention | None) -> DataFrame:
     """(doc_id, score) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             texts = batch.column(1).to_pylist()
             got = model.scores(texts) if model else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: GatedAttention | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -204,7 +210,9 @@ def keep_good(docs: DataFrame, model: GatedAttention | None, threshold: float =
     def score(texts):
         import pandas as pd
 
-        return pd.Series(model.scores(texts.tolist()) if model else np.full(len(texts), 0.5))
+        out = pd.Series(model.scores(texts.tolist()) if model else np.full(len(texts), 0.5))
+        give_back()
+        return out
 
     return docs.where(score(F.col("text").cast("string")) >= threshold)
 

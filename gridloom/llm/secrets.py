@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import give_back, table
 
 KINDS = ("assign", "access", "hex", "user", "blob", "endpoint")
 REACH = 240
@@ -162,7 +162,9 @@ def mask(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def masked(texts):
-        return texts.map(mask_text, na_action="ignore")
+        out = texts.map(mask_text, na_action="ignore")
+        give_back()
+        return out
 
     out = docs.withColumn("text", masked(F.col("text").cast("string")))
     if "n_chars" in docs.columns:

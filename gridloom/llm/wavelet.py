@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, table
+from .common import shared_dir, slices, table, tidy
 from .encoding import word_encoder
 
 MAGIC = b"WMX1"
@@ -197,7 +197,7 @@ def _pack(end_id: int, path: str, full: int):
             docs, sizes, held, count, part = [], [], [], 0, part + 1
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ids, bounds = words.encode_many(texts)
             ids = np.insert(ids, bounds[1:], end_id)
@@ -224,7 +224,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, full:
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = 2 * dealt.rdd.getNumPartitions()
     ordered = dealt.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_pack(end_id, tokenizer, full), "shard int, part int, n_ids long, file binary").write.parquet(path)
+    ordered.mapInArrow(tidy(_pack(end_id, tokenizer, full)), "shard int, part int, n_ids long, file binary").write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
