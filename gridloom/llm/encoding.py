@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4_000_000  # characters encoded together
+SLICE = 12_000_000  # characters encoded together
 _RE2_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 #: Code points that fast splitting handles: printable ASCII, tab and line ends, Latin letters and signs.
@@ -74,7 +74,7 @@ class WordEncoder:
     holds two generations of at most ``limit`` pieces, and what is asked again moves to the newer.
     """
 
-    def __init__(self, path: str, limit: int = 120_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

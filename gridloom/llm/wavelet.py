@@ -197,7 +197,7 @@ def _pack(end_id: int, path: str, full: int):
             docs, sizes, held, count, part = [], [], [], 0, part + 1
             return out
 
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, 12 << 20)):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ids, bounds = words.encode_many(texts)
             ids = np.insert(ids, bounds[1:], end_id)
