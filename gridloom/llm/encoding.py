@@ -209,6 +209,6 @@ class _Table(dict):
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    """One for each worker process and vocabulary."""
-    return WordEncoder(path)
+def word_encoder(path: str, limit: int = 200_000) -> WordEncoder:
+    """One for each worker process, vocabulary and size."""
+    return WordEncoder(path, limit)
