@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..grid import Grid
 from . import boundary, solvers
 from .stencil import laplacian
@@ -69,6 +70,40 @@ def run(start: DataFrame, grid: Grid, alpha: float, dt: float, until: float, met
     return out
 
 
+def march_runs(runs: DataFrame, grid: Grid, dt: float, steps: int, method: str = "backward_euler", tolerance: float = 1e-9, most: int = 30) -> DataFrame:
+    """(run_id, i, j, u) after ``steps`` implicit steps of every run (run_id, i, j, u, alpha, f, edge), one group each.
+
+    f and edge are arrays with a value for each step: the source within it and the solution at its end.
+    """
+    theta = METHODS[method]
+    if theta == 0:
+        raise ValueError("march_runs takes implicit methods")
+    if grid.nx * grid.ny > solvers.GROUP_POINTS:
+        raise ValueError("too large for one group; use run()")
+
+    def march(pdf):
+        import numpy as np
+
+        at = pdf["i"].to_numpy(), pdf["j"].to_numpy()
+        alpha, levels = float(pdf["alpha"].iloc[0]), grid.hierarchy()
+        shift = 1.0 / (theta * dt * alpha)
+        u, f, edge = (np.zeros((grid.nx, grid.ny)) for _ in range(3))
+        sources, edges = np.stack(pdf["f"].to_numpy()), np.stack(pdf["edge"].to_numpy())
+        u[at] = pdf["u"]
+        for n in range(steps):
+            f[at], edge[at] = sources[:, n], edges[:, n]
+            right = u * shift - (1.0 - theta) / theta * kernels.apply(u, grid) + f / (theta * alpha)
+            edge[1:-1, 1:-1] = u[1:-1, 1:-1]
+            u = edge.copy()
+            for _ in range(most):
+                u = kernels.cycle(u, right, levels, shift=shift)
+                if kernels.norm(kernels.residual(u, right, grid, shift), grid) < tolerance:
+                    break
+        return pdf.assign(u=u[at])[["run_id", "i", "j", "u"]]
+
+    return runs.select("run_id", "i", "j", "u", "alpha", "f", "edge").groupBy("run_id").applyInPandas(march, "run_id string, i int, j int, u double")
+
+
 def doubled_step(field: DataFrame, grid: Grid, alpha: float, dt: float, tolerance: float, method: str = "crank_nicolson", tries: int = 10) -> tuple[DataFrame, float, float]:
     """(field after dt, dt taken, next dt): one step against two half steps, retried smaller until close."""
     theta = METHODS[method]
