@@ -4,8 +4,9 @@ Counts come from all documents. Documents are read in batches of bounded size; e
 explodes its texts into n-grams, counts equal ones, and sends each distinct hash once to the
 hash partition that owns it. There the counts of all batches are summed into the partition's
 count table, and joined back: every batch gets the totals of the n-grams it asked for. Scores are
-then looked up and summed for each document. A word after a pair seen at least LEAST times
-scores count(pair) / count(first word); else BACKOFF times the share of the word among all words.
+then looked up and summed for each document. A word that ends an n-gram seen at least LEAST times, n up to
+the model's order, scores count(n-gram) / count(its first n - 1 words) of the longest such one, else its
+share among all words; each longer n-gram that the document has there costs a factor of BACKOFF.
 
 Rows that travel are packed: one row holds the sorted hashes of one batch for one partition.
 
@@ -30,16 +31,20 @@ BACKOFF = 0.4
 LEAST = 2
 BATCH = 1_000_000  # words
 OWNED = 1_500_000  # n-gram occurrences behind one hash partition
-WORD, PAIR = 1, 2
+ORDER = 2
 
 
-def pair_hashes(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of neighbouring words, place of the second word), never across documents."""
-    second = np.ones(len(words), bool)
-    second[starts[starts < len(words)]] = False
-    at = np.flatnonzero(second)
+def gram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of n neighbouring words, place of the last word), never across documents."""
+    last = np.ones(len(words), bool)
+    for k in range(n - 1):
+        last[starts[starts + k < len(words)] + k] = False
+    at = np.flatnonzero(last)
+    hashes = words[at - n + 1]
     with np.errstate(over="ignore"):
-        return _mix(_mix(words[at - 1] * _MIX) + words[at]), at
+        for k in range(n - 2, -1, -1):
+            hashes = _mix(_mix(hashes * _MIX) + words[at - k])
+    return hashes, at
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -79,14 +84,14 @@ def _batch_name(docs: list, words: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(repr(docs).encode(), xxhash.xxh3_64_intdigest(np.ascontiguousarray(words).tobytes())) - (1 << 63)
 
 
-def _requests(parts: int):
+def _requests(parts: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, starts, words in batches_of(batches):
             if not len(words):
                 continue
             name = _batch_name(docs, words)
-            for order, hashes in ((WORD, words), (PAIR, pair_hashes(words, starts)[0])):
-                own, counts = np.unique(hashes, return_counts=True)
+            for order in range(1, most + 1):
+                own, counts = np.unique(gram_hashes(words, starts, order)[0], return_counts=True)
                 cut = _split(own, parts)
                 rows = [p for p in range(parts) if cut[p] < cut[p + 1]]
                 n = len(rows)
@@ -118,52 +123,59 @@ def _structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([_batch_name(docs, words)], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], ["batch", "docs", "nulls", "starts", "own", "places"])
 
 
-def _sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Look up the totals of one batch and sum the scores of each of its documents."""
-    out = {"doc_id": [], "n_words": [], "n_backed_off": [], "log_sum": []}
-    totals = {}
-    for order in (WORD, PAIR):
-        rows = sorted((p.as_py(), i) for i, (n, p) in enumerate(zip(right["n"], right["part"], strict=True)) if n.as_py() == order)
-        totals[order] = np.concatenate([_unpress(right["totals"][i].as_py(), "<u8") for _, i in rows]) if rows else np.empty(0, "<u8")
-    for r in left.to_pylist():
-        names, nulls, starts = _unpress(r["docs"], "<i8"), _unpress(r["nulls"], "?"), _unpress(r["starts"], "<i8")
-        own = np.frombuffer(r["own"], "<u8")
-        places = np.ascontiguousarray(_unpress(r["places"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        words = own[places]
-        if len(own) != len(totals[WORD]):
-            raise ValueError("a batch came out otherwise when read again")
-        one = totals[WORD][places].astype(np.float64)
-        score, back = np.log(BACKOFF * one), np.ones(len(words), bool)
-        hashes, at = pair_hashes(words, starts)
-        pairs, inverse = np.unique(hashes, return_inverse=True)
-        two = totals[PAIR][inverse].astype(np.float64)
-        seen = two >= LEAST
-        score[at[seen]] = np.log(two[seen] / one[at[seen] - 1])
-        back[at[seen]] = False
-        first = starts[starts < len(words)]
-        score[first] -= np.log(BACKOFF)  # a first word has no pair to back off from
-        ends = np.append(starts[1:], len(words))
-        sums, backs = np.concatenate([[0.0], score]), np.concatenate([[0], np.cumsum(back)])
-        for name, null, a, b in zip(names.tolist(), nulls.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            out["doc_id"].append(None if null else name)
-            out["n_words"].append(b - a)
-            out["n_backed_off"].append(int(backs[b] - backs[a]))
-            out["log_sum"].append(float(sums[a + 1 : b + 1].sum()))
-    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_backed_off": pa.array(out["n_backed_off"], pa.int64()), "log_sum": pa.array(out["log_sum"], pa.float64())})
-
-
-def score_documents(docs: DataFrame) -> DataFrame:
+def _sum_up(most: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Look up the totals of one batch and sum the scores of each of its documents."""
+        out = {"doc_id": [], "n_words": [], "n_backed_off": [], "log_sum": []}
+        totals = {}
+        for order in range(1, most + 1):
+            rows = sorted((p.as_py(), i) for i, (n, p) in enumerate(zip(right["n"], right["part"], strict=True)) if n.as_py() == order)
+            totals[order] = np.concatenate([_unpress(right["totals"][i].as_py(), "<u8") for _, i in rows]) if rows else np.empty(0, "<u8")
+        for r in left.to_pylist():
+            names, nulls, starts = _unpress(r["docs"], "<i8"), _unpress(r["nulls"], "?"), _unpress(r["starts"], "<i8")
+            own = np.frombuffer(r["own"], "<u8")
+            places = np.ascontiguousarray(_unpress(r["places"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            words = own[places]
+            if len(own) != len(totals[1]):
+                raise ValueError("a batch came out otherwise when read again")
+            ends = np.append(starts[1:], len(words))
+            longest = np.minimum(np.arange(len(words)) - np.repeat(starts, ends - starts), most - 1)  # words of context
+            shorter = totals[1][places].astype(np.float64)
+            score, back = np.log(BACKOFF**longest * shorter), np.ones(len(words), bool)
+            for n in range(2, most + 1):
+                hashes, at = gram_hashes(words, starts, n)
+                _, inverse = np.unique(hashes, return_inverse=True)
+                count = totals[n][inverse].astype(np.float64)
+                seen = count >= LEAST
+                score[at[seen]] = np.log(BACKOFF ** (longest[at[seen]] - n + 1) * count[seen] / shorter[at[seen] - 1])
+                back[at[seen]] = False
+                shorter = np.zeros(len(words))
+                shorter[at] = count
+            sums, backs = np.concatenate([[0.0], score]), np.concatenate([[0], np.cumsum(back)])
+            for name, null, a, b in zip(names.tolist(), nulls.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                out["doc_id"].append(None if null else name)
+                out["n_words"].append(b - a)
+                out["n_backed_off"].append(int(backs[b] - backs[a]))
+                out["log_sum"].append(float(sums[a + 1 : b + 1].sum()))
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_backed_off": pa.array(out["n_backed_off"], pa.int64()), "log_sum": pa.array(out["log_sum"], pa.float64())})
+
+    return run
+
+
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, n_backed_off, log_score, mean_log_score) for every row of docs (doc_id, text).
 
-    n_backed_off counts words scored by their own share, first words with them.
+    n_backed_off counts words scored by their own share, first words with them. ``order`` is the longest n-gram's.
     """
+    if order < 1:
+        raise ValueError("a model needs an order of at least 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (7 * OWNED)))
-    asked = docs.mapInArrow(_requests(parts), "n int, part int, batch long, hashes binary, counts binary")
+    asked = docs.mapInArrow(_requests(parts, order), "n int, part int, batch long, hashes binary, counts binary")
     totals = asked.groupBy("n", "part").applyInArrow(_totals, "n int, part int, batch long, totals binary")
     kept = docs.mapInArrow(_structure, "batch long, docs binary, nulls binary, starts binary, own binary, places binary")
-    summed = kept.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_sum_up, "doc_id long, n_words long, n_backed_off long, log_sum double")
+    summed = kept.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_sum_up(order), "doc_id long, n_words long, n_backed_off long, log_sum double")
     summed = checkpoint(summed)
     total = summed.agg(F.sum("n_words")).first()[0] or 1
     score = F.col("log_sum") - F.col("n_backed_off") * F.log(F.lit(float(total)))

@@ -35,6 +35,41 @@ def test_against_plain_counts(spark, monkeypatch):
     assert all(near(a, b) for a, b in zip(sorted(rounded, key=key), sorted(brute(rows), key=key), strict=True))
 
 
+def brute_of_order(rows, order):
+    texts = [words_of(t) for _, t in rows]
+    seen = Counter(tuple(t[i : i + n]) for t in texts for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    total = max(1, sum(map(len, texts)))
+    out = []
+    for (d, _), t in zip(rows, texts, strict=True):
+        score, back = 0.0, 0
+        for i in range(len(t)):
+            factor = 1.0
+            for n in range(min(i + 1, order), 0, -1):
+                gram = tuple(t[i - n + 1 : i + 1])
+                if n == 1 or seen[gram] >= 2:
+                    score += math.log(factor * seen[gram] / (seen[gram[:-1]] if n > 1 else total))
+                    back += n == 1
+                    break
+                factor *= 0.4
+        out.append((d, len(t), back, score))
+    return out
+
+
+def test_longer_contexts(spark, monkeypatch):
+    monkeypatch.setattr(backoff, "BATCH", 300)
+    monkeypatch.setattr(backoff, "OWNED", 500)
+    rows = [*corpus(2), *ODD, (70, "a"), (71, "a b"), (72, "a b c"), (73, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (str(r[0]), r[1], r[2], round(r[3], 3))
+    scores = {}
+    for order in (1, 2, 3, 4):
+        got = sorted((tuple(r)[:4] for r in backoff.score_documents(docs, order).collect()), key=key)
+        want = sorted(brute_of_order(rows, order), key=key)
+        assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want, strict=True))
+        scores[order] = sum(r[3] for r in got)
+    assert scores[3] != scores[2]
+
+
 def test_op8(spark, sf):
     assert backoff.op8(spark, sf()).count() == len(ODD)
     assert backoff.op8(spark, sf(empty=True)).count() == 0
