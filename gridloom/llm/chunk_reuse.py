@@ -4,8 +4,7 @@ A rolling hash over the last 32 code points cuts a text wherever its low bits ar
 a passage shared by many documents is cut at the same places in each. A worker encodes a
 chunk once and keeps the result. Near a cut the tokens of a chunk may be wrong, as a word may
 go on beyond it: each join is re-encoded with a word of context on either side, and accepted
-when the context comes out as it did inside the chunks, with twice the context else, and in
-the end the whole text.
+when the context comes out as it did inside the chunks; else the whole text is encoded.
 
 Defined results: null and empty texts have no tokens; texts of any length are encoded whole,
 a chunk at a time; equal texts give equal rows; other columns are left alone.
