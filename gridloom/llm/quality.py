@@ -3,8 +3,9 @@
 A document is a bag of passages. Each passage of PASSAGE bytes is encoded by fixed surface
 features: how often byte classes and pairs of classes occur, and how much of it repeats.
 A hidden layer and gated attention (tanh times sigmoid) are learned from document labels;
-the attention-weighted passage gives the score. The fit takes at most SAMPLE labelled rows
-and, of these alone, at most BAG evenly spaced passages; scores read every passage of every text.
+the attention-weighted passage gives the score. The fit takes at most SAMPLE labelled rows,
+each with all its passages, and of these rows as many as have at most PASSAGES together; scores
+read every passage of every text.
 
 Defined results: null and empty texts are one empty passage; equal texts get equal scores; rows
 without a label are scored like others; a table without usable labels scores everything 0.5.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import give_back, slices, table, tidy
 
 PASSAGE = 1024
-SAMPLE, BAG = 6000, 24
+SAMPLE, PASSAGES = 6000, 144_000
 THRESHOLD = 0.3
 SLICE = 1 << 20  # bytes encoded at a time
 
@@ -166,16 +167,23 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc, text, label in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
             bag = np.vstack([x for x, _ in encode_bags([text.as_py()])])
-            if len(bag) > BAG:
-                bag = bag[np.linspace(0, len(bag) - 1, BAG).round().astype(int)]
             yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([label.as_py()], pa.float64()), pa.array([bag.astype(np.float32).tobytes()], pa.binary())], ["doc_id", "label", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention | None:
-    """Fit on the ``sample`` labelled rows whose hash is smallest; None without both classes."""
+    """Fit on the ``sample`` labelled rows whose hash is smallest, without those beyond PASSAGES; None without both classes."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by ``sample``
+    passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
+    left, fit = PASSAGES, []
+    sizes = rows.groupBy("doc_id").agg(F.sum(passages).alias("n"), F.xxhash64("doc_id").alias("hash")).collect()  # at most ``sample`` ids
+    for r in sorted(sizes, key=lambda r: (r["hash"], r["doc_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            fit.append((r["doc_id"],))
+    if len(fit) < len(sizes):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fit, "doc_id long")), "doc_id")
     got: dict[int, tuple[bytes, float]] = {}
     for r in rows.select("doc_id", "text", "label").mapInArrow(tidy(_sampled), "doc_id long, label double, bag binary").collect():  # at most ``sample`` ids
         one = bytes(r["bag"])

@@ -68,6 +68,19 @@ def test_labels_of_the_fold_are_not_used(spark):
     assert all(np.array_equal(a.w[k], b.w[k]) for k in a.w)
 
 
+def test_fit_sees_whole_bags(spark, monkeypatch):
+    """Every passage of a sampled row is learned from; beyond the bound whole rows are left out."""
+    long = [d for d in range(1, 40) if zlib.crc32(str(d).encode()) % 5][:8]
+    docs = spark.createDataFrame([(d, "word " * (6144 if n < 2 else 205)) for n, d in enumerate(long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, n % 2, 0) for n, d in enumerate(long)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(GatedAttention, "fit", lambda self, bags, y: seen.append(sorted(map(len, bags))) or self)
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "PASSAGES", 40)
+    quality.train(docs, labels)
+    assert seen[0] == [2] * 6 + [30, 30] and set(seen[1]) <= {2, 30} and sum(seen[1]) <= 40
+
+
 def test_op4_on_odd_rows(spark, sf):
     labels = spark.createDataFrame([(d, d % 2, 0) for d in range(1, 11)], "doc_id long, quality int, toxic int")
     rows = quality.op4(spark, sf(labels=labels)).collect()
