@@ -1,36 +1,42 @@
 """Language-model scoring with stupid backoff.
 
-Counts come from all documents. Documents are read in batches of bounded size; each batch
-explodes its texts into n-grams, counts equal ones, and sends each distinct hash once to the
-hash partition that owns it. There the counts of all batches are summed into the partition's
-count table, and joined back: every batch gets the totals of the n-grams it asked for. Scores are
-then looked up and summed for each document. A word that ends an n-gram seen at least LEAST times, n up to
-the model's order, scores count(n-gram) / count(its first n - 1 words) of the longest such one, else its
-share among all words; each longer n-gram that the document has there costs a factor of BACKOFF.
+Counts come from all documents, and the work is relational:
 
-Rows that travel are packed: one row holds the sorted hashes of one batch for one partition.
+1. Documents are dealt to blocks of about BLOCK_BYTES of text, once; a block explodes its texts
+   into n-grams of every order and pre-aggregates them to (n-gram, count).
+2. Those rows go to the hash partition of their n-gram. There they are exploded, summed into the
+   count table (n-gram, total, blocks), and joined back to it.
+3. Totals of n-grams that other blocks have too return to the blocks, where scores are looked up
+   and summed for each document.
+
+A word that ends an n-gram seen at least LEAST times, n up to the model's order, scores
+count(n-gram) / count(its first n - 1 words) of the longest such one, else its share among all
+words; each longer n-gram that the document has there costs a factor of BACKOFF.
+
+What travels: each text once, each n-gram at most once for each block that holds it, and its
+total back. The n-grams of one block for one hash partition share a row, as arrays, so there
+are never more rows than n-grams. A frequent n-gram reaches its partition once a block, not once
+an occurrence, so no partition is hot.
 
 Defined results: null, empty and blank texts have no words, log score 0 and no mean; repeated
-rows count each time; an empty table gives no rows.
+rows count each time, wherever they lie; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, setting, table
 from .minhash import _MIX, _mix, _words, word_list
 
 BACKOFF = 0.4
 LEAST = 2
-BATCH = 1_000_000  # words
-OWNED = 1_500_000  # n-gram occurrences behind one hash partition
+BLOCK_BYTES = 24 << 20  # text of a block
+PARTS = 256  # hash partitions, at least
+OWNED = 16_000_000  # n-grams of a hash partition, about
 ORDER = 2
 
 
@@ -47,119 +53,94 @@ def gram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarr
     return hashes, at
 
 
-def batches_of(batches: Iterator[pa.RecordBatch], most: int = BATCH) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(doc ids, first word of each, word hashes), cut after about ``most`` words."""
-    docs, starts, held, count = [], [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-            listed = word_list(text.as_py() or "")
-            docs.append(doc.as_py())
-            starts.append(count)
-            held.append(np.fromiter(map(_words.__getitem__, listed), np.uint64, len(listed)))
-            count += len(listed)
-            if count >= most:
-                yield docs, np.array(starts), np.concatenate(held)
-                docs, starts, held, count = [], [], [], 0
-    if docs:
-        yield docs, np.array(starts), np.concatenate(held)
+def hashed_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts, where each text's words begin)"""
+    starts, held, count = [], [np.empty(0, np.uint64)], 0
+    for text in texts:
+        listed = word_list(text.as_py() or "")
+        starts.append(count)
+        held.append(np.fromiter(map(_words.__getitem__, listed), np.uint64, len(listed)))
+        count += len(listed)
+    return np.concatenate(held), np.array(starts, np.int64)
 
 
-def _press(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
 
 
-def _unpress(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+def _grams(parts: int, order: int):
+    """A block -> for each hash partition its distinct n-grams and how often the block has them."""
 
+    def run(block: pa.Table) -> pa.Table:
+        words, starts = hashed_words(block["text"])
+        grams, counts = np.unique(np.concatenate([gram_hashes(words, starts, n)[0] for n in range(1, order + 1)]), return_counts=True)
+        edges = ((np.arange(parts, dtype=object) << 64) + parts - 1) // parts  # equal ranges of hashes
+        cuts = np.append(np.searchsorted(grams, edges.astype(np.uint64)), len(grams))
+        rows = np.flatnonzero(np.diff(cuts))
+        cuts = np.append(cuts[rows], len(grams))
+        return pa.table({"part": pa.array(rows.astype(np.int32)), "block": pa.array(np.full(len(rows), block["block"][0].as_py()), pa.int32()), "grams": _lists(grams.view(np.int64), cuts), "counts": _lists(counts.astype(np.int32), cuts)})
 
-def _split(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash partition begins in a sorted array; partitions are equal ranges."""
-    edges = ((np.arange(parts, dtype=object) << 64) + parts - 1) // parts
-    return np.append(np.searchsorted(hashes, edges.astype(np.uint64)), len(hashes))
+    return run
 
 
-def _batch_name(docs: list, words: np.ndarray) -> int:
-    import xxhash
+def _scores(order: int):
+    """A block and the totals of its n-grams -> the sum of each document."""
+
+    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
+        words, starts = hashed_words(block["text"])
+        grams = totals["grams"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        found = totals["totals"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sort = np.argsort(grams)
+        grams, found = grams[sort], found[sort]
+
+        def total(asked: np.ndarray) -> np.ndarray:
+            """The total that came back, else the block's own count: no other block has the n-gram."""
+            own, place, counts = np.unique(asked, return_inverse=True, return_counts=True)
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+                counts = np.where(grams[at] == own, found[at], counts)
+            return counts.astype(np.float64)[place]
+
+        ends = np.append(starts[1:], len(words))
+        longest = np.minimum(np.arange(len(words)) - np.repeat(starts, ends - starts), order - 1)  # words of context
+        shorter = total(words)
+        score, back = np.log(BACKOFF**longest * shorter), np.ones(len(words), bool)
+        for n in range(2, order + 1):
+            hashes, at = gram_hashes(words, starts, n)
+            count = total(hashes)
+            seen = count >= LEAST
+            score[at[seen]] = np.log(BACKOFF ** (longest[at[seen]] - n + 1) * count[seen] / shorter[at[seen] - 1])
+            back[at[seen]] = False
+            shorter = np.zeros(len(words))
+            shorter[at] = count
+        backs = np.concatenate([[0], np.cumsum(back)])
+        sums = [float(score[a:b].sum()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.table({"doc_id": block["doc_id"], "n_words": pa.array(ends - starts, pa.int64()), "n_backed_off": pa.array(backs[ends] - backs[starts], pa.int64()), "log_sum": pa.array(sums, pa.float64())})
 
-    return xxhash.xxh3_64_intdigest(repr(docs).encode(), xxhash.xxh3_64_intdigest(np.ascontiguousarray(words).tobytes())) - (1 << 63)
+    return run
 
 
-def _requests(parts: int, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, starts, words in batches_of(batches):
-            if not len(words):
-                continue
-            name = _batch_name(docs, words)
-            for order in range(1, most + 1):
-                own, counts = np.unique(gram_hashes(words, starts, order)[0], return_counts=True)
-                cut = _split(own, parts)
-                rows = [p for p in range(parts) if cut[p] < cut[p + 1]]
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([order] * n, pa.int32()), pa.array(rows, pa.int32()), pa.array([name] * n, pa.int64()), pa.array([own[cut[p] : cut[p + 1]].tobytes() for p in rows], pa.binary()), pa.array([_press(counts[cut[p] : cut[p + 1]].astype("<u4")) for p in rows], pa.binary())],
-                    ["n", "part", "batch", "hashes", "counts"],
-                )
+def dealt_to_blocks(docs: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """Documents (block, doc_id, text), and how many bytes of text they have.
 
-    return run
+    The partition that a row comes from is part of its draw, so that rows that are equal in id
+    and text, however many, still spread.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(max(1, -(-size // (block_bytes or BLOCK_BYTES)))))
+    return docs.select(draw.cast("int").alias("block"), "doc_id", "text").repartition("block"), size
 
 
-def _totals(t: pa.Table) -> pa.Table:
-    """One hash partition: the count table, joined back to what each batch asked."""
-    asked = [np.frombuffer(h.as_py(), "<u8") for h in t["hashes"]]
-    counts = np.concatenate([_unpress(c.as_py(), "<u4") for c in t["counts"]]).astype(np.int64)
-    own, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(own)).astype("<u8")[inverse]
-    ends = np.cumsum([0, *map(len, asked)])
-    got = [_press(total[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.table({"n": t["n"], "part": t["part"], "batch": t["batch"], "totals": pa.array(got, pa.binary())})
-
-
-def _structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for docs, starts, words in batches_of(batches):
-        own, inverse = np.unique(words, return_inverse=True)
-        nulls = np.array([d is None for d in docs])
-        names = np.array([0 if d is None else d for d in docs], "<i8")
-        columns = [_press(names), _press(nulls), _press(starts.astype("<i8")), own.astype("<u8").tobytes(), _press(inverse.astype("<u4").view(np.uint8).reshape(-1, 4).T)]
-        yield pa.RecordBatch.from_arrays([pa.array([_batch_name(docs, words)], pa.int64()), *[pa.array([c], pa.binary()) for c in columns]], ["batch", "docs", "nulls", "starts", "own", "places"])
-
-
-def _sum_up(most: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Look up the totals of one batch and sum the scores of each of its documents."""
-        out = {"doc_id": [], "n_words": [], "n_backed_off": [], "log_sum": []}
-        totals = {}
-        for order in range(1, most + 1):
-            rows = sorted((p.as_py(), i) for i, (n, p) in enumerate(zip(right["n"], right["part"], strict=True)) if n.as_py() == order)
-            totals[order] = np.concatenate([_unpress(right["totals"][i].as_py(), "<u8") for _, i in rows]) if rows else np.empty(0, "<u8")
-        for r in left.to_pylist():
-            names, nulls, starts = _unpress(r["docs"], "<i8"), _unpress(r["nulls"], "?"), _unpress(r["starts"], "<i8")
-            own = np.frombuffer(r["own"], "<u8")
-            places = np.ascontiguousarray(_unpress(r["places"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-            words = own[places]
-            if len(own) != len(totals[1]):
-                raise ValueError("a batch came out otherwise when read again")
-            ends = np.append(starts[1:], len(words))
-            longest = np.minimum(np.arange(len(words)) - np.repeat(starts, ends - starts), most - 1)  # words of context
-            shorter = totals[1][places].astype(np.float64)
-            score, back = np.log(BACKOFF**longest * shorter), np.ones(len(words), bool)
-            for n in range(2, most + 1):
-                hashes, at = gram_hashes(words, starts, n)
-                _, inverse = np.unique(hashes, return_inverse=True)
-                count = totals[n][inverse].astype(np.float64)
-                seen = count >= LEAST
-                score[at[seen]] = np.log(BACKOFF ** (longest[at[seen]] - n + 1) * count[seen] / shorter[at[seen] - 1])
-                back[at[seen]] = False
-                shorter = np.zeros(len(words))
-                shorter[at] = count
-            sums, backs = np.concatenate([[0.0], score]), np.concatenate([[0], np.cumsum(back)])
-            for name, null, a, b in zip(names.tolist(), nulls.tolist(), starts.tolist(), ends.tolist(), strict=True):
-                out["doc_id"].append(None if null else name)
-                out["n_words"].append(b - a)
-                out["n_backed_off"].append(int(backs[b] - backs[a]))
-                out["log_sum"].append(float(sums[a + 1 : b + 1].sum()))
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_backed_off": pa.array(out["n_backed_off"], pa.int64()), "log_sum": pa.array(out["log_sum"], pa.float64())})
+def count_tables(dealt: DataFrame, size: int, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """(exploded n-grams (part, block, gram, count), count table (part, gram, total, blocks)) of all documents.
 
-    return run
+    Both are partitioned by ``part``, a range of hashes: their join moves nothing.
+    """
+    parts = max(PARTS, -(-size * order // (6 * OWNED)))
+    asked = dealt.groupBy("block").applyInArrow(_grams(parts, order), "part int not null, block int, grams array<long>, counts array<int>").repartition("part")
+    exploded = asked.select("part", "block", "counts", F.posexplode("grams").alias("at", "gram")).select("part", "block", "gram", F.get("counts", F.col("at")).alias("count"))
+    return exploded, exploded.groupBy("part", "gram").agg(F.sum("count").alias("total"), F.count("block").alias("blocks"))
 
 
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -169,14 +150,14 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     if order < 1:
         raise ValueError("a model needs an order of at least 1")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // (7 * OWNED)))
-    asked = docs.mapInArrow(_requests(parts, order), "n int, part int, batch long, hashes binary, counts binary")
-    totals = asked.groupBy("n", "part").applyInArrow(_totals, "n int, part int, batch long, totals binary")
-    kept = docs.mapInArrow(_structure, "batch long, docs binary, nulls binary, starts binary, own binary, places binary")
-    summed = kept.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_sum_up(order), "doc_id long, n_words long, n_backed_off long, log_sum double")
-    summed = checkpoint(summed)
+    dealt, size = dealt_to_blocks(docs)
+    exploded, counted = count_tables(dealt, size, order)
+    more = counted.where("blocks > 1").select(F.col("part").alias("p"), F.col("gram").alias("g"), "total").hint("shuffle_hash")
+    found = exploded.join(more, (F.col("part") == F.col("p")) & (F.col("gram") == F.col("g")) & (F.col("total") > F.col("count")))
+    back = found.groupBy("part", "block").agg(F.collect_list("gram").alias("grams"), F.collect_list("total").alias("totals"))
+    summed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(order), "doc_id long, n_words long, n_backed_off long, log_sum double")
+    with setting(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # ``part`` follows from the n-gram
+        summed = checkpoint(summed)
     total = summed.agg(F.sum("n_words")).first()[0] or 1
     score = F.col("log_sum") - F.col("n_backed_off") * F.log(F.lit(float(total)))
     return summed.select("doc_id", "n_words", "n_backed_off", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for as long as the block lasts."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def utf8_crc32(column: str):
     """Unsigned CRC-32 of a string column's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.coalesce(F.col(column), F.lit("")).cast("binary"))

@@ -25,8 +25,8 @@ def brute(rows):
 
 
 def test_against_plain_counts(spark, monkeypatch):
-    monkeypatch.setattr(backoff, "BATCH", 300)
-    monkeypatch.setattr(backoff, "OWNED", 500)
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(backoff, "PARTS", 5)
     rows = [*corpus(1), *ODD]
     got = backoff.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     rounded = [(r[0], r[1], r[2], round(r[3], 3), None if r[4] is None else round(r[4], 5)) for r in got]
@@ -56,8 +56,8 @@ def brute_of_order(rows, order):
 
 
 def test_longer_contexts(spark, monkeypatch):
-    monkeypatch.setattr(backoff, "BATCH", 300)
-    monkeypatch.setattr(backoff, "OWNED", 500)
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(backoff, "PARTS", 5)
     rows = [*corpus(2), *ODD, (70, "a"), (71, "a b"), (72, "a b c"), (73, "a b c d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     key = lambda r: (str(r[0]), r[1], r[2], round(r[3], 3))
@@ -70,6 +70,46 @@ def test_longer_contexts(spark, monkeypatch):
     assert scores[3] != scores[2]
 
 
+def test_rows_repeated_across_partitions(spark):
+    rows = [*corpus(3), *ODD]
+    one = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r)[:4] for r in backoff.score_documents(one.unionAll(one)).collect() if r[0] is not None)
+    want = sorted(r for r in brute_of_order(rows * 2, 2) if r[0] is not None)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_one_row_many_times(spark):
+    rows = [(1, "a b c a b")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    (want,) = {r[1:] for r in brute_of_order(rows, 2)}
+    got = backoff.score_documents(docs).collect()
+    assert len(got) == 500
+    assert all(r[1:3] == want[:2] and abs(r[3] - want[2]) < 1e-9 for r in got)
+
+
+def test_count_tables(spark, monkeypatch):
+    monkeypatch.setattr(backoff, "PARTS", 5)
+    rows = [*corpus(4), *ODD]
+    dealt, size = backoff.dealt_to_blocks(spark.createDataFrame(rows, "doc_id long, text string"), 2000)
+    exploded, counted = backoff.count_tables(dealt, size, 2)
+    texts = [words_of(t) for _, t in rows]
+    seen = Counter(tuple(t[i : i + n]) for t in texts for n in (1, 2) for i in range(len(t) - n + 1))
+    assert sorted(r["total"] for r in counted.collect()) == sorted(seen.values())
+    assert exploded.agg({"count": "sum"}).first()[0] == sum(seen.values())
+
+
+def test_rows_that_travel_grow_with_the_input(spark):
+    text = lambda n: " ".join(f"w{(n * 7919 + k * 104729) % 5000}" for k in range(300))
+    sizes = []
+    for n in (100, 200, 400):
+        dealt, size = backoff.dealt_to_blocks(spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string"), 20_000)
+        sizes.append(backoff.count_tables(dealt, size)[0].select("part", "block").distinct().count())
+    assert sizes[2] < 2.6 * sizes[1] < 2.6 * 2.6 * sizes[0]
+
+
 def test_op8(spark, sf):
-    assert backoff.op8(spark, sf()).count() == len(ODD)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_backed_off"], r["log_score"]) for r in backoff.op8(spark, sf()).collect())
+    want = sorted((str(r[0]), r[1], r[2], r[3]) for r in brute_of_order(ODD, 2))
+    assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3 for a, b in zip(got, want, strict=True))
     assert backoff.op8(spark, sf(empty=True)).count() == 0
