@@ -14,7 +14,7 @@ count(n-gram) / count(its first n - 1 words) of the longest such one, else its s
 words; each longer n-gram that the document has there costs a factor of BACKOFF.
 
 What travels: each text once, each n-gram at most once for each block that holds it, and its
-total back. The n-grams of one block for one hash partition share a row, as arrays, so there
+place in the block's list and total back. The n-grams of one block for one hash partition share a row, as arrays, so there
 are never more rows than n-grams. A frequent n-gram reaches its partition once a block, not once
 an occurrence, so no partition is hot.
 
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, setting, table
+from .common import checkpoint, give_back, setting, table
 from .minhash import _MIX, _mix, _words, word_list
 
 BACKOFF = 0.4
 LEAST = 2
-BLOCK_BYTES = 24 << 20  # text of a block
+BLOCK_BYTES = 16 << 20  # text of a block
 PARTS = 256  # hash partitions, at least
 OWNED = 16_000_000  # n-grams of a hash partition, about
 ORDER = 2
@@ -68,38 +68,42 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
 
 
+def _distinct(words: np.ndarray, starts: np.ndarray, parts: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct n-grams of a block, sorted; how often the block has them; where each hash partition's begin)"""
+    every = np.concatenate([gram_hashes(words, starts, n)[0] for n in range(1, order + 1)])
+    every.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(len(every[:1]), bool), every[1:] != every[:-1]]))
+    counts = np.diff(first, append=len(every))
+    grams = every[first]
+    edges = ((np.arange(parts, dtype=object) << 64) + parts - 1) // parts  # equal ranges of hashes
+    return grams, counts, np.append(np.searchsorted(grams, edges.astype(np.uint64)), len(grams))
+
+
 def _grams(parts: int, order: int):
     """A block -> for each hash partition its distinct n-grams and how often the block has them."""
 
     def run(block: pa.Table) -> pa.Table:
-        words, starts = hashed_words(block["text"])
-        grams, counts = np.unique(np.concatenate([gram_hashes(words, starts, n)[0] for n in range(1, order + 1)]), return_counts=True)
-        edges = ((np.arange(parts, dtype=object) << 64) + parts - 1) // parts  # equal ranges of hashes
-        cuts = np.append(np.searchsorted(grams, edges.astype(np.uint64)), len(grams))
+        grams, counts, cuts = _distinct(*hashed_words(block["text"]), parts, order)
         rows = np.flatnonzero(np.diff(cuts))
         cuts = np.append(cuts[rows], len(grams))
-        return pa.table({"part": pa.array(rows.astype(np.int32)), "block": pa.array(np.full(len(rows), block["block"][0].as_py()), pa.int32()), "grams": _lists(grams.view(np.int64), cuts), "counts": _lists(counts.astype(np.int32), cuts)})
+        out = pa.table({"part": pa.array(rows.astype(np.int32)), "block": pa.array(np.full(len(rows), block["block"][0].as_py()), pa.int32()), "grams": _lists(grams.view(np.int64), cuts), "counts": _lists(counts.astype(np.int32), cuts)})
+        give_back()
+        return out
 
     return run
 
 
-def _scores(order: int):
+def _scores(parts: int, order: int):
     """A block and the totals of its n-grams -> the sum of each document."""
 
-    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
+    def run(block: pa.Table, back: pa.Table) -> pa.Table:
         words, starts = hashed_words(block["text"])
-        grams = totals["grams"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        found = totals["totals"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        sort = np.argsort(grams)
-        grams, found = grams[sort], found[sort]
+        grams, totals, cuts = _distinct(words, starts, parts, order)  # what no other block has keeps the block's count
+        for part, at, total in zip(back["part"], back["at"], back["totals"], strict=True):
+            totals[cuts[part.as_py()] + at.values.to_numpy()] = total.values.to_numpy()
 
         def total(asked: np.ndarray) -> np.ndarray:
-            """The total that came back, else the block's own count: no other block has the n-gram."""
-            own, place, counts = np.unique(asked, return_inverse=True, return_counts=True)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                counts = np.where(grams[at] == own, found[at], counts)
-            return counts.astype(np.float64)[place]
+            return totals[np.searchsorted(grams, asked)].astype(np.float64)
 
         ends = np.append(starts[1:], len(words))
         longest = np.minimum(np.arange(len(words)) - np.repeat(starts, ends - starts), order - 1)  # words of context
@@ -115,7 +119,9 @@ def _scores(order: int):
             shorter[at] = count
         backs = np.concatenate([[0], np.cumsum(back)])
         sums = [float(score[a:b].sum()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return pa.table({"doc_id": block["doc_id"], "n_words": pa.array(ends - starts, pa.int64()), "n_backed_off": pa.array(backs[ends] - backs[starts], pa.int64()), "log_sum": pa.array(sums, pa.float64())})
+        out = pa.table({"doc_id": block["doc_id"], "n_words": pa.array(ends - starts, pa.int64()), "n_backed_off": pa.array(backs[ends] - backs[starts], pa.int64()), "log_sum": pa.array(sums, pa.float64())})
+        give_back()
+        return out
 
     return run
 
@@ -132,14 +138,17 @@ def dealt_to_blocks(docs: DataFrame, block_bytes: int | None = None) -> tuple[Da
     return docs.select(draw.cast("int").alias("block"), "doc_id", "text").repartition("block"), size
 
 
-def count_tables(dealt: DataFrame, size: int, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(exploded n-grams (part, block, gram, count), count table (part, gram, total, blocks)) of all documents.
+def partitions(size: int, order: int) -> int:
+    return max(PARTS, -(-size * order // (6 * OWNED)))
+
+
+def count_tables(dealt: DataFrame, parts: int, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """(exploded n-grams (part, block, at, gram, count), count table (part, gram, total, blocks)) of all documents.
 
     Both are partitioned by ``part``, a range of hashes: their join moves nothing.
     """
-    parts = max(PARTS, -(-size * order // (6 * OWNED)))
     asked = dealt.groupBy("block").applyInArrow(_grams(parts, order), "part int not null, block int, grams array<long>, counts array<int>").repartition("part")
-    exploded = asked.select("part", "block", "counts", F.posexplode("grams").alias("at", "gram")).select("part", "block", "gram", F.get("counts", F.col("at")).alias("count"))
+    exploded = asked.select("part", "block", "counts", F.posexplode("grams").alias("at", "gram")).select("part", "block", "at", "gram", F.get("counts", F.col("at")).alias("count"))
     return exploded, exploded.groupBy("part", "gram").agg(F.sum("count").alias("total"), F.count("block").alias("blocks"))
 
 
@@ -151,11 +160,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     if order < 1:
         raise ValueError("a model needs an order of at least 1")
     dealt, size = dealt_to_blocks(docs)
-    exploded, counted = count_tables(dealt, size, order)
+    parts = partitions(size, order)
+    exploded, counted = count_tables(dealt, parts, order)
     more = counted.where("blocks > 1").select(F.col("part").alias("p"), F.col("gram").alias("g"), "total").hint("shuffle_hash")
     found = exploded.join(more, (F.col("part") == F.col("p")) & (F.col("gram") == F.col("g")) & (F.col("total") > F.col("count")))
-    back = found.groupBy("part", "block").agg(F.collect_list("gram").alias("grams"), F.collect_list("total").alias("totals"))
-    summed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(order), "doc_id long, n_words long, n_backed_off long, log_sum double")
+    back = found.groupBy("part", "block").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("totals"))
+    summed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(parts, order), "doc_id long, n_words long, n_backed_off long, log_sum double")
     with setting(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # ``part`` follows from the n-gram
         summed = checkpoint(summed)
     total = summed.agg(F.sum("n_words")).first()[0] or 1

@@ -92,7 +92,7 @@ def test_count_tables(spark, monkeypatch):
     monkeypatch.setattr(backoff, "PARTS", 5)
     rows = [*corpus(4), *ODD]
     dealt, size = backoff.dealt_to_blocks(spark.createDataFrame(rows, "doc_id long, text string"), 2000)
-    exploded, counted = backoff.count_tables(dealt, size, 2)
+    exploded, counted = backoff.count_tables(dealt, backoff.partitions(size, 2), 2)
     texts = [words_of(t) for _, t in rows]
     seen = Counter(tuple(t[i : i + n]) for t in texts for n in (1, 2) for i in range(len(t) - n + 1))
     assert sorted(r["total"] for r in counted.collect()) == sorted(seen.values())
@@ -104,7 +104,7 @@ def test_rows_that_travel_grow_with_the_input(spark):
     sizes = []
     for n in (100, 200, 400):
         dealt, size = backoff.dealt_to_blocks(spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string"), 20_000)
-        sizes.append(backoff.count_tables(dealt, size)[0].select("part", "block").distinct().count())
+        sizes.append(backoff.count_tables(dealt, backoff.partitions(size, 2))[0].select("part", "block").distinct().count())
     assert sizes[2] < 2.6 * sizes[1] < 2.6 * 2.6 * sizes[0]
 
 
