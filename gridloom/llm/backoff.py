@@ -68,22 +68,27 @@ def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
 
 
-def _distinct(words: np.ndarray, starts: np.ndarray, parts: int, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct n-grams of a block, sorted; how often the block has them; where each hash partition's begin)"""
-    every = np.concatenate([gram_hashes(words, starts, n)[0] for n in range(1, order + 1)])
-    every.sort()
-    first = np.flatnonzero(np.concatenate([np.ones(len(every[:1]), bool), every[1:] != every[:-1]]))
-    counts = np.diff(first, append=len(every))
-    grams = every[first]
-    edges = ((np.arange(parts, dtype=object) << 64) + parts - 1) // parts  # equal ranges of hashes
-    return grams, counts, np.append(np.searchsorted(grams, edges.astype(np.uint64)), len(grams))
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where a new value begins in a sorted array."""
+    return np.concatenate([np.ones(len(ordered[:1]), bool), ordered[1:] != ordered[:-1]])
+
+
+def _cuts(grams: np.ndarray, parts: int) -> np.ndarray:
+    """Where each hash partition begins in sorted n-grams; partitions are equal ranges of hashes."""
+    edges = ((np.arange(parts, dtype=object) << 64) + parts - 1) // parts
+    return np.append(np.searchsorted(grams, edges.astype(np.uint64)), len(grams))
 
 
 def _grams(parts: int, order: int):
     """A block -> for each hash partition its distinct n-grams and how often the block has them."""
 
     def run(block: pa.Table) -> pa.Table:
-        grams, counts, cuts = _distinct(*hashed_words(block["text"]), parts, order)
+        words, starts = hashed_words(block["text"])
+        every = np.concatenate([gram_hashes(words, starts, n)[0] for n in range(1, order + 1)])
+        every.sort()
+        first = np.flatnonzero(_runs(every))
+        grams, counts = every[first], np.diff(first, append=len(every))
+        cuts = _cuts(grams, parts)
         rows = np.flatnonzero(np.diff(cuts))
         cuts = np.append(cuts[rows], len(grams))
         out = pa.table({"part": pa.array(rows.astype(np.int32)), "block": pa.array(np.full(len(rows), block["block"][0].as_py()), pa.int32()), "grams": _lists(grams.view(np.int64), cuts), "counts": _lists(counts.astype(np.int32), cuts)})
@@ -98,20 +103,26 @@ def _scores(parts: int, order: int):
 
     def run(block: pa.Table, back: pa.Table) -> pa.Table:
         words, starts = hashed_words(block["text"])
-        grams, totals, cuts = _distinct(words, starts, parts, order)  # what no other block has keeps the block's count
+        ends_of = [gram_hashes(words, starts, n) for n in range(1, order + 1)]
+        every = np.concatenate([hashes for hashes, _ in ends_of])
+        sort = np.argsort(every)
+        every = every[sort]
+        fresh = _runs(every)
+        first = np.flatnonzero(fresh)
+        totals = np.diff(first, append=len(every))  # what no other block has keeps the block's count
+        cuts = _cuts(every[first], parts)
         for part, at, total in zip(back["part"], back["at"], back["totals"], strict=True):
             totals[cuts[part.as_py()] + at.values.to_numpy()] = total.values.to_numpy()
-
-        def total(asked: np.ndarray) -> np.ndarray:
-            return totals[np.searchsorted(grams, asked)].astype(np.float64)
+        every = np.empty(len(sort))
+        every[sort] = totals[np.cumsum(fresh) - 1]
+        of_order = np.split(every, np.cumsum([len(at) for _, at in ends_of])[:-1])
 
         ends = np.append(starts[1:], len(words))
         longest = np.minimum(np.arange(len(words)) - np.repeat(starts, ends - starts), order - 1)  # words of context
-        shorter = total(words)
+        shorter = of_order[0]
         score, back = np.log(BACKOFF**longest * shorter), np.ones(len(words), bool)
         for n in range(2, order + 1):
-            hashes, at = gram_hashes(words, starts, n)
-            count = total(hashes)
+            at, count = ends_of[n - 1][1], of_order[n - 1]
             seen = count >= LEAST
             score[at[seen]] = np.log(BACKOFF ** (longest[at[seen]] - n + 1) * count[seen] / shorter[at[seen] - 1])
             back[at[seen]] = False
