@@ -38,6 +38,7 @@ BLOCK_BYTES = 16 << 20  # text of a block
 PARTS = 256  # hash partitions, at least
 OWNED = 16_000_000  # n-grams of a hash partition, about
 ORDER = 2
+NARROW = (1 << 31) - 1  # totals that return as an int
 
 
 def gram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +112,10 @@ def _scores(parts: int, order: int):
         first = np.flatnonzero(fresh)
         totals = np.diff(first, append=len(every))  # what no other block has keeps the block's count
         cuts = _cuts(every[first], parts)
-        for part, at, total in zip(back["part"], back["at"], back["totals"], strict=True):
+        for part, at, total, large in zip(back["part"], back["at"], back["totals"], back["large"], strict=True):
             totals[cuts[part.as_py()] + at.values.to_numpy()] = total.values.to_numpy()
+            for x in large.as_py():
+                totals[cuts[part.as_py()] + x["at"]] = x["total"]
         every = np.empty(len(sort))
         every[sort] = totals[np.cumsum(fresh) - 1]
         of_order = np.split(every, np.cumsum([len(at) for _, at in ends_of])[:-1])
@@ -175,7 +178,8 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     exploded, counted = count_tables(dealt, parts, order)
     more = counted.where("blocks > 1").select(F.col("part").alias("p"), F.col("gram").alias("g"), "total").hint("shuffle_hash")
     found = exploded.join(more, (F.col("part") == F.col("p")) & (F.col("gram") == F.col("g")) & (F.col("total") > F.col("count")))
-    back = found.groupBy("part", "block").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("totals"))
+    narrow = F.col("total") <= NARROW  # most fit half the bytes
+    back = found.groupBy("part", "block").agg(F.collect_list("at").alias("at"), F.collect_list(F.when(narrow, F.col("total")).otherwise(0).cast("int")).alias("totals"), F.collect_list(F.when(~narrow, F.struct("at", "total"))).alias("large"))
     summed = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scores(parts, order), "doc_id long, n_words long, n_backed_off long, log_sum double")
     with setting(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # ``part`` follows from the n-gram
         summed = checkpoint(summed)

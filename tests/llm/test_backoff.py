@@ -27,6 +27,7 @@ def brute(rows):
 def test_against_plain_counts(spark, monkeypatch):
     monkeypatch.setattr(backoff, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(backoff, "PARTS", 5)
+    monkeypatch.setattr(backoff, "NARROW", 4)
     rows = [*corpus(1), *ODD]
     got = backoff.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     rounded = [(r[0], r[1], r[2], round(r[3], 3), None if r[4] is None else round(r[4], 5)) for r in got]
