@@ -23,13 +23,21 @@ def ratios(history: DataFrame, keys: list[str], order: str, residual: str) -> Da
     return history.withColumn("ratio", F.when(before > 0, F.col(residual) / before))
 
 
+def finite(*names: str) -> Column:
+    """Whether all these columns are numbers, neither NaN nor infinite."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf"))
+    return out
+
+
 def rate_window(history: DataFrame, keys: list[str], order: str, residual: str, width: int = 5) -> DataFrame:
-    """Add ``rate``: mean of the ratios in (0, 2) among the last ``width``; 1 if none, null before."""
+    """Add ``rate``: mean of the ratios in (0, 1) among the last ``width``; 1 if none, 0 before there are so many."""
     w = _window(keys, order)
     near = w.rowsBetween(-(width - 1), 0)
-    valid = F.when((F.col("ratio") > 0) & (F.col("ratio") < 2), F.col("ratio"))
+    valid = F.when((F.col("ratio") > 0) & (F.col("ratio") < 1), F.col("ratio"))
     out = ratios(history, keys, order, residual).withColumn("__n", F.row_number().over(w)).withColumn("__valid", valid)
-    return out.withColumn("rate", F.when(F.col("__n") > width, F.coalesce(F.avg("__valid").over(near), F.lit(1.0)))).drop("__n", "__valid")
+    return out.withColumn("rate", F.when(F.col("__n") > width, F.coalesce(F.avg("__valid").over(near), F.lit(1.0))).otherwise(0.0)).drop("__n", "__valid")
 
 
 def _tail(history: DataFrame, keys: list[str], order: str, length: Column) -> DataFrame:
@@ -52,7 +60,7 @@ def classify(rate: Column) -> Column:
 
 def asymptotic_fit(history: DataFrame, keys: list[str], order: str, residual: str) -> DataFrame:
     """(keys, n, factor, r2): exp of the slope of ln residual over the last half, of runs of 10 or more."""
-    positive = history.where(F.col(residual) > 0)
+    positive = history.where((F.col(residual) > 0) & finite(residual))
     place = F.row_number().over(_window(keys, order)).cast("double")
     tail = _tail(positive.withColumn("__x", place), keys, order, F.greatest(F.lit(5), F.expr("n div 2"))).where("n >= 10")
     y = F.log(residual)
@@ -68,10 +76,10 @@ def stagnation(history: DataFrame, keys: list[str], order: str, residual: str) -
 
 
 def divergence(history: DataFrame, keys: list[str], order: str, residual: str, factor: float = 1e3) -> DataFrame:
-    """Add ``diverging``: after 3 iterations, beyond ``factor`` times the first residual."""
+    """Add ``diverging``: from the third iteration on, beyond ``factor`` times the first residual."""
     w = _window(keys, order)
     first = F.first_value(residual).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return history.withColumn("diverging", (F.row_number().over(w) > 3) & (F.col(residual) > first * factor))
+    return history.withColumn("diverging", (F.row_number().over(w) >= 3) & (F.col(residual) > first * factor))
 
 
 def best_so_far(history: DataFrame, keys: list[str], order: str, residual: str) -> DataFrame:
@@ -112,11 +120,16 @@ def preconditioner_switch(history: DataFrame, keys: list[str], order: str, resid
 
 
 def monitor_stagnation(history: DataFrame, keys: list[str], order: str, residual: str, width: int = 10, least: float = 1e-6) -> DataFrame:
-    """Add ``stagnant``: the window's spread relative to its mean is below ``least``."""
+    """Add ``stagnant``: the mean relative change within the last ``width`` residuals is below ``least``.
+
+    Changes from a residual that is not positive do not count; where none counts, the last judgement stays.
+    """
     w = _window(keys, order)
-    near = w.rowsBetween(-(width - 1), 0)
-    spread = (F.max(residual).over(near) - F.min(residual).over(near)) / F.avg(residual).over(near)
-    return history.withColumn("stagnant", (F.row_number().over(w) >= width) & F.coalesce(spread < least, F.lit(False)))
+    before = F.lag(residual).over(w)
+    changed = history.withColumn("__c", F.when(before > 0, F.abs(F.col(residual) - before) / before)).withColumn("__n", F.row_number().over(w))
+    judged = changed.withColumn("__j", F.when(F.col("__n") >= width, F.avg("__c").over(w.rowsBetween(-(width - 2), 0)) < least))
+    last = F.last("__j", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return judged.withColumn("stagnant", F.coalesce(last, F.lit(False))).drop("__c", "__n", "__j")
 
 
 def stall(history: DataFrame, keys: list[str], order: str, value: str, width: int = 50) -> DataFrame:
@@ -150,12 +163,16 @@ def orders(errors: DataFrame, keys: list[str], h: str, error: str) -> DataFrame:
 
 
 def loglog_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Least squares of ln y over ln x: slope, intercept, r2, standard error, 95 % interval and SSR."""
-    fine = df.where((F.col(x) > 0) & (F.col(y) > 0)).select(*keys, F.log(x).alias("a"), F.log(y).alias("b"))
+    """Least squares of ln y over ln x: slope, intercept, r2, standard error, 95 % margin and SSR.
+
+    Rows whose logarithms are not finite are left out. The margin is 1.96 standard errors, the usual
+    approximation; ``t_margin`` takes Student's quantile.
+    """
+    fine = df.where((F.col(x) > 0) & (F.col(y) > 0) & finite(x, y)).select(*keys, F.log(x).alias("a"), F.log(y).alias("b"))
     sums = fine.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("b", "a").alias("slope"), F.regr_intercept("b", "a").alias("intercept"), F.regr_r2("b", "a").alias("r2"),
         F.regr_sxx("b", "a").alias("sxx"), F.regr_syy("b", "a").alias("syy"), F.regr_sxy("b", "a").alias("sxy"),
     )
     ssr = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
     out = sums.withColumn("ssr", ssr).withColumn("stderr", F.when(F.col("n") > 2, F.sqrt(F.col("ssr") / (F.col("n") - 2) / F.col("sxx"))))
-    return out.withColumn("margin", t_quantile(F.col("n") - 2) * F.col("stderr")).drop("sxx", "syy", "sxy")
+    return out.withColumn("margin", F.lit(1.96) * F.col("stderr")).withColumn("t_margin", t_quantile(F.col("n") - 2) * F.col("stderr")).drop("sxx", "syy", "sxy")

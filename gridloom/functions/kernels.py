@@ -100,8 +100,17 @@ def solve_coarse(u, f, g: Grid, shift=0.0, tolerance=1e-12, most=1000):
     return u
 
 
+def calls(kind: str, levels: int) -> list[str]:
+    """The kinds of the cycles that a cycle runs one level below; ``levels`` counts from its own down.
+
+    An F cycle runs 2^(levels - 2) F cycles below, so its work multiplies with every level; FV, once F and
+    once V, costs little more than a V cycle and suits deep hierarchies.
+    """
+    return {"V": ["V"], "W": ["W", "W"], "F": ["F"] * max(1, 2 ** (levels - 2)), "FV": ["FV", "V"]}[kind]
+
+
 def cycle(u, f, levels: list[Grid], kind="V", before=2, after=2, smoother="red_black", shift=0.0, level=0, precision=None):
-    """One V, W or F cycle; an F cycle recurses once as F and once as V."""
+    """One V, W, F or FV cycle."""
     g, smooth = levels[level], SMOOTHERS[smoother]
     if level == len(levels) - 1:
         return solve_coarse(u, f, g, shift)
@@ -111,7 +120,7 @@ def cycle(u, f, levels: list[Grid], kind="V", before=2, after=2, smoother="red_b
         u = smooth(u, f, g, shift=shift)
     coarse = restrict(residual(u, f, g, shift))
     e = np.zeros_like(coarse)
-    for k in {"V": "V", "W": "WW", "F": "FV"}[kind]:
+    for k in calls(kind, len(levels) - level):
         e = cycle(e, coarse, levels, k, before, after, smoother, shift, level + 1, precision)
     u = u + prolong(e).astype(kind_of)
     for _ in range(after):

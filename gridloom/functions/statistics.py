@@ -73,7 +73,8 @@ def speedup_counts(df: DataFrame, speedup: str) -> DataFrame:
 
 
 def geometric_mean(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.where(F.col(value) > 0).groupBy(*keys).agg(F.exp(F.avg(F.log(value))).alias("geometric_mean"))
+    """Of the positive finite values."""
+    return df.where((F.col(value) > 0) & (F.col(value) < float("inf"))).groupBy(*keys).agg(F.exp(F.avg(F.log(value))).alias("geometric_mean"))
 
 
 def log_correlation(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

@@ -24,11 +24,15 @@ class Identity:
 
 
 class Diagonal:
-    """r over the diagonal inside, r itself on the boundary; ``scale`` times sqrt(aspect) if asked."""
+    """r over the diagonal inside, r itself on the boundary.
+
+    With ``scale``, and only where the spacings differ by more than a tenth, times scale sqrt(aspect).
+    """
 
     def __init__(self, grid: Grid, scale: float | None = None):
         self.grid = grid
-        self.factor = 1.0 if scale is None else scale * max(grid.hx / grid.hy, grid.hy / grid.hx) ** 0.5
+        aspect = grid.hx / grid.hy
+        self.factor = 1.0 if scale is None or abs(aspect - 1) <= 0.1 else scale * max(aspect, 1 / aspect) ** 0.5
 
     def apply(self, frame: DataFrame) -> DataFrame:
         inner = F.lit(self.factor) * F.col("r") / F.lit(self.grid.diagonal)

@@ -7,7 +7,6 @@ and solved one run to a group, so the cluster works on as many as it has cores.
 
 from __future__ import annotations
 
-import tempfile
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,19 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..grid import Grid
+from ..shared import checkpoint
 from . import smoothers, stencil
 
 HISTORY = "run_id string, iteration int, residual_norm double, iteration_time double, precision_level string, grid_level int"
 #: Grids of up to so many points are solved within one group.
 GROUP_POINTS = 129 * 129
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names, else in one of its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+#: From this iteration on, five ratios that average so much end single precision.
+SWITCH_FROM, SWITCH_RATE = 10, 0.95
 
 
 @dataclass
@@ -77,16 +71,19 @@ def _coarse_group(frame: DataFrame, grid: Grid, shift: float) -> DataFrame:
     return frame.select("i", "j", "u", "f").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: run(pdf)[["i", "j", "u", "f"]], "i int, j int, u double, f double")
 
 
-def cycle(frame: DataFrame, levels: list[Grid], kind: str = "V", before: int = 2, after: int = 2, level: int = 0, shift: float = 0.0, smooth=smoothers.red_black) -> DataFrame:
-    """One multigrid cycle over frames (i, j, u, f); V, W or F."""
+def cycle(frame: DataFrame, levels: list[Grid], kind: str = "V", before: int = 2, after: int = 2, level: int = 0, shift: float = 0.0, smooth=smoothers.red_black, group_points: int | None = None) -> DataFrame:
+    """One multigrid cycle over frames (i, j, u, f); V, W, F or FV as in kernels.calls.
+
+    Levels of at most ``group_points`` points are solved within one group; 0 keeps all but the coarsest distributed.
+    """
     grid = levels[level]
-    if level == len(levels) - 1 or grid.nx * grid.ny <= GROUP_POINTS:
+    if level == len(levels) - 1 or grid.nx * grid.ny <= (GROUP_POINTS if group_points is None else group_points):
         return _coarse_group(frame, grid, shift)
     frame = checkpoint(smooth(frame, grid, before, shift=shift))
     down = stencil.restrict_full(stencil.residual(frame, grid, shift=shift), grid, "r", zero_edge=True)
     error = down.select("i", "j", F.lit(0.0).alias("u"), F.col("r").alias("f"))
-    for k in {"V": "V", "W": "WW", "F": "FV"}[kind]:
-        error = cycle(error, levels, k, before, after, level + 1, shift, smooth)
+    for k in kernels.calls(kind, len(levels) - level):
+        error = cycle(error, levels, k, before, after, level + 1, shift, smooth, group_points)
     up = stencil.prolong_bilinear(error, grid)
     frame = stencil.combine(frame, up, lambda a, b: a + b)
     return checkpoint(smooth(frame, grid, after, shift=shift))
@@ -106,7 +103,7 @@ def two_grid(frame: DataFrame, grid: Grid, sweeps: int = 2, omega: float = 0.8)
     return stencil.combine(frame, stencil.prolong_bilinear(error, grid), lambda a, b: a + b)
 
 
-METHODS = ("V", "W", "F", "fmg", "jacobi", "gauss_seidel", "red_black", "symmetric", "sor", "cg", "pcg_diagonal", "pcg_lines", "pcg_ilu", "pcg_multigrid", "adaptive")
+METHODS = ("V", "W", "F", "FV", "fmg", "jacobi", "gauss_seidel", "red_black", "symmetric", "sor", "cg", "pcg_diagonal", "pcg_lines", "pcg_ilu", "pcg_multigrid", "adaptive")
 
 
 def solve_array(u, f, grid: Grid, method: str, tolerance: float, most: int, shift: float = 0.0):
@@ -126,15 +123,14 @@ def solve_array(u, f, grid: Grid, method: str, tolerance: float, most: int, shif
     if method == "fmg":
         u = kernels.full_multigrid(f, levels, u)
     for n in range(1, most + 1):
-        if method in ("V", "W", "F", "fmg", "adaptive"):
-            u = kernels.cycle(u.astype(np.float32 if precision == "float" else np.float64), f, levels, "V" if len(method) > 1 else method, shift=shift, precision=(lambda _: np.float32) if precision == "float" else None)
+        if method in ("V", "W", "F", "FV", "fmg", "adaptive"):
+            u = kernels.cycle(u.astype(np.float32 if precision == "float" else np.float64), f, levels, method if method in ("V", "W", "F", "FV") else "V", shift=shift, precision=(lambda _: np.float32) if precision == "float" else None)
         else:
             u = kernels.SMOOTHERS[method](u, f, grid, shift=shift)
         rows.append((n, kernels.norm(kernels.residual(u.astype(np.float64), f, grid, shift), grid), precision))
         if rows[-1][1] < tolerance:
             break
-        last = [r[1] for r in rows[-6:]]
-        if precision == "float" and len(rows) >= 3 and last[-2] > 0 and last[-1] / last[-2] >= 0.95:
+        if precision == "float" and n >= SWITCH_FROM and (ratios := [b[1] / a[1] for a, b in zip(rows[-6:-1], rows[-5:]) if a[1] > 0]) and len(ratios) == 5 and sum(ratios) / 5 >= SWITCH_RATE:
             precision = "double"  # single precision gives no more
     return u.astype(np.float64), rows
 

@@ -72,7 +72,7 @@ def ratios(h):
     return V.ratios(h, K, T, R).withColumn("ts", F.unix_micros("ts"))
 
 
-@query("rate_window", f"WITH {HIST}, {LAGGED}, q AS (SELECT *, {RATIO} AS ratio FROM l), v AS (SELECT *, CASE WHEN ratio > 0 AND ratio < 2 THEN ratio END AS ok FROM q) SELECT run, k, round(CASE WHEN k > 5 THEN coalesce(avg(ok) {near(5)}, 1.0) END, 6) AS rate FROM v")
+@query("rate_window", f"WITH {HIST}, {LAGGED}, q AS (SELECT *, {RATIO} AS ratio FROM l), v AS (SELECT *, CASE WHEN ratio > 0 AND ratio < 1 THEN ratio END AS ok FROM q) SELECT run, k, round(CASE WHEN k > 5 THEN coalesce(avg(ok) {near(5)}, 1.0) ELSE 0.0 END, 6) AS rate FROM v")
 def rate_window(spark, sf_dir):
     from pyspark.sql.window import Window
 
@@ -104,7 +104,7 @@ def stagnation(h):
     return rounded(V.stagnation(h, K, T, R), 6, "change")
 
 
-@on_history("divergence", "SELECT run, r, k > 3 AND r > first * 10.0 AS diverging FROM (SELECT *, first_value(r) OVER (PARTITION BY run ORDER BY ts) AS first FROM l)")
+@on_history("divergence", "SELECT run, r, k >= 3 AND r > first * 10.0 AS diverging FROM (SELECT *, first_value(r) OVER (PARTITION BY run ORDER BY ts) AS first FROM l)")
 def divergence(h):
     return V.divergence(h, K, T, R, 10.0).select("run", "r", "diverging")
 
@@ -143,9 +143,9 @@ def preconditioner_switch(h):
     return V.preconditioner_switch(h, K, T, R).select("run", "r", "switch")
 
 
-@on_history("monitor_stagnation", f"SELECT run, r, k >= 10 AND coalesce((hi - lo) / m < 0.9, false) AS stagnant FROM (SELECT *, max(r) {near(10)} AS hi, min(r) {near(10)} AS lo, avg(r) {near(10)} AS m FROM l)")
+@on_history("monitor_stagnation", f", c AS (SELECT *, CASE WHEN p > 0 THEN abs(r - p) / p END AS change FROM l), j AS (SELECT *, CASE WHEN k >= 10 THEN avg(change) {near(9)} < 3.0 END AS judged FROM c) SELECT run, r, coalesce(last_value(judged IGNORE NULLS) {W}, false) AS stagnant FROM j")
 def monitor_stagnation(h):
-    return V.monitor_stagnation(h, K, T, R, 10, 0.9).select("run", "r", "stagnant")
+    return V.monitor_stagnation(h, K, T, R, 10, 3.0).select("run", "r", "stagnant")
 
 
 @on_history("stall_last_n", f"SELECT run, r, k > 5 AND hi = lo AS stalled FROM (SELECT *, max(floor(r / 50)) {near(5)} AS hi, min(floor(r / 50)) {near(5)} AS lo FROM l)")
@@ -186,7 +186,20 @@ FIT = "count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS interce
 
 @query("loglog_fit", f"WITH {BENCH}, f AS (SELECT platform, ln(elapsed) AS y, ln(work) AS x FROM b WHERE elapsed > 0 AND work > 0), g AS (SELECT platform, {FIT} FROM f GROUP BY platform) SELECT platform, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(ssr, 3) AS ssr, round(sqrt(ssr / (n - 2) / sxx), 6) AS stderr, round(1.96 * sqrt(ssr / (n - 2) / sxx), 6) AS margin FROM g")
 def loglog_fit(spark, sf_dir):
-    return rounded(rounded(V.loglog_fit(bench(spark, sf_dir), ["platform"], "work", "elapsed"), 6, "slope", "intercept", "r2", "stderr", "margin"), 3, "ssr")
+    return rounded(rounded(V.loglog_fit(bench(spark, sf_dir), ["platform"], "work", "elapsed"), 6, "slope", "intercept", "r2", "stderr", "margin"), 3, "ssr").drop("t_margin")
+
+
+#: Times that are NaN, infinite, zero or negative on some lines.
+MASKED = "m AS (SELECT *, CASE size WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 'inf'::DOUBLE WHEN 3 THEN 0.0 WHEN 4 THEN -elapsed ELSE elapsed END AS odd FROM b)"
+
+
+@query("finite_mask_fit", f"WITH {BENCH}, {MASKED}, f AS (SELECT prec, ln(odd) AS y, ln(work) AS x FROM m WHERE isfinite(odd) AND odd > 0 AND work > 0), g AS (SELECT prec, {FIT} FROM f GROUP BY prec), q AS (SELECT prec, exp(avg(y)) AS gm FROM f GROUP BY prec) SELECT prec, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(1.96 * sqrt(ssr / (n - 2) / sxx), 6) AS margin, round(gm, 6) AS geometric_mean FROM g JOIN q USING (prec)")
+def finite_mask_fit(spark, sf_dir):
+    size = F.col("size")
+    odd = F.when(size == 1, float("nan")).when(size == 2, float("inf")).when(size == 3, 0.0).when(size == 4, -F.col("elapsed")).otherwise(F.col("elapsed"))
+    rows = bench(spark, sf_dir).withColumn("odd", odd)
+    fit = V.loglog_fit(rows, ["prec"], "work", "odd").join(S.geometric_mean(rows, ["prec"], "odd"), "prec")
+    return rounded(fit, 6, "slope", "intercept", "r2", "margin", "geometric_mean").select("prec", "n", "slope", "intercept", "r2", "margin", "geometric_mean")
 
 
 @query("log_correlation", f"WITH {BENCH} SELECT solver, round(corr(ln(elapsed + 1e-16), ln(work + 1e-16)), 6) AS correlation FROM b GROUP BY solver")

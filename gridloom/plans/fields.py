@@ -180,9 +180,17 @@ def bc_mixed_range_join(spark, sf_dir):
     return boundary.mixed(g17(spark, sf_dir), G, spark.createDataFrame(SEGMENTS, boundary.SEGMENTS))
 
 
-@query("bc_segment_gaps", "SELECT * FROM (VALUES ('left', 2, 'gap'), ('left', 3, 'overlap'), ('top', 1, 'gap at end')) t(side, seg_no, problem)")
+SEGMENT_ROWS = [("left", 1, 0.0, 0.3), ("left", 2, 0.4, 0.8), ("left", 3, 0.7, 1.0), ("top", 1, 0.0, 0.5), ("right", 1, 0.0, 0.5), ("right", 2, 0.5, 1.0), ("bottom", 1, 0.1, 1.0)]
+
+
+@query(
+    "bc_segment_gaps",
+    f"WITH s(side, seg_no, s0, s1) AS (VALUES {', '.join(map(str, SEGMENT_ROWS))}), c AS (SELECT *, coalesce(max(s1) OVER (PARTITION BY side ORDER BY s0, seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS reached FROM s) "
+    "SELECT side, seg_no, CASE WHEN s0 > reached + 1e-10 THEN 'gap' ELSE 'overlap' END AS problem FROM c WHERE abs(s0 - reached) > 1e-10 "
+    "UNION ALL SELECT side, max(seg_no), 'gap at end' FROM s GROUP BY side HAVING max(s1) < 1 - 1e-10",
+)
 def bc_segment_gaps(spark, sf_dir):
-    rows = [("left", 1, 0.0, 0.3), ("left", 2, 0.4, 0.8), ("left", 3, 0.7, 1.0), ("top", 1, 0.0, 0.5), ("right", 1, 0.0, 0.5), ("right", 2, 0.5, 1.0)]
+    rows = SEGMENT_ROWS
     return boundary.segment_gaps(spark.createDataFrame([(*r, "dirichlet", 0.0, 0.0, 0.0) for r in rows], boundary.SEGMENTS))
 
 
@@ -362,9 +370,15 @@ def diag_precond(field):
     return Diagonal(G).apply(field.select("i", "j", F.col("u").alias("r")))
 
 
-@on_field("scaled_diag_precond", f"WITH {FIELD} SELECT i, j, u AS r, CASE WHEN {within()} THEN 1.5 * u / {D} ELSE u END AS z FROM g")
+#: Spacings 1/16 and 1/8: the diagonal is 2 * 256 + 2 * 64.
+STRETCHED = Grid(17, 17, 0.0, 1.0, 0.0, 2.0)
+
+
+@on_field("scaled_diag_precond", f"WITH {FIELD} SELECT i, j, u AS r, CASE WHEN {within()} THEN u / {D} ELSE u END AS z, round(CASE WHEN {within()} THEN 1.5 * sqrt(2.0) * u / 640.0 ELSE u END, 9) AS z_stretched FROM g")
 def scaled_diag_precond(field):
-    return Diagonal(G, 1.5).apply(field.select("i", "j", F.col("u").alias("r")))
+    r = field.select("i", "j", F.col("u").alias("r"))
+    stretched = Diagonal(STRETCHED, 1.5).apply(r).select("i", "j", F.round("z", 9).alias("z_stretched"))
+    return Diagonal(G, 1.5).apply(r).join(stretched, ["i", "j"])
 
 
 def euler(name: str, source: str) -> str:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
 from ..streaming import monitor
 
 QUERIES: dict = {}
@@ -26,21 +26,21 @@ def query(name: str, sql: str):
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = monitor.from_files(spark, sf_dir, EVENTS, pathGlobFilter="events.parquet")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events table as a stream, be it one file or a folder of part files."""
+    return monitor.from_files(spark, f"{sf_dir}/events.parquet", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything there is now: rows into Parquet in the shared folder, whole aggregates into a table in memory."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    """Everything there is now, as Parquet in the shared folder: new rows appended, or each batch's whole aggregate."""
+    spark = stream.sparkSession
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{place}-progress")
     if mode == "append":
-        place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='streams-')}/{name}"
-        q = writer.format("parquet").option("path", place).option("checkpointLocation", f"{place}-progress").start()
+        q = writer.format("parquet").option("path", place).start()
     else:
-        q = writer.format("memory").queryName(name).start()
+        q = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(place)).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(place) if mode == "append" else spark.table(name)
+    return spark.read.schema(stream.schema).parquet(place)
 
 
 @query("stream_alerts", "SELECT event_id, event_type AS metric, value, CASE WHEN event_type = 'click' THEN 'warning' ELSE 'critical' END AS level FROM events WHERE (event_type = 'click' AND value > 90) OR (event_type = 'error' AND value > 50)")
@@ -58,9 +58,11 @@ def stream_windows(spark, sf_dir):
 
 @query(
     "stream_watch",
-    "WITH w AS (SELECT user_id, event_id, value, min(value) OVER o AS best, first_value(value) OVER o AS first, row_number() OVER o AS k, max(value) OVER t AS hi, min(value) OVER t AS lo, avg(value) OVER t AS m, count(*) OVER t AS c, "
-    "arg_min(event_id, (value, event_id)) OVER o AS best_at FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id), t AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) "
-    "SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(event_id AS INTEGER) AS iteration, value AS residual_norm, best, CAST(best_at AS INTEGER) AS best_at, c = 10 AND m > 0 AND (hi - lo) / m < 0.9 AS stagnating, k > 3 AND value > 10.0 * first AS diverging FROM w",
+    "WITH e AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events), "
+    "w AS (SELECT user_id, event_id, value, min(value) OVER o AS best, first_value(value) OVER o AS first, row_number() OVER o AS k, "
+    "avg(CASE WHEN p > 0 THEN abs(value - p) / p END) OVER t AS change, "
+    "arg_min(event_id, (value, event_id)) OVER o AS best_at FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id), t AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 8 PRECEDING AND CURRENT ROW)) "
+    "SELECT CAST(user_id AS VARCHAR) AS run_id, CAST(event_id AS INTEGER) AS iteration, value AS residual_norm, best, CAST(best_at AS INTEGER) AS best_at, k >= 10 AND coalesce(change < 0.9, false) AS stagnating, k >= 3 AND value > 10.0 * first AS diverging FROM w",
 )
 def stream_watch(spark, sf_dir):
     runs = _events(spark, sf_dir).select("ts", F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("int").alias("iteration"), F.col("value").alias("residual_norm"))

@@ -25,7 +25,11 @@ def from_rate(spark: SparkSession, rows_per_second: int = 10, metrics: tuple[str
 
 
 def from_files(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    """A stream of the Parquet files that arrive in a folder."""
+    """A stream of the Parquet files that arrive in a folder, or of one file.
+
+    The path is given as a pattern of itself: Spark takes a single file only from a pattern.
+    """
+    path = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
@@ -65,13 +69,19 @@ def last_values(metrics: DataFrame, keep: int = 200, idle: int = 600_000, late:
     return metrics.withWatermark("ts", late).groupBy("host", "metric").applyInPandasWithState(step, "host string, metric string, n int, values array<double>", "kept array<double>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+#: What watch keeps of a run.
+RUN = "first double, first_at int, best double, best_at int, seen int, last_at array<int>, last array<double>"
 EVENTS = "run_id string, iteration int, residual_norm double, best double, best_at int, stagnating boolean, diverging boolean"
 
 
 def watch(residuals: DataFrame, window: int = 10, least_change: float = 1e-6, diverged: float = 1e3, idle: int = 600_000, late: str = "30 seconds") -> DataFrame:
     """For each new iteration of each run: the best residual so far, and whether the run stagnates or diverges.
 
-    State: the first residual, the best and where it was, and the last ``window`` residuals.
+    A run stagnates when the mean relative change over its last ``window`` residuals is below
+    ``least_change``, and diverges when, from the third on, a residual exceeds ``diverged`` times the first.
+    State: the first residual, the best and where it was, and the last ``window`` residuals, all by
+    iteration and not by arrival: whatever the order, the state after the same rows is the same, and a
+    row that comes late is judged by all that is known then.
     """
 
     def step(key: tuple, batches: Iterator, state: GroupState):
@@ -80,24 +90,26 @@ def watch(residuals: DataFrame, window: int = 10, least_change: float = 1e-6, di
         if state.hasTimedOut:
             state.remove()
             return
-        first, best, best_at, seen, last = state.get if state.exists else (None, None, None, 0, [])
+        first, first_at, best, best_at, seen, last_at, last = state.get if state.exists else (None, None, None, None, 0, [], [])
+        near = list(zip(last_at, last, strict=True))
         found = [(int(i), float(r), t) for pdf in batches for i, r, t in zip(pdf["iteration"], pdf["residual_norm"], pdf["ts"], strict=True)]
         newest, rows = max(t for _, _, t in found), sorted((i, r) for i, r, _ in found)
         out = []
         for iteration, r in rows:
             seen += 1
-            first = r if first is None else first
-            if best is None or r < best:
+            if first_at is None or iteration < first_at:
+                first, first_at = r, iteration
+            if best is None or (r, iteration) < (best, best_at):
                 best, best_at = r, iteration
-            last = [*last, r][-window:]
-            mean = sum(last) / len(last)
-            stagnating = len(last) == window and mean > 0 and (max(last) - min(last)) / mean < least_change
-            out.append((key[0], iteration, r, best, best_at, stagnating, seen > 3 and r > diverged * first))
-        state.update((first, best, best_at, seen, last))
+            near = sorted([*near, (iteration, r)])[-window:]
+            changes = [abs(b - a) / a for (_, a), (_, b) in zip(near[:-1], near[1:], strict=True) if a > 0]
+            stagnating = len(near) == window and bool(changes) and sum(changes) / len(changes) < least_change
+            out.append((key[0], iteration, r, best, best_at, stagnating, seen >= 3 and r > diverged * first))
+        state.update((first, first_at, best, best_at, seen, [i for i, _ in near], [r for _, r in near]))
         state.setTimeoutTimestamp(int(newest.timestamp() * 1000) + idle)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    return residuals.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, EVENTS, "first double, best double, best_at int, seen int, last array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return residuals.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(step, EVENTS, RUN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recommendations(events: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def by_run(df, column):
 def test_ratios_and_rates(history):
     got = {(r["run"], r["k"]): r for r in V.rate_window(history, *ARGS).collect()}
     assert got["good", 3]["ratio"] == 0.5 and got["odd", 1]["ratio"] is None and got["good", 0]["ratio"] is None
-    assert got["good", 10]["rate"] == 0.5 and got["good", 4]["rate"] is None and got["bad", 7]["rate"] == 1.0
+    assert got["good", 10]["rate"] == 0.5 and got["good", 4]["rate"] == 0.0 and got["bad", 7]["rate"] == 1.0
 
 
 def test_tails(history):
@@ -59,7 +59,7 @@ def test_fit_matches_least_squares(spark):
     off = np.log(y) - slope * np.log(x) - intercept
     err = math.sqrt((off**2).sum() / 3 / ((np.log(x) - np.log(x).mean()) ** 2).sum())
     assert (r["slope"], r["intercept"], r["stderr"]) == pytest.approx((slope, intercept, err))
-    assert r["margin"] == pytest.approx(3.182 * err) and r["n"] == 5
+    assert r["t_margin"] == pytest.approx(3.182 * err) and r["n"] == 5
     order = [o["order"] for o in V.orders(df.where("y > 0"), ["k"], "x", "y").orderBy(F.desc("x")).collect()]
     assert order[0] is None and order[1] == pytest.approx(math.log(y[0] / y[1]) / math.log(2))
 

@@ -54,6 +54,37 @@ def test_watch_over_batches(spark, tmp_path):
     assert {r["run_id"] for r in advice.collect()} == {"a", "b"}
 
 
+def test_watch_does_not_depend_on_arrival(spark, tmp_path):
+    schema = "ts timestamp, run_id string, iteration int, residual_norm double"
+    rows = [(T0, "a", n, 4.0 + (-1) ** n * 1e-9 + (n == 7) * -3.0) for n in range(14)]
+    for k, batches in enumerate(([rows[:5], rows[5:]], [rows[8:], rows[:8]], [[r for r in rows if r[2] % 2], [r for r in rows if not r[2] % 2]])):
+        for batch in batches:
+            stream = arrive(spark, batch, schema, tmp_path / f"late{k}")
+        got = drive(monitor.watch(stream, 5), f"late_{k}", "append", spark, tmp_path)
+        assert len(got) == 14
+        more = spark.createDataFrame([(T0, "a", 14, 4.0)], schema)
+        more.coalesce(1).write.mode("append").parquet(str(tmp_path / f"late{k}"))
+        again = drive(monitor.watch(monitor.from_files(spark, str(tmp_path / f"late{k}"), schema, maxFilesPerTrigger=1)), f"again_{k}", "append", spark, tmp_path)
+        last = next(r for r in again if r["iteration"] == 14)
+        assert abs(last["best"] - 1.0) < 1e-6 and last["best_at"] == 7 and not last["diverging"]
+
+
+def test_tables_as_file_and_as_folder_give_the_same(spark, tmp_path):
+    from gridloom.plans import streams
+
+    rows = [(n, T0 + dt.timedelta(hours=n), n % 3, ["click", "error", "view"][n % 3], float(n * 37 % 101), None) for n in range(200)]
+    events = spark.createDataFrame(rows, streams.EVENTS)
+    folder, single = tmp_path / "folder", tmp_path / "single"
+    events.repartition(3).write.parquet(str(folder / "events.parquet"))
+    events.coalesce(1).write.parquet(str(tmp_path / "one"))
+    single.mkdir()
+    next((tmp_path / "one").glob("part-*")).rename(single / "events.parquet")
+    key = lambda r: str(r)
+    for name in ("stream_alerts", "stream_windows", "stream_watch"):
+        a, b = (sorted(map(tuple, streams.QUERIES[name](spark, str(p)).collect()), key=key) for p in (folder, single))
+        assert a == b and a
+
+
 def test_callbacks_do_not_stop_each_other(spark, tmp_path):
     stream = arrive(spark, [(T0, "h", "cpu", 1.0)], METRICS, tmp_path / "c")
     seen = []
