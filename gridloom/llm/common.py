@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint, shared_dir  # noqa: F401
+
 
 #: Bytes of rows that go to a Python worker at once.
 BATCH_BYTES = 16 << 20
@@ -19,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests, a laptop) is a local folder chosen.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str):
     """A setting of the session for as long as the block lasts."""

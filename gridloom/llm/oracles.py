@@ -38,7 +38,7 @@ def op1_sql() -> str:
         top = "" if n == 0 else ", best"
         parts.append(f"l{n} AS (SELECT r, any_value(k) AS k, arg_min(path, (d, path)) AS path, arg_min(num, (d, path)) AS num, {best} AS best FROM (SELECT r, k{top}, t{n}.path, t{n}.num, {draw.format(path=f't{n}.path', w='w')} AS d FROM {before} JOIN t{n} ON t{n}.parent = {before}.path) GROUP BY r)")
         before = f"l{n}"
-    g = PRODUCTION.grown[0]
+    g = PRODUCTION.changes[0]
     grown = draw.format(path=f"'{g.region}/{g.rack}/+0'", w=f"{g.weight}::DOUBLE")
     table = "list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, list_transform(range(8), lambda q: 0::UBIGINT)), lambda c, q: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END))"
     as_bytes = "list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS UBIGINT))"

@@ -8,20 +8,14 @@ from gridloom.llm.mtree import Search, build
 
 
 def brute(rows, k=5):
-    """query -> best (score, id), over integer vectors."""
-    seen = {}
-    for i, e in rows:
-        if i is None or not e or any(x is None or not math.isfinite(x) for x in e):
-            continue
-        e = [float(np.float32(x)) for x in e]
-        seen[i] = min(seen[i], e) if i in seen else e
-    whole = {i: [math.floor(256 * x) for x in e] for i, e in seen.items()}
+    """query -> best (score, id), over integer vectors; every row counts."""
+    whole = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for q in sorted(whole):
+    for own, (q, mine) in enumerate(whole):
         if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(mine, v)), i) for n, (i, v) in enumerate(whole) if n != own)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return out
+    return sorted(out)
 
 
 def rows_of(n, dim, seed=0, spread=0.3):
@@ -50,8 +44,9 @@ def test_many_trees_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mtree, "TREE", 100)
     monkeypatch.setattr(mtree, "BLOCK", 5)
     monkeypatch.setattr(mtree, "PAGE", 16)
-    rows = rows_of(700, 6)
-    vectors = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").cache()
+    monkeypatch.setattr(mtree, "PIVOTS", 4)
+    rows = [*rows_of(700, 6), *rows_of(60, 6, spread=0.0), *[(50, rows_of(1, 6)[0][1])] * 30]
+    vectors = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
     got = mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
 

@@ -21,12 +21,51 @@ def test_movement_is_confined_and_weights_hold(spark):
     assert abs(len(moved) / 20000 - 4 / 20) < 0.012
 
 
-def test_slots_are_gapless_in_a_hot_group(spark):
-    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("g"), "id")
-    got = {}
-    for r in number_slots(df, "g", ["id"], rows_per_bucket=700).collect():
-        got.setdefault(r["g"], []).append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in got.values())
+def shares(tree):
+    weights = [w for _, _, w in tree.shards().values()]
+    return [w / sum(weights) for w in weights]
+
+
+def test_lost_weight_moves_only_keys_of_its_subtree(spark):
+    keys = spark.range(20000)
+    base = HashTree((((1.0, 3.0), (2.0,)), ((2.0, 2.0), (4.0, 2.0))))
+    for tree, lost in ((base.reweigh(5, 1.0), {5}), (base.reweigh(1, 0.0), {1}), (base.remove(1, 0), {3, 4}), (base.remove(0), {0, 1, 2})):
+        rows = assign(keys, tree, F.col("id"), "shard", "after").collect()
+        assert {r["shard"] for r in rows if r["shard"] != r["after"]} == lost
+        got = Counter(r["after"] for r in rows)
+        for shard, share in enumerate(shares(tree)):
+            assert abs(got[shard] / 20000 - share) < 0.014, (tree, shard)
+
+
+def test_gains_after_losses_keep_the_shares(spark):
+    tree = HashTree.uniform(2, 2, 2).reweigh(3, 0.5).grow(0, 1, 2.0).remove(1, 1).reweigh(0, 3.0).reweigh(8, 1.0)
+    rows = assign(spark.range(30000), tree, F.col("id"), "shard", "after").collect()
+    got = Counter(r["after"] for r in rows)
+    assert set(got) == {0, 1, 2, 3, 4, 5, 8}
+    for shard, share in enumerate(shares(tree)):
+        assert abs(got[shard] / 30000 - share) < 0.014
+    raised = assign(spark.range(5000), HashTree.uniform(2, 2, 2).reweigh(6, 4.0), F.col("id"), "shard", "after").collect()
+    assert {r["after"] for r in raised if r["after"] != r["shard"]} == {6}
+
+
+def test_slots_follow_the_order_at_every_size(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 5).alias("g"), (F.col("id") * 7919 % 5000).alias("id")).repartition(5)
+    for rows_per_bucket in (700, 10_000):
+        got = {}
+        for r in number_slots(df, "g", ["id"], rows_per_bucket).collect():
+            got.setdefault(r["g"], []).append((r["slot"], r["id"]))
+        for rows in got.values():
+            rows.sort()
+            assert [s for s, _ in rows] == list(range(len(rows))) and [i for _, i in rows] == sorted(i for _, i in rows)
+
+
+def test_equal_rows_spread_over_ranges(spark, monkeypatch):
+    seen = []
+    keep = sharding.checkpoint
+    monkeypatch.setattr(sharding, "checkpoint", lambda df: seen.append(keep(df)) or seen[-1])
+    df = spark.range(3000).select(F.lit(1).alias("g"), F.lit(None).cast("long").alias("id")).repartition(6)
+    assert sorted(r["slot"] for r in number_slots(df, "g", ["id"], 300).collect()) == list(range(3000))
+    assert max(r["count"] for r in seen[0].groupBy("__bucket").count().collect()) < 1000
 
 
 def test_op1(spark, sf):
@@ -42,6 +81,20 @@ def test_op1(spark, sf):
     assert sharding.op1(spark, sf(empty=True)).count() == 0
 
 
+def test_twin_with_many_ranges(spark, monkeypatch):
+    import duckdb
+
+    from gridloom.llm.oracles import op1_sql
+
+    monkeypatch.setattr(sharding, "BUCKET", 40)
+    where = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{where}/documents.parquet')")
+    want = con.execute(f"select doc_id, shard, slot, grown_shard from ({op1_sql()}) order by 1").fetchall()
+    got = sharding.op1(spark, where).select("doc_id", "shard", "slot", "grown_shard").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_main_path_is_native(spark, sf):
     plan = sharding.op1(spark, sf())._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
