@@ -1,10 +1,12 @@
 """Best-fit packing by a grouping genetic algorithm.
 
-Pieces are dealt into problems of bounded size. Each problem is solved by several islands,
-each with a population of packings: crossover takes whole well-filled bins of one parent into
-the other, drops the bins that hold the same pieces and best-fits what was displaced; mutation
-dissolves the emptiest bins. Between epochs each island's elite migrates to the next island.
-Badly filled bins of all problems are dissolved and packed again together.
+Pieces are dealt by hash into problems of about PROBLEM pieces. Each problem is solved by several
+islands, each with a population of packings that starts from random orders: crossover takes whole
+well-filled bins of one parent into the other, drops the bins that hold the same pieces and
+best-fits what was displaced; mutation dissolves the emptiest bins and some others. Between epochs
+each island's elite migrates to the next island. A search ends at ceil(tokens / capacity), which no
+packing can beat, or after its generations. Badly filled bins of all problems are dissolved and
+packed again together.
 
 Defined results: a null or empty text is one piece with just the end id; only documents longer
 than a sequence are cut; whole pieces fill a sequence alone; repeated rows are pieces of their
@@ -21,14 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint, slices, table, tidy
 from .encoding import word_encoder
-from .sharding import number_slots
 
 CAPACITY = 2048
-PROBLEM = 4096  # pieces solved together
-ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 4, 6
+PROBLEM = 4096  # pieces solved together, about
+ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 4, 30
+EMPTIEST, OTHERS = 0.1, 0.2  # shares of the bins that a mutation dissolves
 WORDS = 120_000  # pieces a worker's table keeps; packing follows stages whose workers hold memory already
 DISSOLVE = 0.97  # bins filled less than this are packed again
 
@@ -83,11 +86,11 @@ def from_bins(bins: list[list[int]], sizes: list[int], capacity: int) -> Packing
     return out
 
 
-def first_packing(sizes: list[int], capacity: int, rng: random.Random, jitter: float) -> Packing:
-    """Best fit by falling size, with sizes disturbed by up to ``jitter``."""
-    key = [-s * (1 + jitter * rng.random()) for s in sizes] if jitter else [-s for s in sizes]
-    out = Packing(sizes, capacity)
-    out.best_fit(sorted(range(len(sizes)), key=key.__getitem__))
+def first_packing(sizes: list[int], capacity: int, rng: random.Random) -> Packing:
+    """Best fit in a random order."""
+    out, order = Packing(sizes, capacity), list(range(len(sizes)))
+    rng.shuffle(order)
+    out.best_fit(order)
     return out
 
 
@@ -110,33 +113,32 @@ def crossover(mother: Packing, father: Packing, rng: random.Random) -> Packing:
 
 
 def mutate(packing: Packing, rng: random.Random) -> Packing:
-    """The emptiest bins and as many others dissolved and best-fitted again."""
+    """The emptiest bins and some others dissolved and best-fitted again."""
     order = sorted(range(len(packing.bins)), key=packing.room.__getitem__)
-    gone = set(order[-max(1, len(order) // 50) :]) | set(rng.sample(order, max(1, len(order) // 50)))
+    share = lambda x: max(1, int(len(order) * x))
+    gone = set(order[-share(EMPTIEST) :]) | set(rng.sample(order, share(OTHERS)))
     out = from_bins([b for n, b in enumerate(packing.bins) if n not in gone], packing.sizes, packing.capacity)
     out.best_fit(sorted((i for n in gone for i in packing.bins[n]), key=lambda i: -packing.sizes[i]))
     return out
 
 
-def evolve(sizes: list[int], capacity: int, population: list[list[list[int]]], seed: int, offspring: int = OFFSPRING, wanted: int = POPULATION) -> list[Packing]:
-    """One epoch on one island; the population comes back, best first."""
+def evolve(sizes: list[int], capacity: int, population: list[list[list[int]]], seed: int, offspring: int = OFFSPRING, wanted: int = POPULATION) -> tuple[list[Packing], int]:
+    """One epoch on one island: (the population, best first; how many children were made)."""
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
     alive = [from_bins(p, sizes, capacity) for p in population]
     while len(alive) < wanted:
-        alive.append(first_packing(sizes, capacity, rng, 0.0 if not alive and seed % ISLANDS == 0 else 0.15))
-        if len(alive[-1].bins) == bound:
-            break
+        alive.append(first_packing(sizes, capacity, rng))
     alive.sort(key=Packing.fitness, reverse=True)
-    for _ in range(offspring):
-        if len(alive[0].bins) <= bound or len(alive) < 2:
-            break
+    children = 0
+    while children < offspring and len(alive[0].bins) > bound:
         mother, father = (alive[min(rng.randrange(len(alive)), rng.randrange(len(alive)))] for _ in range(2))
         child = mutate(crossover(mother, father, rng), rng)
+        children += 1
         if child.fitness() > alive[-1].fitness():
             alive[-1] = child
             alive.sort(key=Packing.fitness, reverse=True)
-    return alive
+    return alive, children
 
 
 def _flat(bins: list[list[int]]) -> list[int]:
@@ -155,7 +157,7 @@ def _bins(flat: list[int]) -> list[list[int]]:
     return list(out.values())
 
 
-STATE = "problem long, island int, sizes array<int>, population array<array<int>>, score array<long>"
+STATE = "problem long, island int, sizes array<int>, population array<array<int>>, score array<long>, children int"
 
 
 def _epoch(capacity: int, number: int):
@@ -164,34 +166,40 @@ def _epoch(capacity: int, number: int):
 
         for pdf in batches:
             out = []
-            for problem, island, sizes, population in zip(pdf["problem"], pdf["island"], pdf["sizes"], pdf["population"], strict=True):
+            for problem, island, sizes, population, before in zip(pdf["problem"], pdf["island"], pdf["sizes"], pdf["population"], pdf["children"], strict=True):
                 sizes = [int(s) for s in sizes]
-                before = [_bins([int(x) for x in p]) for p in population]
-                alive = evolve(sizes, capacity, before, (int(problem) * 1_000 + number) * ISLANDS + int(island))
+                alive, children = evolve(sizes, capacity, [_bins([int(x) for x in p]) for p in population], (int(problem) * 1_000 + number) * ISLANDS + int(island))
                 best = alive[0].fitness()
-                out.append((problem, island, sizes, [_flat(p.bins) for p in alive], [best[0], best[1]]))
-            yield pd.DataFrame(out, columns=["problem", "island", "sizes", "population", "score"])
+                out.append((problem, island, sizes, [_flat(p.bins) for p in alive], [best[0], best[1]], int(before) + children))
+            yield pd.DataFrame(out, columns=["problem", "island", "sizes", "population", "score", "children"])
 
     return run
 
 
-def _solve(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
-    """(problem, pos, bin, length) for items (problem, pos, length), pos counting from 0 in a problem."""
+def _evolved(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """The islands of every problem after the last epoch, as STATE, for items (problem, pos, length), pos counting from 0 in a problem."""
     listed = items.groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("pos", "length"))).alias("x"))
-    state = listed.select("problem", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.length").cast("array<int>").alias("sizes"), F.array().cast("array<array<int>>").alias("population"), F.array().cast("array<long>").alias("score"))
+    none = [F.array().cast("array<array<int>>").alias("population"), F.array().cast("array<long>").alias("score"), F.lit(0).alias("children")]
+    state = listed.select("problem", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.length").cast("array<int>").alias("sizes"), *none)
     for n in range(epochs):
         if n:
             elite = state.select("problem", ((F.col("island") + 1) % islands).alias("island"), F.element_at("population", 1).alias("elite"))
-            state = state.join(elite, ["problem", "island"]).select("problem", "island", "sizes", F.array_union("population", F.array("elite")).alias("population"), "score")
+            state = state.join(elite, ["problem", "island"]).select("problem", "island", "sizes", F.array_union("population", F.array("elite")).alias("population"), "score", "children")
         state = checkpoint(state.repartition("problem", "island").mapInPandas(tidy(_epoch(capacity, n)), STATE))
-    best = state.groupBy("problem").agg(F.max_by(F.struct("sizes", F.element_at("population", 1).alias("bins")), F.struct("score", "island")).alias("b"))
+    return state
+
+
+def _solve(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """(problem, pos, bin, length) from the best packing of every problem."""
+    best = _evolved(items, capacity, islands, epochs).groupBy("problem").agg(F.max_by(F.struct("sizes", F.element_at("population", 1).alias("bins")), F.struct("score", "island")).alias("b"))
     return best.select("problem", F.posexplode(F.arrays_zip(F.col("b.bins").alias("bin"), F.col("b.sizes").alias("length"))).alias("pos", "x")).select("problem", F.col("pos").cast("long").alias("pos"), F.col("x.bin").alias("bin"), F.col("x.length").alias("length"))
 
 
 def _numbered(items: DataFrame) -> DataFrame:
-    """Deal items (item, length) into problems of at most PROBLEM items."""
-    dealt = number_slots(items.withColumn("all", F.lit(0)), "all", ["item"])
-    return dealt.select("item", "length", F.expr(f"slot div {PROBLEM}").alias("problem"), (F.col("slot") % PROBLEM).alias("pos"))
+    """Deal items (item, length) by hash into problems of about PROBLEM items, numbered within each."""
+    problems = max(1, -(-items.count() // PROBLEM))
+    dealt = items.select("item", "length", F.pmod(F.xxhash64("item"), F.lit(problems)).alias("problem"))
+    return dealt.withColumn("pos", (F.row_number().over(Window.partitionBy("problem").orderBy("item")) - 1).cast("long"))
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -208,7 +216,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epo
     second = again.join(_solve(again, capacity, islands, epochs).select("problem", "pos", "bin"), ["problem", "pos"])
     placed = judged.where("good").select("item", "length", F.lit(0).alias("turn"), "problem", "bin", "pos").unionByName(second.select("item", "length", F.lit(1).alias("turn"), "problem", "bin", "pos"))
     bins = placed.groupBy("turn", "problem", "bin").agg(F.array_sort(F.collect_list(F.struct("pos", "length", "item"))).alias("x"))
-    sequence = ((F.col("problem") * PROBLEM + F.col("bin")) * 2 + F.col("turn")).cast("long")
+    sequence = F.shiftleft(F.col("problem"), 32) + F.col("bin").cast("long") * 2 + F.col("turn")
     ends = F.transform(F.sequence(F.lit(1), F.size("x")), lambda n: F.aggregate(F.slice("x", 1, n - 1), F.lit(0).cast("long"), lambda a, y: a + y["length"]))
     spread = bins.select(sequence.alias("sequence_id"), F.explode(F.arrays_zip(F.col("x.item").alias("item"), ends.alias("offset"))).alias("y"))
     return full.unionByName(spread.select(F.col("y.item").alias("item"), "sequence_id", F.col("y.offset").alias("offset")))
