@@ -4,8 +4,8 @@ A document is a bag of passages. Each passage of PASSAGE bytes is encoded by fix
 features: how often byte classes and pairs of classes occur, and how much of it repeats.
 A hidden layer and gated attention (tanh times sigmoid) are learned from document labels;
 the attention-weighted passage gives the score. The fit takes at most SAMPLE labelled rows,
-each with all its passages, and of these rows as many as have at most PASSAGES together; scores
-read every passage of every text.
+each with all its passages, and of these rows as many as have at most PASSAGES together; of rows
+with one doc_id the fit takes one; scores read every passage of every text.
 
 Defined results: null and empty texts are one empty passage; equal texts get equal scores; rows
 without a label are scored like others; a table without usable labels scores everything 0.5.
@@ -177,18 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAtte
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by ``sample``
     passages = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE))
     left, fit = PASSAGES, []
-    sizes = rows.groupBy("doc_id").agg(F.sum(passages).alias("n"), F.xxhash64("doc_id").alias("hash")).collect()  # at most ``sample`` ids
+    sizes = rows.groupBy("doc_id").agg(F.max(passages).alias("n"), F.xxhash64("doc_id").alias("hash")).collect()  # at most ``sample`` ids
     for r in sorted(sizes, key=lambda r: (r["hash"], r["doc_id"])):
         if r["n"] <= left:
             left -= r["n"]
             fit.append((r["doc_id"],))
     if len(fit) < len(sizes):
         rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fit, "doc_id long")), "doc_id")
-    got: dict[int, tuple[bytes, float]] = {}
-    for r in rows.select("doc_id", "text", "label").mapInArrow(tidy(_sampled), "doc_id long, label double, bag binary").collect():  # at most ``sample`` ids
-        one = bytes(r["bag"])
-        got[r["doc_id"]] = (min(one, got[r["doc_id"]][0]) if r["doc_id"] in got else one, r["label"])
-    got = {d: (np.frombuffer(b, np.float32).reshape(-1, N_FEATURES), v) for d, (b, v) in sorted(got.items())}
+    bags = rows.select("doc_id", "text", "label").mapInArrow(tidy(_sampled), "doc_id long, label double, bag binary")
+    one = bags.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("bag").alias("bag"))  # a repeated id counts once, before anything is collected
+    got = {r["doc_id"]: (np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, N_FEATURES), r["label"]) for r in one.orderBy("doc_id").collect()}  # at most ``sample`` ids
     y = np.array([v for _, v in got.values()])
     if len(got) < 2 or y.min() == y.max():
         return None
