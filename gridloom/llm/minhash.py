@@ -208,8 +208,9 @@ def _grouped(docs: DataFrame, words: int, threshold: int, bands: int, rows: int)
     named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     signed = checkpoint(named.mapInArrow(tidy(_sign(words, bands, rows)), "doc_id long, text_hash long, n long, h1 long, h2 long, keys array<long>"))
     some = signed.where("n > 0")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("own")
+    classes = some.groupBy("h1", "h2").agg(own, F.min("n").alias("n"), F.min("keys").alias("keys"))
+    classes = checkpoint(classes.select("h1", "h2", F.col("own.doc_id").alias("least"), F.col("own.text_hash").alias("least_hash"), "n", "keys", F.monotonically_increasing_id().alias("node")))
     component = checkpoint(_components(docs, classes, words, threshold))
     release(docs.sparkSession)
     owned = classes.join(component, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("group"))
@@ -235,9 +236,8 @@ def keep_one(docs: DataFrame, words: int = SHINGLE, threshold: int = 80, bands:
     first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
     stay = checkpoint(first.select("x.doc_id", "x.text_hash").unionByName(alone.select("doc_id", "text_hash").distinct()))
     stay = stay.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
-    sent = F.broadcast(stay) if stay.count() <= SENT_IDS else stay
     key = F.xxhash64(F.col("text").cast("string"))
-    out = docs.join(sent, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (key == F.col("__hash")), "left_semi")
+    out = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (key == F.col("__hash")), "left_semi")
     every = grouped.select("doc_id", "text_hash").unionByName(alone.select("doc_id", "text_hash"))
     repeated = every.groupBy("doc_id", "text_hash").count().where("count > 1")
     return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
@@ -334,16 +334,10 @@ def _meet(threshold: int):
     return run
 
 
-#: Up to so many ids are sent to every executor (about 50 MB); beyond, the texts are dealt out by a join.
-SENT_IDS = 500_000
-
-
 def _set_table(docs: DataFrame, classes: DataFrame, buckets: DataFrame, words: int) -> DataFrame:
     """(node, hashes) of every class that shares a bucket, from the text of its least doc_id."""
-    wanted = settled(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", F.col("least").alias("own")))
-    if wanted.count() <= SENT_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("own"))).select("node", "text", "h1", "h2")
+    wanted = settled(classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", F.col("least").alias("own"), "least_hash"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.xxhash64("text") == F.col("least_hash"))).select("node", "text", "h1", "h2")
     sets = checkpoint(texts.mapInArrow(tidy(_sets(words)), "node long, hashes array<long>"))
     found, distinct = sets.agg(F.count("node"), F.count_distinct("node")).first()
     return sets if found == distinct else checkpoint(sets.groupBy("node").agg(F.min("hashes").alias("hashes")))

@@ -3,7 +3,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.llm import minhash
 from gridloom.llm.graph import connected_components
@@ -67,6 +66,25 @@ def test_against_all_pairs(spark, n):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("paired", [1, 2, 10_000])
+def test_blocks_and_pairs_find_the_same(spark, monkeypatch, paired):
+    """Buckets compared in blocks, in pairs, and in both ways."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "BLOCK_LEFT", 3)
+    monkeypatch.setattr(minhash, "BLOCK_RIGHT", 5)
+    rows = [*corpus(4), *ODD]
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(60)]
+    for n in range(60):  # near the threshold of one another, on both sides
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((9000 + n, " ".join(words)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=4).collect()
+    key = lambda r: (str(r[0]), r[1], str(r[2]))
+    assert sorted([tuple(r)[:3] for r in got], key=key) == sorted(brute(rows, 4), key=key)
+
+
 def test_keep_one_leaves_one_of_each_group(spark, odd):
     kept = minhash.keep_one(odd)
     assert kept.columns == odd.columns
@@ -99,4 +117,3 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100}
-    assert F is not None
