@@ -222,7 +222,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def _deal(vectors: DataFrame, pivots: int, dim: int) -> DataFrame:
     """Add ``tree``: the number of the nearest pivot, and of each TREE rows of that pivot, in one number."""
     if pivots == 1:
-        return number_slots(vectors.withColumn("all", F.lit(0)), "all", ["row"]).select("row", "vec_id", "v", F.expr(f"slot div {TREE}").alias("tree"))
+        return vectors.select("row", "vec_id", "v", F.lit(0).cast("long").alias("tree"))
     picked = vectors.orderBy(F.xxhash64("vec_id", "row"), "row").limit(pivots).select("v").toPandas()  # at most PIVOTS
     at = _matrix(picked["v"], dim).astype(np.float64)
     half = np.einsum("ij,ij->i", at, at) / 2

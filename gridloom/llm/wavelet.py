@@ -245,8 +245,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and checksum of each document, from the files alone."""
     files = spark.read.parquet(path)
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    offsets = files.select("shard", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", earlier(Window.orderBy("shard")).alias("start"))  # a row for each shard
+    inside = files.select("shard", "part", earlier(Window.partitionBy("shard").orderBy("part")).alias("inside_shard"))
+    offsets = inside.join(shards, "shard").select("shard", "part", (F.col("start") + F.col("inside_shard")).alias("before"))
     rows = files.select("shard", "part", "file").mapInArrow(_read, "shard int, part int, doc_id long, inside long, n_tokens long, ids_crc32 long")
     return rows.join(offsets, ["shard", "part"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
