@@ -31,6 +31,7 @@ from .encoding import word_encoder
 CAPACITY = 2048
 PROBLEM = 4096  # pieces solved together, about
 ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 4, 30
+SEARCHES = 4  # searches of one task, about: their rows are small and their work is not
 EMPTIEST, OTHERS = 0.1, 0.2  # shares of the bins that a mutation dissolves
 WORDS = 120_000  # pieces a worker's table keeps; packing follows stages whose workers hold memory already
 DISSOLVE = 0.97  # bins filled less than this are packed again
@@ -180,12 +181,14 @@ def _evolved(items: DataFrame, capacity: int, islands: int, epochs: int) -> Data
     """The islands of every problem after the last epoch, as STATE, for items (problem, pos, length), pos counting from 0 in a problem."""
     listed = items.groupBy("problem").agg(F.array_sort(F.collect_list(F.struct("pos", "length"))).alias("x"))
     none = [F.array().cast("array<array<int>>").alias("population"), F.array().cast("array<long>").alias("score"), F.lit(0).alias("children")]
+    last = items.agg(F.max("problem")).first()[0]
+    tasks = 1 if last is None else -(-(last + 1) * islands // SEARCHES)
     state = listed.select("problem", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.length").cast("array<int>").alias("sizes"), *none)
     for n in range(epochs):
         if n:
             elite = state.select("problem", ((F.col("island") + 1) % islands).alias("island"), F.element_at("population", 1).alias("elite"))
             state = state.join(elite, ["problem", "island"]).select("problem", "island", "sizes", F.array_union("population", F.array("elite")).alias("population"), "score", "children")
-        state = checkpoint(state.repartition("problem", "island").mapInPandas(tidy(_epoch(capacity, n)), STATE))
+        state = checkpoint(state.repartition(tasks, "problem", "island").mapInPandas(tidy(_epoch(capacity, n)), STATE))
     return state
 
 
