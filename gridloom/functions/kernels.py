@@ -66,12 +66,17 @@ def optimal_sor(g: Grid) -> float:
     return 2.0 / (1.0 + np.sin(np.pi * g.h / max(g.x1 - g.x0, g.y1 - g.y0)))
 
 
+#: Weight of Jacobi's smoother for the 5-point Laplacian. 2 / (1 + sqrt(1 - rho^2)), often given as optimal, is that of
+#: over-relaxation; with Jacobi it diverges once rho exceeds sqrt(1/2).
+JACOBI_WEIGHT = 4.0 / 5.0
+
+
 def spectral_radius(g: Grid) -> float:
     """Of Jacobi's iteration."""
     return float(np.cos(np.pi / (g.nx - 1)) * np.cos(np.pi / (g.ny - 1)))
 
 
-SMOOTHERS = {"jacobi": jacobi, "red_black": red_black, "gauss_seidel": gauss_seidel, "symmetric": symmetric, "sor": lambda u, f, g, omega=None, shift=0.0: gauss_seidel(u, f, g, omega or optimal_sor(g), shift)}
+SMOOTHERS = {"jacobi": jacobi, "weighted_jacobi": lambda u, f, g, omega=JACOBI_WEIGHT, shift=0.0: jacobi(u, f, g, omega, shift), "red_black": red_black, "gauss_seidel": gauss_seidel, "symmetric": symmetric, "sor": lambda u, f, g, omega=None, shift=0.0: gauss_seidel(u, f, g, omega or optimal_sor(g), shift)}
 
 
 def restrict(r: np.ndarray) -> np.ndarray:
@@ -145,33 +150,37 @@ def full_multigrid(f, levels: list[Grid], boundary=None, cycles=1, **kw):
     return u
 
 
-def ilu0(g: Grid, shift=0.0, modified=0.0):
-    """Incomplete factors of A on inner points without fill: (lower west, lower south, pivots)."""
+def ilu0(g: Grid, shift=0.0, modified=0.0, drop=0.0):
+    """Incomplete factors of A on inner points without fill: the pivots.
+
+    Couplings whose factor is below ``drop`` are left out, here and in ilu_apply.
+    """
     n, m = g.nx - 2, g.ny - 2
     pivot = np.zeros((n, m))
     for i in range(n):
         for j in range(m):
             d = g.diagonal + shift + modified
-            if i:
+            if i and g.cx / pivot[i - 1, j] >= drop:
                 d -= g.cx * g.cx / pivot[i - 1, j]
-            if j:
+            if j and g.cy / pivot[i, j - 1] >= drop:
                 d -= g.cy * g.cy / pivot[i, j - 1]
             pivot[i, j] = d
     return pivot
 
 
-def ilu_apply(r: np.ndarray, g: Grid, pivot: np.ndarray) -> np.ndarray:
+def ilu_apply(r: np.ndarray, g: Grid, pivot: np.ndarray, drop=0.0) -> np.ndarray:
     """z with L U z = r on inner points; the boundary is passed through."""
     z = r.copy()
     n, m = pivot.shape
+    cx, cy = np.where(g.cx / pivot >= drop, g.cx, 0.0), np.where(g.cy / pivot >= drop, g.cy, 0.0)  # by the earlier point
     y = np.zeros((n + 1, m + 1))
     for i in range(n):
         for j in range(m):
-            y[i, j] = (r[i + 1, j + 1] + (g.cx * y[i - 1, j] if i else 0) + (g.cy * y[i, j - 1] if j else 0)) / pivot[i, j]
+            y[i, j] = (r[i + 1, j + 1] + (cx[i - 1, j] * y[i - 1, j] if i else 0) + (cy[i, j - 1] * y[i, j - 1] if j else 0)) / pivot[i, j]
     x = np.zeros((n + 1, m + 1))
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            x[i, j] = y[i, j] + (g.cx * x[i + 1, j] + g.cy * x[i, j + 1]) / pivot[i, j]
+            x[i, j] = y[i, j] + (cx[i, j] * x[i + 1, j] + cy[i, j] * x[i, j + 1]) / pivot[i, j]
     z[1:-1, 1:-1] = x[:n, :m]
     return z
 

@@ -36,16 +36,19 @@ def sor(field: DataFrame, grid: Grid, sweeps: int = 1, omega: float | None = Non
     return red_black(field, grid, sweeps, omega or float(kernels.optimal_sor(grid)), **kw)
 
 
-def tiled(field: DataFrame, grid: Grid, sweeps: int, tile: int = 512, omega: float = 0.8, value: str = "u", rhs: str = "f", shift: float = 0.0) -> DataFrame:
-    """``sweeps`` Jacobi steps in one exchange, equal to as many separate steps.
+def tiled(field: DataFrame, grid: Grid, sweeps: int, tile: int = 512, omega: float = 0.8, value: str = "u", rhs: str = "f", shift: float = 0.0, kind: str = "jacobi", residual: str | None = None) -> DataFrame:
+    """``sweeps`` Jacobi or red-black steps in one exchange, equal to as many separate steps.
 
-    A tile gets a rim as wide as the sweeps; rim values go stale from outside in, one ring a
-    sweep, and are dropped. A tile with its rim, not the grid, must fit into a task.
+    A tile gets a rim as wide as the values that reach into it: one ring for each Jacobi step, two for
+    each red-black one, and one more for the residual, which ``residual`` names as a column to add
+    (zero on the edge). Rim values go stale from outside in and are dropped. A tile with its rim, not
+    the grid, must fit into a task.
     """
-    if sweeps > tile:
+    rim = sweeps * {"jacobi": 1, "red_black": 2}[kind] + (residual is not None)
+    if rim > tile:
         raise ValueError("a rim wider than a tile")
-    low = lambda c: F.floor((F.col(c) - sweeps) / tile)
-    high = lambda c: F.floor((F.col(c) + sweeps) / tile)
+    low = lambda c: F.floor((F.col(c) - rim) / tile)
+    high = lambda c: F.floor((F.col(c) + rim) / tile)
     last = lambda n: (n - 1) // tile
     copies = field.select("i", "j", value, rhs, F.explode(F.sequence(F.greatest(low("i"), F.lit(0)), F.least(high("i"), F.lit(last(grid.nx))))).alias("ti"))
     copies = copies.select("*", F.explode(F.sequence(F.greatest(low("j"), F.lit(0)), F.least(high("j"), F.lit(last(grid.ny))))).alias("tj"))
@@ -60,13 +63,27 @@ def tiled(field: DataFrame, grid: Grid, sweeps: int, tile: int = 512, omega: flo
         u, f = np.zeros(shape), np.zeros(shape)
         u[at], f[at] = pdf[value], pdf[rhs]
         i, j = np.indices(shape)
-        fixed = (i + i0 == 0) | (i + i0 == grid.nx - 1) | (j + j0 == 0) | (j + j0 == grid.ny - 1)
-        for _ in range(sweeps):
+        i, j = i + i0, j + j0
+        inner = (i > 0) & (i < grid.nx - 1) & (j > 0) & (j < grid.ny - 1)
+
+        def near():
             wide = np.pad(u, 1)
-            near = (wide[2:, 1:-1] + wide[:-2, 1:-1]) * grid.cx + (wide[1:-1, 2:] + wide[1:-1, :-2]) * grid.cy
-            u = np.where(fixed, u, (1 - omega) * u + omega * (f + near) / (grid.diagonal + shift))
+            return (wide[2:, 1:-1] + wide[:-2, 1:-1]) * grid.cx + (wide[1:-1, 2:] + wide[1:-1, :-2]) * grid.cy
+
+        for _ in range(sweeps):
+            for moved in [inner] if kind == "jacobi" else [inner & ((i + j) % 2 == colour) for colour in (0, 1)]:
+                u = np.where(moved, (1 - omega) * u + omega * (f + near()) / (grid.diagonal + shift), u)
         own = pdf[(pdf["i"] // tile == ti) & (pdf["j"] // tile == tj)][["i", "j"]].copy()
         own[value], own[rhs] = u[own["i"] - i0, own["j"] - j0], f[own["i"] - i0, own["j"] - j0]
+        if residual:
+            r = np.where(inner, f + near() - u * (grid.diagonal + shift), 0.0)
+            own[residual] = r[own["i"] - i0, own["j"] - j0]
         return own
 
-    return copies.groupBy("ti", "tj").applyInPandas(run, f"i int, j int, {value} double, {rhs} double")
+    more = f", {residual} double" if residual else ""
+    return copies.groupBy("ti", "tj").applyInPandas(run, f"i int, j int, {value} double, {rhs} double{more}")
+
+
+def tiled_red_black(field: DataFrame, grid: Grid, sweeps: int = 1, shift: float = 0.0) -> DataFrame:
+    """red_black with one exchange for all its sweeps."""
+    return tiled(field.select("i", "j", "u", "f"), grid, sweeps, omega=1.0, shift=shift, kind="red_black")

@@ -24,6 +24,8 @@ HISTORY = "run_id string, iteration int, residual_norm double, iteration_time do
 GROUP_POINTS = 129 * 129
 #: From this iteration on, five ratios that average so much end single precision.
 SWITCH_FROM, SWITCH_RATE = 10, 0.95
+#: Couplings below this factor are dropped by pcg_ilu_drop.
+ILU_DROP = 0.27
 
 
 @dataclass
@@ -71,7 +73,7 @@ def _coarse_group(frame: DataFrame, grid: Grid, shift: float) -> DataFrame:
     return frame.select("i", "j", "u", "f").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: run(pdf)[["i", "j", "u", "f"]], "i int, j int, u double, f double")
 
 
-def cycle(frame: DataFrame, levels: list[Grid], kind: str = "V", before: int = 2, after: int = 2, level: int = 0, shift: float = 0.0, smooth=smoothers.red_black, group_points: int | None = None) -> DataFrame:
+def cycle(frame: DataFrame, levels: list[Grid], kind: str = "V", before: int = 2, after: int = 2, level: int = 0, shift: float = 0.0, smooth=smoothers.tiled_red_black, group_points: int | None = None) -> DataFrame:
     """One multigrid cycle over frames (i, j, u, f); V, W, F or FV as in kernels.calls.
 
     Levels of at most ``group_points`` points are solved within one group; 0 keeps all but the coarsest distributed.
@@ -103,7 +105,7 @@ def two_grid(frame: DataFrame, grid: Grid, sweeps: int = 2, omega: float = 0.8)
     return stencil.combine(frame, stencil.prolong_bilinear(error, grid), lambda a, b: a + b)
 
 
-METHODS = ("V", "W", "F", "FV", "fmg", "jacobi", "gauss_seidel", "red_black", "symmetric", "sor", "cg", "pcg_diagonal", "pcg_lines", "pcg_ilu", "pcg_multigrid", "adaptive")
+METHODS = ("V", "W", "F", "FV", "fmg", "jacobi", "weighted_jacobi", "gauss_seidel", "red_black", "symmetric", "sor", "cg", "pcg_diagonal", "pcg_lines", "pcg_ilu", "pcg_ilu_drop", "pcg_multigrid", "adaptive")
 
 
 def solve_array(u, f, grid: Grid, method: str, tolerance: float, most: int, shift: float = 0.0):
@@ -114,9 +116,10 @@ def solve_array(u, f, grid: Grid, method: str, tolerance: float, most: int, shif
     rows: list[tuple[int, float, str]] = []
     if method.startswith(("cg", "pcg")):
         name = method.partition("_")[2]
-        pivot = kernels.ilu0(grid, shift) if name == "ilu" else None
+        drop = ILU_DROP if name == "ilu_drop" else 0.0
+        pivot = kernels.ilu0(grid, shift, drop=drop) if name.startswith("ilu") else None
         one_cycle = lambda r: kernels.cycle(np.zeros_like(r), r, levels, smoother="jacobi", shift=shift)
-        maps = {"": None, "diagonal": lambda r: r / (grid.diagonal + shift), "lines": lambda r: kernels.lines(r, grid, shift=shift), "ilu": lambda r: kernels.ilu_apply(r, grid, pivot), "multigrid": one_cycle}
+        maps = {"": None, "diagonal": lambda r: r / (grid.diagonal + shift), "lines": lambda r: kernels.lines(r, grid, shift=shift), "ilu": lambda r: kernels.ilu_apply(r, grid, pivot), "ilu_drop": lambda r: kernels.ilu_apply(r, grid, pivot, drop), "multigrid": one_cycle}
         u, norms = kernels.conjugate_gradients(u, f, grid, maps[name], tolerance, most, shift)
         return u, [(n, v, "double") for n, v in enumerate(norms[1:], 1)]
     precision = "float" if method == "adaptive" else "double"

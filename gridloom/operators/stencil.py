@@ -210,3 +210,8 @@ def fourier_symbols(spark: SparkSession, n: int, h: float) -> DataFrame:
     symbol = (F.lit(4.0) - F.lit(2.0) * F.cos(wx) - F.lit(2.0) * F.cos(wy)) / F.lit(h * h)
     high = (F.col("kx") * 2 >= n) | (F.col("ky") * 2 >= n)
     return both.select("kx", "ky", symbol.alias("symbol"), F.when(high, "high").otherwise("low").alias("band"))
+
+
+def column_major(points: DataFrame, grid: Grid) -> DataFrame:
+    """Add ``place``, the number of a point when i runs fastest; computed, not sorted."""
+    return points.withColumn("place", F.col("j").cast("long") * F.lit(grid.nx) + F.col("i"))

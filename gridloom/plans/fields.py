@@ -349,6 +349,18 @@ def red_black_1(field):
     return smoothers.red_black(field, G, 1)
 
 
+@on_field("red_black_1_tiled", f"WITH {FIELD}, {sweep('a', 'g', 1.0, 0)}, {sweep('b', 'a', 1.0, 1)}, {near('m', 'b', 'u', 'f')} SELECT i, j, round(u, 9) AS u, f, round({RESIDUAL}, 6) + 0.0 AS r FROM m")
+def red_black_1_tiled(field):
+    """A smoothing step and the residual after it, in one exchange of tiles of 6 points a side."""
+    out = smoothers.tiled(field, G, 1, 6, 1.0, kind="red_black", residual="r")
+    return out.withColumn("u", F.round("u", 9)).withColumn("r", F.round("r", 6) + F.lit(0.0))
+
+
+@on_field("column_major", f"WITH {FIELD} SELECT i, j, row_number() OVER (ORDER BY j, i) - 1 AS place FROM g")
+def column_major(field):
+    return stencil.column_major(field.select("i", "j"), G)
+
+
 @on_field("sor_1", f"WITH {FIELD}, {sweep('a', 'g', 1.5, 0)}, {sweep('b', 'a', 1.5, 1)} SELECT i, j, u, f FROM b")
 def sor_1(field):
     return smoothers.sor(field, G, 1, 1.5)
@@ -411,8 +423,57 @@ def _run(field: DataFrame) -> DataFrame:
     return boundary.zero(field, G).withColumn("run_id", F.lit("g17"))
 
 
+def spectral(source: str, factor: str, digits: int) -> str:
+    """A direct solve in SQL: sine transform of a column of inner points, a factor of each eigenvalue lam, and back."""
+    return (
+        f"WITH {FIELD}, n AS (SELECT CAST(x AS INTEGER) AS a, CAST(y AS INTEGER) AS b, sin(x * y * pi() / 16) / sqrt(8.0) AS s FROM range(1, 16) p(x), range(1, 16) q(y)), "
+        f"p AS (SELECT i, j, {source} AS v FROM g WHERE {within()}), "
+        "a AS (SELECT n.b AS k, j, sum(n.s * v) AS v FROM p JOIN n ON n.a = p.i GROUP BY ALL), b AS (SELECT k, n.b AS l, sum(n.s * v) AS v FROM a JOIN n ON n.a = a.j GROUP BY ALL), "
+        f"c AS (SELECT k, l, v * ({factor}) AS v FROM (SELECT *, 1024 * (pow(sin(k * pi() / 32), 2) + pow(sin(l * pi() / 32), 2)) AS lam FROM b)), "
+        "d AS (SELECT n.a AS i, l, sum(n.s * v) AS v FROM c JOIN n ON n.b = c.k GROUP BY ALL), e AS (SELECT i, n.a AS j, sum(n.s * v) AS u FROM d JOIN n ON n.b = d.l GROUP BY ALL) "
+        f"SELECT g.i, g.j, round(coalesce(e.u, 0.0), {digits}) + 0.0 AS u FROM g LEFT JOIN e ON g.i = e.i AND g.j = e.j"
+    )
+
+
+def solved(name: str, digits: int, factor: str, source: str = "f"):
+    """Register f(field) as a query whose field must equal the direct solve."""
+
+    def add(f):
+        query(name, spectral(source, factor, digits))(lambda spark, sf_dir: f(g17(spark, sf_dir)).select("i", "j", (F.round("u", digits) + F.lit(0.0)).alias("u")))
+        return f
+
+    return add
+
+
+def _by(method: str):
+    return lambda field: solvers.solve_runs(_run(field), G, method, 1e-11, 5000, want="field")
+
+
 for _method in solvers.METHODS:
-    QUERIES[f"solve_{_method}"] = lambda spark, sf_dir, m=_method: solvers.solve_runs(_run(g17(spark, sf_dir)), G, m, 1e-8, 60).select("run_id", "iteration", F.round("residual_norm", 9).alias("residual_norm"), "precision_level")
-QUERIES["solve_multigrid_distributed"] = lambda spark, sf_dir: solvers.solve(_run(g17(spark, sf_dir)).drop("run_id"), G, "V", 1e-8, 20).field.select("i", "j", F.round("u", 8).alias("u"))
-QUERIES["heat_crank_nicolson"] = lambda spark, sf_dir: timestep.run(boundary.zero(g17(spark, sf_dir), G).select("i", "j", "u"), G, 1.0, 0.01, 0.02)[-1].field.withColumn("u", F.round("u", 8))
-QUERIES["heat_backward_euler"] = lambda spark, sf_dir: timestep.run(boundary.zero(g17(spark, sf_dir), G).select("i", "j", "u"), G, 1.0, 0.01, 0.02, "backward_euler")[-1].field.withColumn("u", F.round("u", 8))
+    solved(f"solve_{_method}", 6, "1 / lam")(_by(_method))
+
+
+@solved("solve_multigrid_distributed", 4, "1 / lam")
+def solve_multigrid_distributed(field):
+    """Levels of more than 9 x 9 points stay frames."""
+    return solvers.solve(_run(field).drop("run_id"), G, "V", 1e-9, 20, group_points=81).field
+
+
+def _heat(field: DataFrame, method: str) -> DataFrame:
+    return timestep.run(boundary.zero(field, G).select("i", "j", "u"), G, 1.0, 0.01, 0.02, method)[-1].field
+
+
+@solved("heat_crank_nicolson", 5, "pow((1 - 0.005 * lam) / (1 + 0.005 * lam), 2)", "u")
+def heat_crank_nicolson(field):
+    return _heat(field, "crank_nicolson")
+
+
+@solved("heat_backward_euler", 5, "1 / pow(1 + 0.01 * lam, 2)", "u")
+def heat_backward_euler(field):
+    return _heat(field, "backward_euler")
+
+
+#: The second step of BDF2 after one of backward Euler, of zero source, for each eigenvalue.
+@solved("heat_bdf2", 5, "(2 / (1 + 0.01 * lam) - 0.5) / (1.5 + 0.01 * lam)", "u")
+def heat_bdf2(field):
+    return _heat(field, "bdf2")

@@ -43,28 +43,58 @@ def _columns(ddl: str) -> list[str]:
 
 
 def clean_up(spark: SparkSession, root: str, name: str, days: int, now) -> int:
-    """Drop rows older than the table's share of ``days``; the number dropped. Only days that change are rewritten."""
+    """Drop rows older than the table's share of ``days``; the number dropped.
+
+    The day of the limit is replaced by what it keeps, in one dynamic overwrite; only then whole days
+    before it are removed. A failure in between leaves rows too many, never too few.
+    """
     limit = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {KEEP_DAYS.get(name, lambda n: n)(days)} DAYS")
-    old = read(spark, root, name).where((F.col("day") <= F.to_date(limit)) & (F.col(TIME[name]) < limit))
-    count = old.count()
+    table = read(spark, root, name)
+    count = table.where((F.col("day") <= F.to_date(limit)) & (F.col(TIME[name]) < limit)).count()
     if not count:
         return 0
-    edge = read(spark, root, name).where((F.col("day") == F.to_date(limit)) & (F.col(TIME[name]) >= limit))
+    edge = spark.range(1).select(F.to_date(limit).cast("string")).first()[0]
     staged = f"{root}/_{name}_edge"
-    edge.write.mode("overwrite").parquet(staged)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    gone = [r["day"] for r in read(spark, root, name).where(F.col("day") <= F.to_date(limit)).select("day").distinct().collect()]  # one row a day
-    for day in gone:
-        place = hadoop.Path(f"{root}/{name}/day={day}")
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    table.where((F.col("day") == F.to_date(limit)) & (F.col(TIME[name]) >= limit)).write.mode("overwrite").parquet(staged)
     kept = spark.read.parquet(staged)
+    gone = "<="
     if not kept.isEmpty():
-        kept.write.mode("append").partitionBy("day").parquet(f"{root}/{name}")
-    place = hadoop.Path(staged)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/{name}")
+        gone = "<"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = path(f"{root}/{name}")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.listStatus(place):  # folders, one a day
+        day = found.getPath().getName().removeprefix("day=")
+        if found.isDirectory() and (day < edge or gone == "<=" and day == edge):
+            files.delete(found.getPath(), True)
+    files.delete(path(staged), True)
     return count
 
 
+def save_baseline(metrics: DataFrame, path: str) -> None:
+    """A baseline (metric, value) as JSON lines, for later runs to be held against."""
+    metrics.select("metric", F.col("value").cast("double").alias("value")).write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(metric, value) of a stored baseline; no rows where there is none yet."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "metric string, value double")
+    return spark.read.schema("metric string, value double").json(path)
+
+
+def system_info(spark: SparkSession) -> DataFrame:
+    """One row on the driver's machine and the cluster's cores, to be stored beside results; memory where it can be read."""
+    import os
+    import platform
+
+    pages = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") if hasattr(os, "sysconf") else None
+    row = (platform.system(), platform.version(), platform.python_version(), platform.machine(), os.cpu_count(), pages, spark.version, spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame([row], "platform string, platform_version string, python_version string, machine string, logical_cores int, memory long, spark_version string, cluster_cores int")
+
+
 def export(df: DataFrame, path: str, kind: str = "json") -> None:
     """Rows as JSON lines, CSV with a header, or Parquet; NaN becomes null."""
     clean = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

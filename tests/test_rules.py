@@ -87,3 +87,61 @@ def test_cycle_kinds():
 def test_unknown_kind():
     with pytest.raises(KeyError):
         kernels.calls("X", 3)
+
+
+def test_tiled_red_black_and_residual(spark):
+    from gridloom.operators import smoothers
+
+    g = Grid(17, 13, 0, 1, 0, 2)
+    rng = np.random.default_rng(3)
+    u, f = rng.standard_normal((17, 13)), rng.standard_normal((17, 13))
+    df = spark.createDataFrame([(i, j, float(u[i, j]), float(f[i, j])) for i in range(17) for j in range(13)], "i int, j int, u double, f double")
+    want = u
+    for _ in range(2):
+        want = kernels.red_black(want, f, g, shift=0.5)
+    r = kernels.residual(want, f, g, 0.5)
+    for tile in (5, 7, 64):
+        got = smoothers.tiled(df, g, 2, tile, 1.0, shift=0.5, kind="red_black", residual="r").collect()
+        assert len(got) == 17 * 13 and all(math.isclose(x["u"], want[x["i"], x["j"]], abs_tol=1e-12) and math.isclose(x["r"], r[x["i"], x["j"]], abs_tol=1e-9) for x in got)
+
+
+def test_dropped_couplings_still_precondition():
+    g = Grid(17, 17, 0, 1, 0, 3)
+    f = np.zeros((17, 17))
+    f[1:-1, 1:-1] = np.random.default_rng(1).standard_normal((15, 15))
+    assert np.array_equal(kernels.ilu0(g), kernels.ilu0(g, drop=0.0))
+    steps = {}
+    for drop in (0.0, 0.2, 10.0):  # none, the weak direction, all
+        pivot = kernels.ilu0(g, drop=drop)
+        _, norms = kernels.conjugate_gradients(np.zeros_like(f), f, g, lambda r, d=drop, p=pivot: kernels.ilu_apply(r, g, p, d), 1e-10, 200)
+        steps[drop] = len(norms)
+        assert norms[-1] < 1e-10
+    assert steps[0.0] <= steps[0.2] <= steps[10.0]
+    assert np.allclose(kernels.ilu0(g, drop=10.0), g.diagonal)
+
+
+def test_baseline_and_system_info(spark, tmp_path):
+    from gridloom.functions.comparison import regression_check
+    from gridloom.sources import tables
+
+    path = str(tmp_path / "baseline")
+    assert tables.read_baseline(spark, path).count() == 0
+    tables.save_baseline(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "metric string, value double"), path)
+    now = spark.createDataFrame([("a", 1.1), ("b", 3.0), ("c", 1.0)], "metric string, value double")
+    got = {r["metric"]: r["ok"] for r in regression_check(now, tables.read_baseline(spark, path), ["metric"], "value").collect()}
+    assert got == {"a": True, "b": False}
+    (row,) = tables.system_info(spark).collect()
+    assert row["spark_version"] == spark.version and row["logical_cores"] > 0
+
+
+def test_3d_memory_stops_below_a_thousand_points(spark):
+    from gridloom.functions.profiles import memory_3d
+
+    rows = {r["nx"]: r for r in memory_3d(spark.createDataFrame([(9, 9, 9), (65, 65, 65)], "nx int, ny int, nz int")).collect()}
+    points, total, levels = 65**3, 0, 0
+    while True:
+        total, levels = total + points * 32, levels + 1
+        points //= 8
+        if points < 1000:
+            break
+    assert (rows[65]["levels"], rows[65]["mb"]) == (levels, total / 2**20) and rows[9]["levels"] == 1
