@@ -61,6 +61,7 @@ def _corner(x: Column, y: Column) -> Column:
 
 
 _ZERO = lambda x, y: F.lit(0.0) * x
+# The catalog's solutions, and the sources that follow from them.
 _LIST = [
     Poisson("trigonometric", *_waves(1, 1)),
     Poisson("polynomial", lambda x, y: _bump(x) * _bump(y), lambda x, y: -(_bump2(x) * _bump(y) + _bump(x) * _bump2(y))),
@@ -100,6 +101,7 @@ def _moving(x: Column, y: Column, t: Column) -> Column:
     return sin(PI * (x - t)) * sin(PI * y) * e_to(-t)
 
 
+# Likewise for the heat equation.
 _HEAT = [
     Heat("pure_diffusion", _mode(1, 1), _still),
     Heat("heat_source", lambda x, y, t: (1 - e_to(-t)) * sin(PI * x) * sin(PI * y), lambda x, y, t: (e_to(-t) + 2 * PI * PI * (1 - e_to(-t))) * sin(PI * x) * sin(PI * y)),
