@@ -140,6 +140,12 @@ def predicted_factors(spark: SparkSession, before: int = 2, after: int = 2) -> D
     return spark.createDataFrame(rows, "smoother string, smoothing double, two_grid double")
 
 
+def run_aggregates(runs: DataFrame, keys: list[str], metrics: list[str], iterations: str) -> DataFrame:
+    """Mean and deviation of each metric over repeated runs, and mean, deviation and range of their iterations."""
+    spread = [x for name, c in [*((m, m) for m in metrics), ("iterations", iterations)] for x in (F.avg(c).alias(f"avg_{name}"), F.stddev_pop(c).alias(f"std_{name}"))]
+    return runs.groupBy(*keys).agg(*spread, F.max(iterations).alias("max_iterations"), F.min(iterations).alias("min_iterations"))
+
+
 def memory_3d(sizes: DataFrame, levels: int = 5, copies: int = 4, width: int = 8) -> DataFrame:
     """(nx, ny, nz, points, levels, mb) of a 3-D hierarchy, each level an eighth of the one before, ended below 1000 points."""
     points = F.col("nx").cast("long") * F.col("ny") * F.col("nz")

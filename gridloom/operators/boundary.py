@@ -136,6 +136,30 @@ def radiation(grid: Grid, transfer: float, ambient: float) -> BoundaryConditions
     return BoundaryConditions(grid).set("all", lambda df: robin(df, grid, transfer, 1.0, transfer * ambient))
 
 
+def from_config(grid: Grid, config: dict[str, dict], t: float = 0.0) -> BoundaryConditions:
+    """Conditions written as settings, {side or "all": {"type": ..., ...}}, at time t.
+
+    Types: dirichlet and neumann (``value``), robin (``alpha``, ``beta``, ``value``), periodic (``axis``). A
+    ``value`` is a number or a function of t; ``amplitude`` and ``frequency`` in its place make it oscillate.
+    """
+    out = BoundaryConditions(grid)
+    for side, given in config.items():
+        if side not in (*SIDES, "all"):
+            raise ValueError(f"no such side: {side}")
+        value = oscillating(given["amplitude"], given["frequency"]) if "amplitude" in given else given.get("value", 0.0)
+        value = value(t) if callable(value) else value
+        kinds = {
+            "dirichlet": lambda df, s=side, v=value: dirichlet(df, grid, v, s),
+            "neumann": lambda df, s=side, v=value: neumann(df, grid, v, s),
+            "robin": lambda df, s=side, v=value, c=given: robin(df, grid, c.get("alpha", 1.0), c.get("beta", 1.0), v, s),
+            "periodic": lambda df, c=given: periodic(df, grid, c.get("axis", "both")),
+        }
+        if given["type"] not in kinds:
+            raise ValueError(f"no such condition: {given['type']}")
+        out.set(side, kinds[given["type"]])
+    return out
+
+
 def oscillating(amplitude: float, frequency: float):
     """t -> amplitude sin(2 pi frequency t), as a number for dirichlet()."""
     import math

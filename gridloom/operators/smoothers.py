@@ -36,6 +36,16 @@ def sor(field: DataFrame, grid: Grid, sweeps: int = 1, omega: float | None = Non
     return red_black(field, grid, sweeps, omega or float(kernels.optimal_sor(grid)), **kw)
 
 
+def to_tiles(field: DataFrame, grid: Grid, tile: int, rim: int) -> DataFrame:
+    """The points with (ti, tj) of every tile that holds them or has them within its rim."""
+    if rim > tile:
+        raise ValueError("a rim wider than a tile")
+    low = lambda c: F.greatest(F.floor((F.col(c) - rim) / tile), F.lit(0))
+    high = lambda c, n: F.least(F.floor((F.col(c) + rim) / tile), F.lit((n - 1) // tile))
+    copies = field.withColumn("ti", F.explode(F.sequence(low("i"), high("i", grid.nx))))
+    return copies.withColumn("tj", F.explode(F.sequence(low("j"), high("j", grid.ny))))
+
+
 def tiled(field: DataFrame, grid: Grid, sweeps: int, tile: int = 512, omega: float = 0.8, value: str = "u", rhs: str = "f", shift: float = 0.0, kind: str = "jacobi", residual: str | None = None) -> DataFrame:
     """``sweeps`` Jacobi or red-black steps in one exchange, equal to as many separate steps.
 
@@ -45,13 +55,7 @@ def tiled(field: DataFrame, grid: Grid, sweeps: int, tile: int = 512, omega: flo
     the grid, must fit into a task.
     """
     rim = sweeps * {"jacobi": 1, "red_black": 2}[kind] + (residual is not None)
-    if rim > tile:
-        raise ValueError("a rim wider than a tile")
-    low = lambda c: F.floor((F.col(c) - rim) / tile)
-    high = lambda c: F.floor((F.col(c) + rim) / tile)
-    last = lambda n: (n - 1) // tile
-    copies = field.select("i", "j", value, rhs, F.explode(F.sequence(F.greatest(low("i"), F.lit(0)), F.least(high("i"), F.lit(last(grid.nx))))).alias("ti"))
-    copies = copies.select("*", F.explode(F.sequence(F.greatest(low("j"), F.lit(0)), F.least(high("j"), F.lit(last(grid.ny))))).alias("tj"))
+    copies = to_tiles(field.select("i", "j", value, rhs), grid, tile, rim)
 
     def run(key, pdf):
         import numpy as np

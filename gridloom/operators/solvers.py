@@ -97,6 +97,41 @@ def solve(start: DataFrame, grid: Grid, kind: str = "V", tolerance: float = 1e-6
     return iterate(start, grid, lambda df: cycle(df, levels, kind, shift=shift, **kw), tolerance, most, shift=shift)
 
 
+def subdomain_step(frame: DataFrame, grid: Grid, tile: int = 512, overlap: int = 8) -> DataFrame:
+    """Every tile, widened by ``overlap`` points, solved with the values around it held; it keeps its own points.
+
+    One exchange; a widened tile, not the grid, must fit into a task.
+    """
+
+    def run(key, pdf):
+        import numpy as np
+
+        ti, tj = int(key[0]), int(key[1])
+        i0, j0 = int(pdf["i"].min()), int(pdf["j"].min())
+        shape = int(pdf["i"].max()) - i0 + 1, int(pdf["j"].max()) - j0 + 1
+        at = pdf["i"].to_numpy() - i0, pdf["j"].to_numpy() - j0
+        u, f = np.zeros(shape), np.zeros(shape)
+        u[at], f[at] = pdf["u"], pdf["f"]
+        part = Grid(*shape, 0.0, grid.hx * (shape[0] - 1), 0.0, grid.hy * (shape[1] - 1))
+        u, _ = kernels.conjugate_gradients(u, f, part, None, 1e-11, 20 * sum(shape))
+        own = pdf[(pdf["i"] // tile == ti) & (pdf["j"] // tile == tj)][["i", "j"]].copy()
+        own["u"], own["f"] = u[own["i"] - i0, own["j"] - j0], f[own["i"] - i0, own["j"] - j0]
+        return own
+
+    copies = smoothers.to_tiles(frame.select("i", "j", "u", "f"), grid, tile, overlap)
+    return copies.groupBy("ti", "tj").applyInPandas(run, "i int, j int, u double, f double")
+
+
+def solve_subdomains(start: DataFrame, grid: Grid, tile: int = 512, overlap: int = 8, tolerance: float = 1e-6, most: int = 100) -> Solution:
+    """Overlapping subdomains, solved side by side and exchanged until the residual of the whole grid is small.
+
+    It has no coarse level, so the number of exchanges grows with the number of tiles a side; solve() does not.
+    """
+    if overlap < 2:
+        raise ValueError("subdomains need an overlap of at least 2")
+    return iterate(start, grid, lambda df: subdomain_step(df, grid, tile, overlap), tolerance, most)
+
+
 def two_grid(frame: DataFrame, grid: Grid, sweeps: int = 2, omega: float = 0.8) -> DataFrame:
     """Residual, restriction, Jacobi sweeps on the coarse grid, prolongation, correction; no solve below."""
     coarse = grid.coarsen()

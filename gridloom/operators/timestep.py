@@ -85,6 +85,15 @@ def run(start: DataFrame, grid: Grid, alpha: float, dt: float, until: float, met
     return out
 
 
+def states(steps: list[Step]) -> DataFrame:
+    """(step, t, i, j, u): the saved states of a run in one frame."""
+    frames = [s.field.select(F.lit(n).alias("step"), F.lit(s.t).alias("t"), "i", "j", "u") for n, s in enumerate(steps)]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def march_runs(runs: DataFrame, grid: Grid, dt: float, steps: int, method: str = "backward_euler", tolerance: float = 1e-9, most: int = 30) -> DataFrame:
     """(run_id, i, j, u) after ``steps`` implicit steps of every run (run_id, i, j, u, alpha, f, edge), one group each.
 

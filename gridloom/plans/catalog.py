@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, fields, profiles, streams, validation
+from . import analytics, catalogs, fields, profiles, streams, validation
 
-QUERIES = {**fields.QUERIES, **analytics.QUERIES, **profiles.QUERIES, **streams.QUERIES, **validation.QUERIES}
-ORACLES = {**fields.ORACLES, **analytics.ORACLES, **profiles.ORACLES, **streams.ORACLES}
+QUERIES = {**fields.QUERIES, **analytics.QUERIES, **profiles.QUERIES, **streams.QUERIES, **validation.QUERIES, **catalogs.QUERIES}
+ORACLES = {**fields.ORACLES, **analytics.ORACLES, **profiles.ORACLES, **streams.ORACLES, **catalogs.ORACLES}
 flagship = fields.flagship

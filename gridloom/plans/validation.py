@@ -103,5 +103,4 @@ def transfer_accuracy(spark: SparkSession, grid: Grid, name: str = "trigonometri
 QUERIES = {
     "validation_suite": lambda spark, sf_dir: suite(spark, quick=False)[0],
     "validation_summary": lambda spark, sf_dir: suite(spark, quick=False)[1],
-    "mms_errors": lambda spark, sf_dir: error_table(spark, ["trigonometric", "polynomial", "mixed"], [9, 17, 33]),
 }

@@ -116,6 +116,20 @@ _HEAT = [
 HEAT = {h.name: h for h in _HEAT}
 
 
+def _modes(amplitudes: tuple[float, float]) -> Callable:
+    """Two modes of the unit cube, each with a factor."""
+    a, b = amplitudes
+    return lambda x, y, z: a * sin(PI * x) * cos(2 * PI * y) * sin(3 * PI * z) + b * cos(2 * PI * x) * sin(PI * y) * cos(PI * z)
+
+
+def _cube(amplitude: float) -> Callable:
+    return lambda x, y, z: amplitude * sin(PI * x) * sin(PI * y) * sin(PI * z)
+
+
+#: Solution and source on the unit cube, functions of x, y, z; no 3-D solver exists.
+POISSON_3D = {"trigonometric_3d": (_cube(1.0), _cube(3 * PI * PI)), "trigonometric_3d_mixed": (_modes((1.0, 1.0)), _modes((14 * PI * PI, 6 * PI * PI)))}
+
+
 def gaussian(center: tuple[float, float], width: float, amplitude: float) -> Callable[[Column, Column], Column]:
     """An initial condition amplitude exp(-r^2 / (2 width^2))."""
     return lambda x, y: F.lit(amplitude) * e_to(-((x - center[0]) * (x - center[0]) + (y - center[1]) * (y - center[1])) / (2 * width * width))
