@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import kernels, profiles
 from ..grid import Grid
 from ..operators import boundary, solvers, timestep
-from ..operators.preconditioners import Composite, Grouped, Identity, conjugate_gradients
 from ..sources.problems import HEAT, POISSON, POISSON_3D, SELECTIONS, gaussian
 from . import validation
 from .analytics import BENCH, bench, rounded
@@ -224,17 +223,9 @@ def solve_subdomains(field):
     return solvers.solve_subdomains(_run(field).drop("run_id"), G, tile=9, overlap=4, tolerance=1e-7).field
 
 
-@_solved("pcg_frames_two_level", 4, "1 / lam")
-def pcg_frames_two_level(field):
-    return conjugate_gradients(_run(field).drop("run_id"), G, Grouped(G, "two_level"), 1e-7, 40).field
-
-
-@_solved("pcg_frames_modified_ilu", 4, "1 / lam")
-def pcg_frames_modified_ilu(field):
-    return conjugate_gradients(_run(field).drop("run_id"), G, Composite(Identity(), Grouped(G, "ilu", modified=0.9)), 1e-7, 40).field
-
-
-FRAMES = " UNION ALL ".join(f"SELECT {k} AS step, {k} * 0.01::DOUBLE AS t, i, j, u FROM ({spectral('u', f'1 / pow(1 + 0.01 * lam, {k})', 5)})" for k in range(3))
+LATER = " UNION ALL ".join(f"SELECT {k} AS step, {k} * 0.01::DOUBLE AS t, i, j, u FROM ({spectral('u', f'1 / pow(1 + 0.01 * lam, {k})', 5)})" for k in (1, 2))
+#: The first state is the field itself, whose steps of 1/8192 would not survive a transform and its inverse.
+FRAMES = f"SELECT 0 AS step, 0.0::DOUBLE AS t, i, j, round(CASE WHEN i IN (0, 16) OR j IN (0, 16) THEN 0.0 ELSE u END, 5) + 0.0 AS u FROM (WITH {FIELD} SELECT * FROM g) UNION ALL {LATER}"
 
 
 @query("evolution_frames", f"SELECT step, round(t, 9) AS t, i, j, u FROM ({FRAMES})")
@@ -244,12 +235,12 @@ def evolution_frames(spark, sf_dir) -> DataFrame:
     return timestep.states(steps).select("step", F.round("t", 9).alias("t"), "i", "j", (F.round("u", 5) + F.lit(0.0)).alias("u"))
 
 
-DTS = (0.0002, 0.004)
+DTS = (0.0002, 0.01)
 
 
-@query("stability_scan", " UNION ALL ".join(f"SELECT {dt!r}::DOUBLE AS dt, max(abs(u)) < 1e6 AS stable FROM ({spectral('u', f'pow(1 - {dt!r} * lam, 12)', 6)})" for dt in DTS))
+@query("stability_scan", " UNION ALL ".join(f"SELECT {dt!r}::DOUBLE AS dt, max(abs(u)) < 1e6 AS stable FROM ({spectral('u', f'pow(1 - {dt!r} * lam, 8)', 6)})" for dt in DTS))
 def stability_scan(spark, sf_dir):
-    return timestep.stability_scan(boundary.zero(g17(spark, sf_dir), G).withColumn("f", F.lit(0.0)), G, 1.0, list(DTS), 12).select("dt", "stable")
+    return timestep.stability_scan(boundary.zero(g17(spark, sf_dir), G).withColumn("f", F.lit(0.0)), G, 1.0, list(DTS), 8).select("dt", "stable")
 
 
 WORK = [(0.0001, 3), (0.0001, 10), (0.0001, 25), (0.002, 3)]
