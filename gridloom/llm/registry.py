@@ -10,6 +10,7 @@ from .mtree import OP6_SQL, op6
 from .oracles import OP3_SQL, op1_sql, op12_sql
 from .packing import op9
 from .quality import op4
+from .runs import op11
 from .secrets import op7
 from .sharding import op1
 from .url_filter import op12
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_stupid_backoff": op8,
     "op9_grouping_genetic_packing": op9,
     "op10_wavelet_matrix": op10,
+    "op11_periodic_runs": op11,
     "op12_url_ngram_filter": op12,
 }
 
@@ -34,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
     "op6_mtree_topk": OP6_SQL,
     "op8_stupid_backoff": OP8_SQL,
+    "op11_periodic_runs": op11,
     "op12_url_ngram_filter": op12_sql(),
 }
