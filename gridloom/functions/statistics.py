@@ -24,6 +24,12 @@ def timing_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
+def timing_moments(df: DataFrame, keys: list[str], value: str, *more: Column) -> DataFrame:
+    """The statistics of times that partial sums give, and further aggregates in the same pass; percentiles: ``scans.order_statistics``."""
+    v = F.col(value)
+    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.stddev_pop(v).alias("deviation"), *more)
+
+
 def variation(df: DataFrame, keys: list[str], value: str, work: Column) -> DataFrame:
     """Mean time, coefficient of variation and throughput (work over time)."""
     out = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"), F.sum(work).alias("work"), F.sum(value).alias("total"))

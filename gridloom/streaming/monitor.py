@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 #: (metric, above, level) of the usual alerts.
 LIMITS = [("memory", 80.0, "warning"), ("gpu_memory", 90.0, "critical"), ("cpu", 90.0, "warning")]
@@ -24,7 +25,7 @@ def from_rate(spark: SparkSession, rows_per_second: int = 10, metrics: tuple[str
     return rate.select(F.col("timestamp").alias("ts"), F.lit("local").alias("host"), F.element_at(names, (F.col("value") % len(metrics) + 1).cast("int")).alias("metric"), (F.abs(F.xxhash64("value")) % 1000 / 10.0).alias("value"))
 
 
-def from_files(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+def from_files(spark: SparkSession, path: str, schema: str | StructType, **options) -> DataFrame:
     """A stream of the Parquet files that arrive in a folder, or of one file.
 
     The path is given as a pattern of itself: Spark takes a single file only from a pattern.
