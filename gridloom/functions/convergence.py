@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import student
 from .statistics import t_quantile
 
 
@@ -59,20 +60,29 @@ def classify(rate: Column) -> Column:
 
 
 def asymptotic_fit(history: DataFrame, keys: list[str], order: str, residual: str) -> DataFrame:
-    """(keys, n, factor, r2): exp of the slope of ln residual over the last half, of runs of 10 or more."""
-    positive = history.where((F.col(residual) > 0) & finite(residual))
+    """(keys, n, factor, r2): exp of the slope of ln(residual + 1e-16) over the last half, of runs of 10 or more.
+
+    Zeros count, in n and in the fit; residuals that are not finite, and negative ones, do not count at
+    all. r2 is 0 where all residuals of the tail are equal.
+    """
+    known = history.where((F.col(residual) >= 0) & finite(residual))
     place = F.row_number().over(_window(keys, order)).cast("double")
-    tail = _tail(positive.withColumn("__x", place), keys, order, F.greatest(F.lit(5), F.expr("n div 2"))).where("n >= 10")
-    y = F.log(residual)
-    return tail.groupBy(*keys).agg(F.first("n").alias("n"), F.exp(F.regr_slope(y, F.col("__x"))).alias("factor"), F.regr_r2(y, F.col("__x")).alias("r2"))
+    tail = _tail(known.withColumn("__x", place), keys, order, F.greatest(F.lit(5), F.expr("n div 2"))).where("n >= 10")
+    y = F.log(F.col(residual) + 1e-16)
+    fit = tail.groupBy(*keys).agg(F.first("n").alias("n"), F.exp(F.regr_slope(y, F.col("__x"))).alias("factor"), F.regr_r2(y, F.col("__x")).alias("r2"), (F.min(y) == F.max(y)).alias("__flat"))
+    return fit.withColumn("r2", F.when(F.col("__flat"), 0.0).otherwise(F.col("r2"))).drop("__flat")
 
 
 def stagnation(history: DataFrame, keys: list[str], order: str, residual: str) -> DataFrame:
-    """(keys, change, stagnating, slow): mean relative change over the last fifth of a run."""
+    """(keys, change, stagnating, slow): mean relative change within the last fifth of a run, three rows at least.
+
+    Only changes between two rows of that tail count, and only from positive residuals; where none
+    counts, all three are null. Runs of fewer than five rows have no row.
+    """
+    tail = _tail(history, keys, order, F.greatest(F.lit(3), F.expr("n div 5"))).where("n >= 5")
     before = F.lag(residual).over(_window(keys, order))
-    changed = history.withColumn("__c", F.when(before > 0, F.abs(F.col(residual) - before) / before))
-    tail = _tail(changed, keys, order, F.greatest(F.lit(3), F.expr("n div 5")))
-    return tail.groupBy(*keys).agg(F.avg("__c").alias("change")).select(*keys, "change", (F.col("change") < 1e-6).alias("stagnating"), (F.col("change") < 1e-3).alias("slow"))
+    changed = tail.withColumn("__c", F.when(before > 0, F.abs(F.col(residual) - before) / before))
+    return changed.groupBy(*keys).agg(F.avg("__c").alias("change")).select(*keys, "change", (F.col("change") < 1e-6).alias("stagnating"), (F.col("change") < 1e-3).alias("slow"))
 
 
 def divergence(history: DataFrame, keys: list[str], order: str, residual: str, factor: float = 1e3) -> DataFrame:
@@ -163,10 +173,11 @@ def orders(errors: DataFrame, keys: list[str], h: str, error: str) -> DataFrame:
 
 
 def loglog_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Least squares of ln y over ln x: slope, intercept, r2, standard error, 95 % margin and SSR.
+    """Least squares of ln y over ln x: slope, intercept, r2, standard error, 95 % margin, SSR and p-value.
 
     Rows whose logarithms are not finite are left out. The margin is 1.96 standard errors, the usual
-    approximation; ``t_margin`` takes Student's quantile.
+    approximation; ``t_margin`` takes Student's quantile. ``p_value`` is that of a slope of zero, two-sided;
+    0 for an exact fit, null for fewer than three rows.
     """
     fine = df.where((F.col(x) > 0) & (F.col(y) > 0) & finite(x, y)).select(*keys, F.log(x).alias("a"), F.log(y).alias("b"))
     sums = fine.groupBy(*keys).agg(
@@ -175,4 +186,6 @@ def loglog_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     )
     ssr = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
     out = sums.withColumn("ssr", ssr).withColumn("stderr", F.when(F.col("n") > 2, F.sqrt(F.col("ssr") / (F.col("n") - 2) / F.col("sxx"))))
-    return out.withColumn("margin", F.lit(1.96) * F.col("stderr")).withColumn("t_margin", t_quantile(F.col("n") - 2) * F.col("stderr")).drop("sxx", "syy", "sxy")
+    t = F.when(F.col("stderr") > 0, F.col("slope") / F.col("stderr")).otherwise(F.when(F.col("slope") == 0, 0.0).otherwise(float("inf")))
+    out = out.withColumn("margin", F.lit(1.96) * F.col("stderr")).withColumn("t_margin", t_quantile(F.col("n") - 2) * F.col("stderr"))
+    return out.withColumn("p_value", student.two_sided(t, F.col("n") - 2)).drop("sxx", "syy", "sxy")

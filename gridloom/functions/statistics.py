@@ -6,14 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom.
-T_95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042]
+from . import student
 
 
-def t_quantile(freedom: Column) -> Column:
-    """95 % t quantile by table, 1.96 beyond 30 degrees of freedom; null for none."""
-    known = F.array(*[F.lit(t) for t in T_95])
-    return F.when(freedom < 1, None).when(freedom > 30, 1.96).otherwise(F.element_at(known, F.least(F.greatest(freedom, F.lit(1)), F.lit(30)).cast("int")))
+def t_quantile(freedom: Column, confidence: float = 0.95) -> Column:
+    """Two-sided quantile of Student's t; null for none."""
+    return student.quantile(freedom, confidence)
 
 
 def timing_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -37,9 +35,9 @@ def variation(df: DataFrame, keys: list[str], value: str, work: Column) -> DataF
 
 
 def share_of_total(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, total, share): partial sums first, so that the window sees one row for each key."""
+    """(keys, total, share): the whole comes from the keys' sums, so that the source is aggregated once."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias("total"))
-    whole = df.agg(F.sum(value).alias("whole"))
+    whole = sums.agg(F.sum("total").alias("whole"))
     return sums.join(F.broadcast(whole)).select(*keys, "total", (F.col("total") / F.col("whole")).alias("share"))  # a single row is sent
 
 
@@ -95,7 +93,7 @@ def trend(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
 
 def usage_share(df: DataFrame, key: str) -> DataFrame:
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("whole")))).select(key, "n", (F.col("n") / F.col("whole")).alias("share"))
+    return counts.join(F.broadcast(counts.agg(F.sum("n").alias("whole")))).select(key, "n", (F.col("n") / F.col("whole")).alias("share"))
 
 
 def reliability(df: DataFrame, inner: list[str], outer: list[str], converged: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
@@ -71,13 +72,13 @@ class Lines:
 class Grouped:
     """Sequential kernels, ILU(0) and multigrid cycles, on a grid small enough for one group."""
 
-    def __init__(self, grid: Grid, kind: str = "ilu", cycles: int = 1, modified: float = 0.0):
+    def __init__(self, grid: Grid, kind: str = "ilu", cycles: int = 1, modified: float = 0.0, kind_of_cycle: str = "V", steps: int = 2):
         if grid.nx * grid.ny > solvers.GROUP_POINTS:
             raise ValueError("too large for one group")
-        self.grid, self.kind, self.cycles, self.modified = grid, kind, cycles, modified
+        self.grid, self.kind, self.cycles, self.modified, self.kind_of_cycle, self.steps = grid, kind, cycles, modified, kind_of_cycle, steps
 
     def apply(self, frame: DataFrame) -> DataFrame:
-        g, kind, cycles, modified = self.grid, self.kind, self.cycles, self.modified
+        g, kind, cycles, modified, kind_of_cycle, steps = self.grid, self.kind, self.cycles, self.modified, self.kind_of_cycle, self.steps
 
         def run(pdf):
             import numpy as np
@@ -90,7 +91,7 @@ class Grouped:
                 levels = g.hierarchy(2 if kind == "two_level" else 20)
                 z = np.zeros_like(r)
                 for _ in range(cycles):
-                    z = kernels.cycle(z, r, levels)
+                    z = kernels.cycle(z, r, levels, kind_of_cycle, steps, steps)
             return pdf.assign(z=z[pdf["i"], pdf["j"]])[["i", "j", "r", "z"]]
 
         return frame.select("i", "j", "r").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "i int, j int, r double, z double")
@@ -132,24 +133,43 @@ class Adaptive:
 
 
 class Flexible:
-    """Cycle kind and smoothing steps that follow the recent rates: slower, more work; faster, less."""
+    """One multigrid cycle, whose kind and smoothing steps follow how the last applications went.
 
-    def __init__(self, before: int = 2, after: int = 2):
-        self.kind, self.before, self.after, self.rates = "V", before, after, []
+    The mean of the last three reductions |z| / |r| decides: above 0.8 a smoothing step more on either side,
+    up to ``most_steps``; below 0.3, if their mean time exceeds ``slow`` seconds, one less, down to one. From
+    six applications on, above 0.7 the next kind of V, W, F, and below 0.2 the one before.
+    """
+
+    KINDS = ("V", "W", "F")
+
+    def __init__(self, grid: Grid, kind: str = "V", steps: int = 2, most_steps: int = 3, slow: float = 0.1):
+        self.grid, self.kind, self.steps, self.most_steps, self.slow = grid, kind, steps, most_steps, slow
+        self.seen: list[tuple[float, float]] = []
 
-    def observe(self, rate: float) -> None:
-        self.rates.append(rate)
-        mean = sum(self.rates[-3:]) / len(self.rates[-3:])
-        if len(self.rates) < 3:
+    def observe(self, reduction: float, seconds: float) -> None:
+        self.seen.append((reduction, seconds))
+        if len(self.seen) < 3:
             return
+        mean, spent = (sum(x) / 3 for x in zip(*self.seen[-3:], strict=True))
         if mean > 0.8:
-            self.before, self.after = min(self.before + 1, 5), min(self.after + 1, 5)
-        elif mean < 0.3:
-            self.before, self.after = max(self.before - 1, 1), max(self.after - 1, 1)
-        if len(self.rates) >= 6:
-            order = ("V", "W", "F")
-            at = order.index(self.kind)
-            self.kind = order[min(at + 1, 2)] if mean > 0.7 else order[max(at - 1, 0)] if mean < 0.2 else self.kind
+            self.steps = min(self.steps + 1, self.most_steps)
+        elif mean < 0.3 and spent > self.slow:
+            self.steps = max(self.steps - 1, 1)
+        if len(self.seen) >= 6 and (step := (mean > 0.7) - (mean < 0.2)):
+            self.kind = self.KINDS[min(max(self.KINDS.index(self.kind) + step, 0), 2)]
+
+    def apply(self, frame: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        if self.grid.nx * self.grid.ny <= solvers.GROUP_POINTS:
+            z = Grouped(self.grid, "multigrid", kind_of_cycle=self.kind, steps=self.steps).apply(frame)
+        else:
+            start = frame.select("i", "j", F.lit(0.0).alias("u"), F.col("r").alias("f"))
+            done = solvers.cycle(start, self.grid.hierarchy(), self.kind, self.steps, self.steps)
+            z = done.select("i", "j", F.col("f").alias("r"), F.col("u").alias("z"))
+        z = solvers.checkpoint(z)
+        after, before = z.agg(F.sqrt(F.sum(F.col("z") * F.col("z"))), F.sqrt(F.sum(F.col("r") * F.col("r")))).first()
+        self.observe(after / max(before, 1e-16), time.perf_counter() - began)
+        return z
 
 
 def conjugate_gradients(frame: DataFrame, grid: Grid, preconditioner: Preconditioner | None = None, tolerance: float = 1e-8, most: int = 200) -> solvers.Solution:

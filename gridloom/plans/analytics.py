@@ -92,14 +92,18 @@ def asymptotic_tail(h):
 
 @query(
     "asymptotic_fit",
-    f"WITH {HIST}, v AS (SELECT run, ln(r) AS y, row_number() {W} AS x, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY ts DESC) AS d FROM h WHERE r > 0) "
-    "SELECT run, min(n) AS n, round(exp(regr_slope(y, x)), 6) AS factor, round(regr_r2(y, x), 6) AS r2 FROM v WHERE n >= 10 AND d <= greatest(5, n // 2) GROUP BY run",
+    f"WITH {HIST}, v AS (SELECT run, ln(r + 1e-16) AS y, row_number() {W} AS x, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY ts DESC) AS d FROM h WHERE r >= 0) "
+    "SELECT run, min(n) AS n, round(exp(regr_slope(y, x)), 6) AS factor, round(CASE WHEN min(y) = max(y) THEN 0 ELSE regr_r2(y, x) END, 6) AS r2 FROM v WHERE n >= 10 AND d <= greatest(5, n // 2) GROUP BY run",
 )
 def asymptotic_fit(spark, sf_dir):
     return rounded(V.asymptotic_fit(hist(spark, sf_dir), K, T, R), 6, "factor", "r2")
 
 
-@on_history("stagnation", "SELECT run, round(c, 6) AS change, c < 1e-6 AS stagnating, c < 1e-3 AS slow FROM (SELECT run, avg(CASE WHEN p > 0 THEN abs(r - p) / p END) AS c FROM l WHERE back <= greatest(3, n // 5) GROUP BY run)")
+@on_history(
+    "stagnation",
+    ", t AS (SELECT *, lag(r) OVER (PARTITION BY run ORDER BY ts) AS q FROM l WHERE n >= 5 AND back <= greatest(3, n // 5)) "
+    "SELECT run, round(c, 6) AS change, c < 1e-6 AS stagnating, c < 1e-3 AS slow FROM (SELECT run, avg(CASE WHEN q > 0 THEN abs(r - q) / q END) AS c FROM t GROUP BY run)",
+)
 def stagnation(h):
     return rounded(V.stagnation(h, K, T, R), 6, "change")
 

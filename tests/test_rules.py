@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import convergence as V
 from gridloom.functions import kernels
 from gridloom.functions import statistics as S
+from gridloom.functions import student
 from gridloom.grid import Grid
 from gridloom.operators import solvers
 from gridloom.operators.preconditioners import Diagonal
@@ -145,3 +146,40 @@ def test_3d_memory_stops_below_a_thousand_points(spark):
         if points < 1000:
             break
     assert (rows[65]["levels"], rows[65]["mb"]) == (levels, total / 2**20) and rows[9]["levels"] == 1
+
+
+def test_tails_are_cut_before_changes_are_taken(spark):
+    runs = dict(drop=[100.0, 50.0, 1.0, 1.0, 1.0], four=[1.0, 1.0, 1.0, 1.0], zeros=[1.0, 1.0, 0.0, 0.0, 0.0], slow=[5.0, 5.0, 1.0, 0.9995, 0.999], fast=[8.0, 4.0, 2.0, 1.0, 0.5])
+    got = {r["run"]: r for r in V.stagnation(by_run(spark, **runs), ["run"], "k", "r").collect()}
+    assert "four" not in got and got["drop"]["change"] == 0 and got["drop"]["stagnating"] and got["drop"]["slow"]
+    assert got["zeros"]["change"] is None and got["zeros"]["stagnating"] is None and got["zeros"]["slow"] is None
+    assert got["slow"]["slow"] and not got["slow"]["stagnating"] and got["fast"]["change"] == 0.5 and not got["fast"]["slow"]
+
+
+def test_zeros_count_in_the_asymptotic_fit(spark):
+    halves = [0.5**k for k in range(8)]
+    got = {r["run"]: r for r in V.asymptotic_fit(by_run(spark, zeros=halves + [0.0] * 4, flat=[2.0] * 10, nine=halves + [0.1], least=halves + [-1.0, 0.25, 0.125]), ["run"], "k", "r").collect()}
+    y = [math.log(r + 1e-16) for r in [0.5**6, 0.5**7, 0, 0, 0, 0]]
+    x = range(6)
+    slope = sum((a - 2.5) * b for a, b in zip(x, y)) / sum((a - 2.5) ** 2 for a in x)
+    assert got["zeros"]["n"] == 12 and math.isclose(got["zeros"]["factor"], math.exp(slope)) and got["zeros"]["factor"] < 0.001
+    assert got["flat"]["r2"] == 0 and math.isclose(got["flat"]["factor"], 1) and "nine" not in got and got["least"]["n"] == 10
+
+
+def test_student(spark):
+    """Against closed forms and the integral of the density."""
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 7, 30, 31, 250, 10**7, 0)], "v double")
+    for confidence in (0.5, 0.95, 0.999):
+        rows = df.select("v", student.quantile(F.col("v"), confidence).alias("t")).withColumn("p", student.two_sided(F.col("t"), F.col("v"))).collect()
+        assert all(abs(r["p"] - (1 - confidence)) < 1e-10 for r in rows if r["v"] >= 1)
+        assert rows[-1]["t"] is None and rows[-1]["p"] is None
+    t = {r["v"]: r["t"] for r in df.select("v", student.quantile(F.col("v")).alias("t")).collect()}
+    assert math.isclose(t[1.0], 12.706204736, rel_tol=1e-9) and math.isclose(t[31.0], 2.0395134464, rel_tol=1e-9) and math.isclose(t[1e7], 1.959963985, rel_tol=2e-5)
+    for v in (3, 8, 25):
+        steps = 20_000
+        c = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+        inner = sum(c * (1 + (1.7 * (k + 0.5) / steps) ** 2 / v) ** (-(v + 1) / 2) for k in range(steps)) * 1.7 / steps * 2
+        (got,) = spark.range(1).select(student.two_sided(F.lit(-1.7), F.lit(v))).first()
+        assert math.isclose(got, 1 - inner, rel_tol=1e-7)
+    odd = spark.range(1).select(student.two_sided(F.lit(NAN), F.lit(3)), student.two_sided(F.lit(INF), F.lit(3)), student.two_sided(F.lit(0.0), F.lit(3)), student.two_sided(F.lit(None).cast("double"), F.lit(3))).first()
+    assert tuple(odd) == (None, 0.0, 1.0, None)

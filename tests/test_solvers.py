@@ -97,13 +97,16 @@ def test_policies():
     for n in (1.0, 0.99, 0.98, 0.97, 0.96):
         a.observe(n)
     assert a.at == 1 and a.norms == []
-    f = preconditioners.Flexible()
+    f = preconditioners.Flexible(G)
     for _ in range(6):
-        f.observe(0.9)
-    assert f.kind == "W" and f.before == 5
+        f.observe(0.9, 0.0)
+    assert f.kind == "W" and f.steps == 3  # three is the most
     for _ in range(6):
-        f.observe(0.1)
-    assert f.kind == "V" and f.after < 5
+        f.observe(0.1, 0.0)
+    assert f.kind == "V" and f.steps == 3  # good and quick: nothing to save
+    for _ in range(3):
+        f.observe(0.1, 0.5)
+    assert f.steps < 3
     p = Policy()
     assert p.observe(G, 1.0) == "float" and p.observe(G, 1e-6) == "double" and len(p.changes) == 2
     assert [p.for_level(n, s) for n, s in ((0, 10**9), (1, 100), (1, 10**6), (4, 10))] == ["double", "double", "float", "float"]
@@ -220,3 +223,24 @@ def test_doubled_steps_shrink_until_close(spark):
     start = g.evaluate(spark, u=lambda x, y: p.exact(x, y, F.lit(0.0)), f=lambda x, y: 0 * x)
     out, taken, following = timestep.doubled_step(start, g, 1.0, 0.1, 1e-3)
     assert taken < 0.1 and following > 0 and out.count() == 81
+    out, taken, following = timestep.doubled_step(start, g, 1.0, 0.1, 1e-30, tries=1)  # never close enough
+    assert taken == 0.1 and following == 0.025 and out.count() == 81
+
+
+def test_next_steps():
+    assert timestep.next_step(1.0, 0.5, 1.0, 1) == (True, 1.0)  # within four times: as it is
+    kept, following = timestep.next_step(1.0, 1 / 9, 1.0, 1)
+    assert kept and following == 2.0  # three times better by order, twice at most
+    kept, following = timestep.next_step(1.0, 1 / 5, 1.0, 2)
+    assert kept and following == pytest.approx(5 ** (1 / 3))
+    kept, following = timestep.next_step(1.0, 4.0, 1.0, 1)
+    assert not kept and following == pytest.approx(0.4)
+    assert timestep.next_step(1.0, 1e9, 1.0, 1) == (False, 0.25)
+
+
+def test_flexible_is_a_preconditioner(spark):
+    g = Grid(9, 9)
+    start = g.evaluate(spark, u=lambda x, y: 0 * x, f=lambda x, y: x + y)
+    flexible = preconditioners.Flexible(g)
+    out = preconditioners.conjugate_gradients(start, g, flexible, 1e-8, 20)
+    assert out.converged and len(flexible.seen) == len(out.history) + 1 and all(r > 0 and s > 0 for r, s in flexible.seen)
