@@ -94,12 +94,13 @@ def states(steps: list[Step]) -> DataFrame:
     return out
 
 
-def march_runs(runs: DataFrame, grid: Grid, dt: float, steps: int, method: str = "backward_euler", tolerance: float = 1e-9, most: int = 30) -> DataFrame:
+def march_runs(runs: DataFrame, grid: Grid, dt: float, steps: int, method: str | float = "backward_euler", tolerance: float = 1e-9, most: int = 30, want: str = "field") -> DataFrame:
     """(run_id, i, j, u) after ``steps`` implicit steps of every run (run_id, i, j, u, alpha, f, edge), one group each.
 
     f and edge are arrays with a value for each step: the source within it and the solution at its end.
+    ``method`` is a name or a theta. With want="states", (run_id, step, i, j, u) of the start and every step.
     """
-    theta = METHODS[method]
+    theta = METHODS[method] if isinstance(method, str) else method
     if theta == 0:
         raise ValueError("march_runs takes implicit methods")
     if grid.nx * grid.ny > solvers.GROUP_POINTS:
@@ -107,25 +108,35 @@ def march_runs(runs: DataFrame, grid: Grid, dt: float, steps: int, method: str =
 
     def march(pdf):
         import numpy as np
+        import pandas as pd
 
         at = pdf["i"].to_numpy(), pdf["j"].to_numpy()
         alpha, levels = float(pdf["alpha"].iloc[0]), grid.hierarchy()
-        shift = 1.0 / (theta * dt * alpha)
         u, f, edge = (np.zeros((grid.nx, grid.ny)) for _ in range(3))
         sources, edges = np.stack(pdf["f"].to_numpy()), np.stack(pdf["edge"].to_numpy())
         u[at] = pdf["u"]
+        before, states = None, [pdf.assign(step=0)[["run_id", "step", "i", "j", "u"]]]
         for n in range(steps):
             f[at], edge[at] = sources[:, n], edges[:, n]
-            right = u * shift - (1.0 - theta) / theta * kernels.apply(u, grid) + f / (theta * alpha)
+            if method == "bdf2" and before is not None:  # its first step is one of backward Euler
+                shift = 1.5 / (dt * alpha)
+                right = (2.0 * u - 0.5 * before) / (dt * alpha) + f / alpha
+            else:
+                shift = 1.0 / (theta * dt * alpha)
+                right = u * shift - (1.0 - theta) / theta * kernels.apply(u, grid) + f / (theta * alpha)
+            before = u
             edge[1:-1, 1:-1] = u[1:-1, 1:-1]
             u = edge.copy()
             for _ in range(most):
                 u = kernels.cycle(u, right, levels, shift=shift)
                 if kernels.norm(kernels.residual(u, right, grid, shift), grid) < tolerance:
                     break
-        return pdf.assign(u=u[at])[["run_id", "i", "j", "u"]]
+            if want == "states":
+                states.append(pdf.assign(step=n + 1, u=u[at])[["run_id", "step", "i", "j", "u"]])
+        return pd.concat(states) if want == "states" else pdf.assign(u=u[at])[["run_id", "i", "j", "u"]]
 
-    return runs.select("run_id", "i", "j", "u", "alpha", "f", "edge").groupBy("run_id").applyInPandas(march, "run_id string, i int, j int, u double")
+    schema = "run_id string, step int, i int, j int, u double" if want == "states" else "run_id string, i int, j int, u double"
+    return runs.select("run_id", "i", "j", "u", "alpha", "f", "edge").groupBy("run_id").applyInPandas(march, schema)
 
 
 def next_step(dt: float, error: float, tolerance: float, order: int) -> tuple[bool, float]:

@@ -279,11 +279,6 @@ def reliability(spark, sf_dir):
     return rounded(S.reliability(tests, ["solver", "platform"], ["prec"], "ok"), 6, "reliability")
 
 
-@query("mean_interval", f"WITH {BENCH} SELECT solver, count(elapsed) AS n, round(avg(elapsed), 6) AS mean, round(1.96 * stddev_samp(elapsed) / sqrt(count(elapsed)), 6) AS half_width FROM b GROUP BY solver")
-def mean_interval(spark, sf_dir):
-    return rounded(S.mean_interval(bench(spark, sf_dir), ["solver"], "elapsed"), 6, "mean", "half_width")
-
-
 @query("outlier_z", f"WITH {HIST}, m AS (SELECT run, avg(r) AS m, stddev_pop(r) AS s FROM h GROUP BY run) SELECT run, r, round(CASE WHEN s > 0 THEN (r - m) / s ELSE 0.0 END, 6) AS z, CASE WHEN s > 0 THEN abs((r - m) / s) > 2.5 ELSE false END AS outlier FROM h JOIN m USING (run)")
 def outlier_z(spark, sf_dir):
     return rounded(S.outliers(hist(spark, sf_dir), K, R, 2.5), 6, "z").select("run", "r", "z", "outlier")

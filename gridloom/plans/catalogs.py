@@ -11,7 +11,7 @@ from ..operators import boundary, solvers, timestep
 from ..sources.problems import HEAT, POISSON, POISSON_3D, SELECTIONS, gaussian
 from . import validation
 from .analytics import BENCH, bench, rounded
-from .fields import FIELD, POINTS, G, _run, g17, spectral
+from .fields import FIELD, POINTS, RUN_FIELD, G, _run, g17, march, runs17, spectral
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -208,31 +208,22 @@ def _solved(name: str, digits: int, factor: str, source: str = "f"):
     return add
 
 
-@_solved("heat_theta", 5, "pow((1 - 0.003 * lam) / (1 + 0.007 * lam), 2)", "u")
-def heat_theta(field):
-    """Two steps of 0.01 with theta 0.7."""
-    now = boundary.zero(field, G).withColumn("f", F.lit(0.0))
-    for _ in range(2):
-        now = solvers.checkpoint(timestep.theta_step(now, G, 1.0, 0.01, 0.7))
-    return now
-
-
 @_solved("solve_subdomains", 4, "1 / lam")
 def solve_subdomains(field):
     """Overlapping subdomains solved side by side until they agree."""
     return solvers.solve_subdomains(_run(field).drop("run_id"), G, tile=9, overlap=4, tolerance=1e-7).field
 
 
-LATER = " UNION ALL ".join(f"SELECT {k} AS step, {k} * 0.01::DOUBLE AS t, i, j, u FROM ({spectral('u', f'1 / pow(1 + 0.01 * lam, {k})', 5)})" for k in (1, 2))
+LATER = " UNION ALL ".join(f"SELECT {k} AS step, run_id, i, j, u FROM ({spectral('u', f'1 / pow(1 + 0.01 * lam, {k})', 5, runs=True)})" for k in (1, 2))
 #: The first state is the field itself, whose steps of 1/8192 would not survive a transform and its inverse.
-FRAMES = f"SELECT 0 AS step, 0.0::DOUBLE AS t, i, j, round(CASE WHEN i IN (0, 16) OR j IN (0, 16) THEN 0.0 ELSE u END, 5) + 0.0 AS u FROM (WITH {FIELD} SELECT * FROM g) UNION ALL {LATER}"
+FRAMES = f"SELECT 0 AS step, run_id, i, j, round(CASE WHEN i IN (0, 16) OR j IN (0, 16) THEN 0.0 ELSE u END, 5) + 0.0 AS u FROM (WITH {RUN_FIELD} SELECT * FROM g) UNION ALL {LATER}"
 
 
-@query("evolution_frames", f"SELECT step, round(t, 9) AS t, i, j, u FROM ({FRAMES})")
+@query("evolution_frames", f"SELECT step, round(step * 0.01::DOUBLE, 9) AS t, run_id, i, j, u FROM ({FRAMES})")
 def evolution_frames(spark, sf_dir) -> DataFrame:
-    """The saved states of a run as one frame, as an animation takes them."""
-    steps = timestep.run(boundary.zero(g17(spark, sf_dir), G).select("i", "j", "u"), G, 1.0, 0.01, 0.02, "backward_euler")
-    return timestep.states(steps).select("step", F.round("t", 9).alias("t"), "i", "j", (F.round("u", 5) + F.lit(0.0)).alias("u"))
+    """The states of every run as one frame, as an animation takes them."""
+    states = march(runs17(spark, sf_dir), "backward_euler", want="states")
+    return states.select("step", F.round(F.col("step") * 0.01, 9).alias("t"), "run_id", "i", "j", (F.round("u", 5) + F.lit(0.0)).alias("u"))
 
 
 DTS = (0.0002, 0.01)
