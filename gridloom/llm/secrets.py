@@ -2,20 +2,23 @@
 
 Three kinds stand alone: assignments, access key ids and long hexadecimal runs. Weak kinds
 (user names, mixed-letter blobs, endpoints) mean little by themselves. Each part is an interval
-with a role; parts of a scope, a paragraph's stretch within REACH code points, are joined by
-interval, and a weak part is reported only when a part of a complementary role lies in reach:
-an identifier needs a secret, a secret an identifier or an endpoint, and an endpoint both or a
-strong one of them. Only nearest neighbours are looked at, so no pairs of a scope are listed.
-
-Defined results: null and empty texts have no spans; offsets are code points; repeated rows
-give equal rows; spans of different kinds may overlap; other columns are left alone.
+with a role, joined to the scope that holds it: a paragraph, from one blank line to the next,
+however long. A weak part is reported only when parts of complementary roles lie in its scope: an
+identifier needs a secret, a secret an identifier or an endpoint, and an endpoint both or a
+strong one of them. Scopes keep what roles they hold, so no pairs are listed. The parts of a
+scope that links are one credential.
+
+Defined results: null and empty texts have no spans; offsets are code points; texts of any length are
+scanned whole, and so are scopes; repeated rows give equal rows; spans of different kinds may overlap;
+an empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import give_back, table
 
 KINDS = ("assign", "access", "hex", "user", "blob", "endpoint")
-REACH = 240
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _NAMES = ("passw", "secret", "token", "api")
@@ -47,56 +49,54 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-class _Role:
-    """Intervals of one role, to find whether any lies within reach of a place."""
-
-    def __init__(self, spans):
-        self.spans = sorted((s, e) for _, s, e in spans)
-        self.starts = [s for s, _ in self.spans]
-        longest = 0
-        self.reached = []  # the furthest end among the first n
-        for _, e in self.spans:
-            longest = max(longest, e)
-            self.reached.append(longest)
-
-    def near(self, start: int, end: int, first: int, last: int) -> bool:
-        """One other than (start, end) itself within REACH of it, begun in the scope [first, last)."""
-        low, high = max(first, start - REACH), min(last, end + REACH)
-        i = bisect_left(self.starts, low)
-        j = bisect_right(self.starts, high)
-        if j - i > 2:
-            return True
-        if any(x != (start, end) and x[1] >= start - REACH for x in self.spans[i:j]):
-            return True
-        return i > 0 and self.starts[i - 1] >= first and self.reached[i - 1] >= start - REACH
+#: The roles of kinds in a credential: a strong identifier or secret stands alone, a weak one does not.
+IDENTIFIERS, SECRETS, STRONG, ENDPOINTS = (1, 3), (0, 2, 4), (0, 1, 2), (5,)
+_BLANK_LINE = re.compile(r"\n[ \t]*\n")
 
 
-def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts that complementary parts confirm."""
+def linked(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[list[tuple[int, int, int]]]]:
+    """Weak parts that complementary parts of their scope confirm, and the parts of each scope that links."""
     users = [(3, *m.span()) for m in _USER.finditer(text)] if ":" in text or "=" in text else []
     ends = [(5, *m.span()) for m in _ENDPOINT.finditer(text)] if ":" in text else []
-    access = [b for b in base if b[0] == 1]
-    if not (users or ends or access):
-        return []
+    if not (users or ends or any(b[0] == 1 for b in base)):
+        return [], []
     blobs = []
     for m in _BLOB.finditer(text):
         s = m[0]
         if any(map(str.isupper, s)) and any(map(str.islower, s)) and any(map(str.isdigit, s)) and not s.startswith("AKIA"):
             blobs.append((4, *m.span()))
-    strong = [b for b in base if b[0] != 1]
-    secret, strong_secret = _Role([*strong, *blobs]), _Role(strong)
-    identifier, strong_identifier, endpoint = _Role([*access, *users]), _Role(access), _Role(ends)
-    breaks = [m.start() for m in re.finditer(r"\n[ \t]*\n", text)]
-
-    def near(role: _Role, part) -> bool:
-        i = bisect_right(breaks, part[1])
-        first, last = (breaks[i - 1] if i else 0), (breaks[i] if i < len(breaks) else len(text) + 1)
-        return role.near(part[1], part[2], first, last)
-
-    out = [p for p in users if near(secret, p)]
-    out += [p for p in blobs if near(identifier, p) or near(endpoint, p)]
-    out += [p for p in ends if near(strong_secret, p) or near(strong_identifier, p) or (near(secret, p) and near(identifier, p))]
-    return out
+    breaks = [m.start() for m in _BLANK_LINE.finditer(text)]
+    scopes: dict[int, list[tuple[int, int, int]]] = {}
+    for part in [*base, *users, *blobs, *ends]:
+        scopes.setdefault(bisect_right(breaks, part[1]), []).append(part)
+    weak, credentials = [], []
+    for _, parts in sorted(scopes.items()):
+        held = Counter(k for k, _, _ in parts)
+        at = {(s, e, k) for k, s, e in parts}
+
+        def has(kinds: tuple[int, ...], own: tuple[int, int, int]) -> bool:
+            """A part of these kinds other than one at the very same place."""
+            same = sum((own[1], own[2], k) in at for k in kinds)  # noqa: B023
+            return sum(held[k] for k in kinds) > same  # noqa: B023
+
+        found = []
+        for part in parts:
+            secret, identifier = has(SECRETS, part), has(IDENTIFIERS, part)
+            if part[0] == 3 and secret or part[0] == 4 and (identifier or has(ENDPOINTS, part)) or part[0] == 5 and (secret and identifier or has(STRONG, part)):
+                found.append(part)
+        if found:
+            weak += found
+            credentials.append(sorted([p for p in parts if p[0] in STRONG] + found, key=_by_place))
+    return weak, credentials
+
+
+def _by_place(x: tuple[int, int, int]) -> tuple[int, int, int]:
+    return x[1], x[0], x[2]
+
+
+def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Weak parts that complementary parts confirm."""
+    return linked(text, base)[0]
 
 
 def scan(text: str | None) -> tuple[list, list]:
@@ -104,8 +104,7 @@ def scan(text: str | None) -> tuple[list, list]:
     if not text:
         return [], []
     base = base_spans(text)
-    by_place = lambda x: (x[1], x[0], x[2])
-    return sorted(base, key=by_place), sorted(linked_spans(text, base), key=by_place)
+    return sorted(base, key=_by_place), sorted(linked_spans(text, base), key=_by_place)
 
 
 def span_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,16 +143,23 @@ def _written(spans) -> str:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``credentials``: the parts of each scope that links, scopes apart by a bar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [scan(t.as_py()) for t in batch.column(1)]
-            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in got], pa.int64()) for k in range(3)]
-            digest = pa.array([hashlib.sha256(_written(base).encode()).hexdigest() for base, _ in got], pa.string())
-            spans = pa.array([_written(sorted([*base, *more], key=lambda x: (x[1], x[0], x[2]))) for base, more in got], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            rows = []
+            for t in batch.column(1):
+                text = t.as_py() or ""
+                base = sorted(base_spans(text), key=_by_place)
+                more, credentials = linked(text, base)
+                rows.append((base, sorted([*base, *more], key=_by_place), credentials))
+            counts = [pa.array([sum(s[0] == k for s in r[0]) for r in rows], pa.int64()) for k in range(3)]
+            digest = pa.array([hashlib.sha256(_written(r[0]).encode()).hexdigest() for r in rows], pa.string())
+            spans, whole = pa.array([_written(r[1]) for r in rows], pa.string()), pa.array(["|".join(map(_written, r[2])) for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digest, spans, whole], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "credentials"])
 
     docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, credentials string")
 
 
 def mask(docs: DataFrame) -> DataFrame:
