@@ -25,16 +25,34 @@ def regression_check(current: DataFrame, stored: DataFrame, keys: list[str], val
     return out.withColumn("ratio", F.when(F.col("stored") > 0, F.col("now") / F.col("stored"))).withColumn("ok", F.col("ratio") <= most)
 
 
-def name_matches(names: DataFrame, terms: DataFrame, name: str = "name", term: str = "term") -> DataFrame:
-    """Names that contain any of the terms, each once; terms are an analyst's short list."""
-    return names.join(terms, F.lower(F.col(name)).contains(F.lower(F.col(term))), "left_semi")
+#: Values of a short list at most: they become part of the plan.
+SHORT = 1000
+
 
+def short_list(values: DataFrame) -> list:
+    """The distinct values of a one-column frame, checked to be few."""
+    found = [r[0] for r in values.distinct().limit(SHORT + 1).collect()]
+    if len(found) > SHORT:
+        raise ValueError(f"more than {SHORT} values; join instead")
+    return found
 
-def enumerate_configs(*parts: DataFrame) -> DataFrame:
-    """Every combination of short lists of settings, such as problems, grids and precisions."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(p)
+
+def name_matches(names: DataFrame, terms: DataFrame, name: str = "name", term: str = "term") -> DataFrame:
+    """Names that contain any of an analyst's short list of terms, each once; for long lists, ``joins.contains_join``."""
+    found = F.lit(False)
+    for t in short_list(terms.where(F.col(term).isNotNull()).select(F.lower(term))):
+        found = found | F.contains(F.lower(name), F.lit(t))
+    return names.where(found)
+
+
+def enumerate_configs(first: DataFrame, *parts: DataFrame) -> DataFrame:
+    """Every combination of the rows of a frame with short lists of settings, each a one-column frame; no join."""
+    out = first
+    for p in parts:
+        values = short_list(p)
+        kind = p.schema[0].dataType.simpleString()
+        listed = F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.expr(f"cast(array() as array<{kind}>)")
+        out = out.withColumn(p.columns[0], F.explode(listed))
     return out
 
 

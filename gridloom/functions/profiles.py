@@ -134,10 +134,10 @@ def precision_impact(runs: DataFrame, keys: list[str], precision: str, elapsed:
     return out.where("speedup IS NOT NULL")
 
 
-def predicted_factors(spark: SparkSession, before: int = 2, after: int = 2) -> DataFrame:
-    """(smoother, smoothing, two_grid) by theory."""
-    rows = [(name, mu, min(mu ** (before + after) * TRANSFER, TWO_GRID_MOST)) for name, mu in SMOOTHING.items()]
-    return spark.createDataFrame(rows, "smoother string, smoothing double, two_grid double")
+def predicted_factors(steps: DataFrame) -> DataFrame:
+    """(before, after, smoother, smoothing, two_grid) by theory, for every pair (before, after) of smoothing steps in a frame."""
+    each = F.array(*[F.struct(F.lit(name).alias("smoother"), F.lit(mu).alias("smoothing")) for name, mu in SMOOTHING.items()])
+    return steps.select("before", "after", F.inline(each)).withColumn("two_grid", F.least(F.pow("smoothing", F.col("before") + F.col("after")) * TRANSFER, F.lit(TWO_GRID_MOST)))
 
 
 def run_aggregates(runs: DataFrame, keys: list[str], metrics: list[str], iterations: str) -> DataFrame:

@@ -116,3 +116,31 @@ def hierarchy_frame(spark: SparkSession, grid: Grid, max_levels: int = 20) -> Da
     """One row of metadata for each level."""
     rows = [(level, g.nx, g.ny, g.hx, g.hy) for level, g in enumerate(grid.hierarchy(max_levels))]
     return spark.createDataFrame(rows, "level int, nx int, ny int, hx double, hy double")
+
+
+def many_points(grids: DataFrame, x0: float = 0.0, x1: float = 1.0, y0: float = 0.0, y1: float = 1.0) -> DataFrame:
+    """(nx, ny, i, j, x, y): the points of every grid (nx, ny) of a frame, over one domain."""
+    i = grids.select("nx", "ny", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("i"))
+    both = i.select("nx", "ny", "i", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)).alias("j"))
+    at = lambda a, b, k, n: F.lit(a) + F.col(k) * (F.lit(b - a) / (F.col(n) - 1))
+    return both.withColumn("x", at(x0, x1, "i", "nx")).withColumn("y", at(y0, y1, "j", "ny"))
+
+
+def many_levels(grids: DataFrame, most: int = 20, smallest: int = 3) -> DataFrame:
+    """(nx, ny, level, level_nx, level_ny): the hierarchy of every grid, halved as long as both sides can be."""
+    levels = grids.select("nx", "ny", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("level"))
+    step = F.expr("shiftleft(1, level)")
+    size = lambda n: F.expr(f"({n} - 1) div shiftleft(1, level) + 1").cast("int")
+    whole = ((F.col("nx") - 1) % step == 0) & ((F.col("ny") - 1) % step == 0) & (F.least(size("nx"), size("ny")) >= smallest)
+    return levels.where((F.col("level") == 0) | whole).select("nx", "ny", "level", size("nx").alias("level_nx"), size("ny").alias("level_ny"))
+
+
+def many_rules(grids: DataFrame) -> DataFrame:
+    """Whether each grid can be halved, its refined and clamped sizes, Jacobi's spectral radius and the over-relaxation weight on the unit square."""
+    nx, ny = F.col("nx"), F.col("ny")
+    clamped = lambda n: F.greatest(F.lit(5), F.expr(f"({n} - 1) div 2 + 1").cast("int"))
+    h = 1.0 / (F.greatest(nx, ny) - 1)
+    return grids.select(
+        "nx", "ny", ((nx % 2 == 1) & (ny % 2 == 1) & (F.least(nx, ny) >= 5)).alias("can_coarsen"), (2 * nx - 1).alias("refined_nx"), (2 * ny - 1).alias("refined_ny"), clamped("nx").alias("clamped_nx"), clamped("ny").alias("clamped_ny"),
+        (F.cos(F.pi() / (nx - 1)) * F.cos(F.pi() / (ny - 1))).alias("radius"), (2.0 / (1 + F.sin(F.pi() * h))).alias("omega"),
+    )

@@ -215,3 +215,24 @@ def fourier_symbols(spark: SparkSession, n: int, h: float) -> DataFrame:
 def column_major(points: DataFrame, grid: Grid) -> DataFrame:
     """Add ``place``, the number of a point when i runs fastest; computed, not sorted."""
     return points.withColumn("place", F.col("j").cast("long") * F.lit(grid.nx) + F.col("i"))
+
+
+def spectra(lines: DataFrame) -> DataFrame:
+    """(n, k, eigenvalue) of the 1-D Laplacian on n inner points of the unit interval, for every n of a frame."""
+    k = lines.select("n", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    h = 1.0 / (F.col("n") + 1)
+    return k.withColumn("eigenvalue", -4.0 / (h * h) * F.pow(F.sin(F.col("k") * F.pi() / (2.0 * (F.col("n") + 1))), 2))
+
+
+def conditions(lines: DataFrame) -> DataFrame:
+    """(n, condition) of the same operators: largest over least eigenvalue."""
+    return spectra(lines).groupBy("n").agg(F.abs(F.max_by("eigenvalue", "k") / F.min_by("eigenvalue", "k")).alias("condition"))
+
+
+def symbols(lines: DataFrame) -> DataFrame:
+    """(n, kx, ky, symbol, band) of minus the Laplacian with spacing 1 / n over n by n frequencies, for every n of a frame."""
+    kx = lines.select("n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("kx"))
+    both = kx.select("n", "kx", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("ky"))
+    w = lambda k: F.col(k) * F.pi() / F.col("n")
+    high = (F.col("kx") * 2 >= F.col("n")) | (F.col("ky") * 2 >= F.col("n"))
+    return both.select("n", "kx", "ky", ((4.0 - 2.0 * F.cos(w("kx")) - 2.0 * F.cos(w("ky"))) * F.col("n") * F.col("n")).alias("symbol"), F.when(high, "high").otherwise("low").alias("band"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import comparison as C
 from ..functions import convergence as V
 from ..functions import statistics as S
-from ..grid import Grid
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -339,12 +338,6 @@ def name_matches(spark, sf_dir):
     return C.name_matches(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), terms, "p_name")
 
 
-@query("enumerate_configs", "SELECT * FROM (VALUES ('trigonometric'), ('polynomial')) a(problem), (VALUES (33), (65), (129)) b(n), (VALUES ('float'), ('double')) c(prec)")
-def enumerate_configs(spark, sf_dir):
-    one = lambda values, schema: spark.createDataFrame([(v,) for v in values], schema)
-    return C.enumerate_configs(one(["trigonometric", "polynomial"], "problem string"), one([33, 65, 129], "n int"), one(["float", "double"], "prec string"))
-
-
 NOW = "(SELECT max(o_orderdate) FROM orders)"
 
 
@@ -404,25 +397,6 @@ def lru_evict(spark, sf_dir):
     return out.select("o_custkey", "o_orderkey", F.col("size").cast("double").alias("size"), F.col("freed_before").cast("double").alias("freed_before"))
 
 
-BITS = " | ".join(f"((((j >> {k}) & 1) << {2 * k}) | (((i >> {k}) & 1) << {2 * k + 1}))" for k in range(6))
-
-
-@query("morton_order", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST({BITS} AS BIGINT) AS z FROM range(33) a(i), range(33) b(j)")
-def morton_order(spark, sf_dir):
-    return Grid(33, 33).points(spark).select("i", "j", C.morton(F.col("i"), F.col("j"), 6).alias("z")).orderBy("z")
-
-
-@query("tile_traversal", "SELECT CAST(i // 8 AS INTEGER) AS bi, CAST(j // 8 AS INTEGER) AS bj, count(*) AS points, CAST(min(i) AS INTEGER) AS i0, CAST(max(i) + 1 AS INTEGER) AS i1 FROM range(33) a(i), range(33) b(j) GROUP BY ALL")
-def tile_traversal(spark, sf_dir):
-    named = Grid(33, 33).points(spark).select(F.expr("cast(i div 8 as int)").alias("bi"), F.expr("cast(j div 8 as int)").alias("bj"), "i")
-    return named.groupBy("bi", "bj").agg(F.count(F.lit(1)).alias("points"), F.min("i").alias("i0"), (F.max("i") + 1).alias("i1")).orderBy("bi", "bj")
-
-
-@query("block_adjacency", "WITH k AS (SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j FROM range(5) a(i), range(5) b(j)) SELECT p.i AS a_bi, p.j AS a_bj, q.i AS b_bi, q.j AS b_bj FROM k p JOIN k q ON (q.i = p.i + 1 AND q.j = p.j) OR (q.i = p.i AND q.j = p.j + 1)")
-def block_adjacency(spark, sf_dir):
-    return C.block_adjacency(C.blocks(Grid(33, 33).points(spark), 8))
-
-
 @query("precision_cast", "SELECT vec_id, CAST(k - 1 AS INTEGER) AS place, CAST(CAST(embedding[k] AS DOUBLE) * 0.1::DOUBLE AS FLOAT) AS v FROM embeddings, range(1, 65) t(k)")
 def precision_cast(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels, profiles
+from ..functions import profiles
 from ..grid import Grid
 from ..operators import boundary, solvers, timestep
-from ..sources.problems import HEAT, POISSON, POISSON_3D, SELECTIONS, gaussian
+from ..sources.problems import HEAT, POISSON
 from . import validation
 from .analytics import BENCH, bench, rounded
-from .fields import FIELD, POINTS, RUN_FIELD, G, _run, g17, march, runs17, spectral
+from .fields import FIELD, RUN_FIELD, G, _run, g17, march, runs17, spectral
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,31 +68,6 @@ def listed(forms: dict, source: str, keep: str) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS problem, {keep}, CAST({u} AS DOUBLE) AS u, CAST({f} AS DOUBLE) AS f FROM {source}" for n, (u, f) in forms.items())
 
 
-NINE = POINTS.format(x0=0.0, hx=0.125, y0=0.0, hy=0.125, nx=9, ny=9)
-TIMES = (0.0, 0.05, 0.1)
-_given = lambda c: F.round(c, 8) + F.lit(0.0)
-
-
-@query("poisson_catalog", f"WITH p AS ({NINE}), v AS ({listed(POISSON_SQL, 'p', 'i, j')}) SELECT problem, i, j, round(u, 8) + 0.0 AS u, round(f, 8) + 0.0 AS f FROM v")
-def poisson_catalog(spark, sf_dir):
-    runs = validation.problem_runs(spark, Grid(9, 9), list(POISSON))
-    return runs.select(F.col("run_id").alias("problem"), "i", "j", _given(F.col("exact")).alias("u"), _given(F.col("f")).alias("f"))
-
-
-@query("heat_catalog", f"WITH p AS ({NINE}), q AS (SELECT p.*, s.t FROM p, (VALUES {', '.join(f'({t!r}::DOUBLE)' for t in TIMES)}) s(t)), v AS ({listed(HEAT_SQL, 'q', 'i, j, t')}) SELECT problem, i, j, t, round(u, 8) + 0.0 AS u, round(f, 8) + 0.0 AS f FROM v")
-def heat_catalog(spark, sf_dir):
-    points = Grid(9, 9).points(spark).withColumn("t", F.explode(F.array(*[F.lit(t) for t in TIMES])))
-    at = [F.col(c) for c in "xyt"]
-    each = F.array(*[F.struct(F.lit(n).alias("problem"), _given(p.exact(*at)).alias("u"), _given(p.source(*at).cast("double")).alias("f")) for n, p in HEAT.items()])
-    return points.select("i", "j", "t", F.explode(each).alias("p")).select("p.problem", "i", "j", "t", "p.u", "p.f")
-
-
-@query("mms_3d", f"WITH p AS (SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CAST(c.k AS INTEGER) AS k, a.i / 8.0::DOUBLE AS x, b.j / 8.0::DOUBLE AS y, c.k / 8.0::DOUBLE AS z FROM range(9) a(i), range(9) b(j), range(9) c(k)), v AS ({listed(POISSON_3D_SQL, 'p', 'i, j, k')}) SELECT problem, i, j, k, round(u, 8) + 0.0 AS u, round(f, 8) + 0.0 AS f FROM v")
-def mms_3d(spark, sf_dir):
-    points = spark.range(729).select(*[F.expr(f"cast(id div {d} % 9 as int)").alias(c) for c, d in (("i", 81), ("j", 9), ("k", 1))])
-    at = [F.col(c) / F.lit(8.0) for c in "ijk"]
-    each = F.array(*[F.struct(F.lit(n).alias("problem"), _given(u(*at)).alias("u"), _given(f(*at)).alias("f")) for n, (u, f) in POISSON_3D.items()])
-    return points.select("i", "j", "k", F.explode(each).alias("p")).select("p.problem", "i", "j", "k", "p.u", "p.f")
 
 
 def direct(sizes, forms: dict) -> str:
@@ -113,18 +88,23 @@ def there(by: str, value: str, source: str) -> str:
 
 
 BACK = "d AS (SELECT problem, q.n, s.a AS i, l, sum(s * v) AS v FROM c q JOIN s ON s.n = q.n AND s.b = q.k GROUP BY ALL), e AS (SELECT problem, q.n, i, s.a AS j, sum(s * v) AS w FROM d q JOIN s ON s.n = q.n AND s.b = q.l GROUP BY ALL)"
-ERRORS = "SELECT problem, n, 1 / (n - 1)::DOUBLE AS h, round(sqrt(sum(off * off)) / (n - 1), 8) + 0.0 AS l2_error, round(max(abs(off)), 8) + 0.0 AS max_error FROM o GROUP BY problem, n"
-_rounded_errors = lambda errors: errors.select("problem", "n", "h", _given(F.col("l2_error")).alias("l2_error"), _given(F.col("max_error")).alias("max_error"))
+#: Factors of the solutions by region, as in validation.region_scales; errors follow them.
+SCALES = "k AS (SELECT n_regionkey, round(CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) / 1000, 6) AS a FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey)"
+ERRORS = (
+    f", {SCALES}, q AS (SELECT problem, n, sqrt(sum(off * off)) / (n - 1) AS l2, max(abs(off)) AS most FROM o GROUP BY problem, n) "
+    "SELECT problem || ':' || n_regionkey AS problem, n, 1 / (n - 1)::DOUBLE AS h, round(abs(a) * l2, 7) + 0.0 AS l2_error, round(abs(a) * most, 7) + 0.0 AS max_error FROM q, k"
+)
+_rounded_errors = lambda errors: errors.select("problem", "n", "h", *[(F.round(c, 7) + F.lit(0.0)).alias(c) for c in ("l2_error", "max_error")])
 
 
 @query(
     "mms_errors",
     f"WITH {direct((9, 17, 33), listed(POISSON_SQL, 'p', 'n, i, j'))}, v AS (SELECT *, f + {FOLD} AS r FROM v0 WINDOW x AS (PARTITION BY problem, n, j ORDER BY i), y AS (PARTITION BY problem, n, i ORDER BY j)), "
-    f"t AS (SELECT * FROM v WHERE {INNER}), {there('problem, q.n', 'r', 't')}, c AS (SELECT problem, n, k, l, v / ({LAM}) AS v FROM b), {BACK}, o AS (SELECT problem, n, w - u AS off FROM e JOIN t USING (problem, n, i, j)) {ERRORS}",
+    f"t AS (SELECT * FROM v WHERE {INNER}), {there('problem, q.n', 'r', 't')}, c AS (SELECT problem, n, k, l, v / ({LAM}) AS v FROM b), {BACK}, o AS (SELECT problem, n, w - u AS off FROM e JOIN t USING (problem, n, i, j)){ERRORS}",
 )
 def mms_errors(spark, sf_dir):
-    """Errors of every Poisson problem; the twin solves directly by sine transforms."""
-    return _rounded_errors(validation.error_table(spark, list(POISSON), [9, 17, 33]))
+    """Errors of every Poisson problem, scaled by region; the twin solves directly by sine transforms."""
+    return _rounded_errors(validation.error_table(spark, list(POISSON), [9, 17, 33], scales=validation.region_scales(spark, sf_dir)))
 
 
 #: Steps of backward Euler to t = 0.1 by size; the solution after N steps is a sum over the steps of each one's source.
@@ -136,35 +116,14 @@ STEPS = {9: 10, 17: 40}
     f"WITH {direct(tuple(STEPS), listed(HEAT_SQL, '(SELECT p.*, m.m, 0.1::DOUBLE * m.m / z.steps AS t, z.steps FROM p JOIN (VALUES ' + ', '.join(f'({n}, {s})' for n, s in STEPS.items()) + f') z(n, steps) USING (n), range({max(STEPS.values()) + 1}) m(m) WHERE m.m <= z.steps)', 'n, steps, m, i, j'))}, "
     f"v AS (SELECT *, CASE WHEN m = 0 THEN u ELSE (f + {FOLD}) * 0.1::DOUBLE / steps END AS r FROM v0 WINDOW x AS (PARTITION BY problem, n, m, j ORDER BY i), y AS (PARTITION BY problem, n, m, i ORDER BY j)), "
     f"t AS (SELECT * FROM v WHERE {INNER}), {there('problem, q.n, steps, m', 'r', 't')}, c AS (SELECT problem, n, k, l, sum(v * pow(1 + 0.1::DOUBLE / steps * ({LAM}), CASE WHEN m = 0 THEN -steps ELSE m - 1 - steps END)) AS v FROM b GROUP BY ALL), {BACK}, "
-    f"o AS (SELECT problem, n, w - u AS off FROM e JOIN t USING (problem, n, i, j) WHERE m = steps) {ERRORS}",
+    f"o AS (SELECT problem, n, w - u AS off FROM e JOIN t USING (problem, n, i, j) WHERE m = steps){ERRORS}",
 )
 def heat_errors(spark, sf_dir):
-    """Errors of every heat problem at t = 0.1 after backward Euler; the twin sums each mode's steps."""
-    return _rounded_errors(validation.heat_error_table(spark, list(HEAT), list(STEPS)))
-
+    """Errors of every heat problem, scaled by region, at t = 0.1 after backward Euler; the twin sums each mode's steps."""
+    return _rounded_errors(validation.heat_error_table(spark, list(HEAT), list(STEPS), scales=validation.region_scales(spark, sf_dir)))
 
-SIZES = [(9, 9), (17, 9), (10, 17), (33, 65), (4, 4), (5, 7), (129, 100)]
 
 
-@query("grid_rules", f"WITH s(nx, ny) AS (VALUES {', '.join(map(str, SIZES))}) SELECT nx, ny, nx % 2 = 1 AND ny % 2 = 1 AND nx >= 5 AND ny >= 5 AS can_coarsen, greatest(5, (nx - 1) // 2 + 1) AS clamped_nx, greatest(5, (ny - 1) // 2 + 1) AS clamped_ny, round(cos(pi() / (nx - 1)) * cos(pi() / (ny - 1)), 9) AS radius, round(2 / (1 + sin(pi() * least(1 / (nx - 1)::DOUBLE, 1 / (ny - 1)::DOUBLE))), 9) AS omega FROM s")
-def grid_rules(spark, sf_dir):
-    """Coarsening rules, Jacobi's spectral radius and the over-relaxation weight of several sizes."""
-    rows = [(g.nx, g.ny, g.can_coarsen(), g.clamped_coarsen().nx, g.clamped_coarsen().ny, kernels.spectral_radius(g), float(kernels.optimal_sor(g))) for g in (Grid(*s) for s in SIZES)]
-    return rounded(spark.createDataFrame(rows, "nx int, ny int, can_coarsen boolean, clamped_nx int, clamped_ny int, radius double, omega double"), 9, "radius", "omega")
-
-
-@query("initial_gaussian", f"WITH p AS ({POINTS.format(x0=0.0, hx=0.0625, y0=0.0, hy=0.0625, nx=17, ny=17)}) SELECT i, j, round(2 * exp(-((x - 0.5) * (x - 0.5) + (y - 0.25) * (y - 0.25)) / (2 * 0.04::DOUBLE)), 9) AS u FROM p")
-def initial_gaussian(spark, sf_dir):
-    return rounded(G.evaluate(spark, u=gaussian((0.5, 0.25), 0.2, 2.0)), 9, "u")
-
-
-@query("benchmark_selections", f"WITH s AS (SELECT 'accuracy' AS purpose, unnest(['trigonometric', 'polynomial', 'anisotropic', 'boundary_layer']) AS problem UNION ALL SELECT 'convergence', unnest(['trigonometric', 'high_frequency', 'polynomial']) UNION ALL SELECT 'scalability', unnest(['trigonometric', 'polynomial'])), p AS (SELECT 0.5::DOUBLE AS x, 0.25::DOUBLE AS y), v AS ({listed(POISSON_SQL, 'p', 'x')}) SELECT purpose, problem, round(u, 8) + 0.0 AS u FROM s JOIN v USING (problem)")
-def benchmark_selections(spark, sf_dir):
-    """The problems of each purpose, with the solution at (1/2, 1/4)."""
-    at = F.lit(0.5), F.lit(0.25)
-    rows = [F.struct(F.lit(purpose).alias("purpose"), F.lit(n).alias("problem"), _given(POISSON[n].exact(*at)).alias("u")) for purpose, names in SELECTIONS.items() for n in names]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-
 
 @query("bc_zero", f"WITH {FIELD} SELECT i, j, CASE WHEN i IN (0, 16) OR j IN (0, 16) THEN 0.0::DOUBLE ELSE u END AS u, f FROM g")
 def bc_zero(spark, sf_dir):
@@ -234,13 +193,6 @@ def stability_scan(spark, sf_dir):
     return timestep.stability_scan(boundary.zero(g17(spark, sf_dir), G).withColumn("f", F.lit(0.0)), G, 1.0, list(DTS), 8).select("dt", "stable")
 
 
-WORK = [(0.0001, 3), (0.0001, 10), (0.0001, 25), (0.002, 3)]
-
-
-@query("feedback_steps", f"WITH w(dt, iterations) AS (VALUES {', '.join(f'({d!r}::DOUBLE, {n})' for d, n in WORK)}) SELECT dt, iterations, round(least(CASE WHEN iterations < 5 THEN dt * 1.1 WHEN iterations > 20 THEN dt * 0.8 ELSE dt END, 0.0625 * 0.0625 / 4), 9) AS next_dt, round(0.9 * 0.0625 * 0.0625 / 4, 9) AS stable_dt FROM w")
-def feedback_steps(spark, sf_dir):
-    rows = [(d, n, timestep.feedback_step(d, n, G, 1.0), timestep.stable_step(G, 1.0, 0.9)) for d, n in WORK]
-    return rounded(spark.createDataFrame(rows, "dt double, iterations int, next_dt double, stable_dt double"), 9, "next_dt", "stable_dt")
 
 
 @query("run_aggregates", f"WITH {BENCH} SELECT prec, round(avg(discount), 6) AS avg_discount, round(stddev_pop(discount), 6) AS std_discount, round(avg(tax), 6) AS avg_tax, round(stddev_pop(tax), 6) AS std_tax, round(avg(size), 6) AS avg_iterations, round(stddev_pop(size), 6) AS std_iterations, max(size) AS max_iterations, min(size) AS min_iterations FROM b GROUP BY prec")

@@ -108,16 +108,3 @@ def method_comparison(spark, sf_dir):
 @query("precision_impact", f"WITH {BENCH}, o AS (SELECT platform, size, avg(CASE WHEN prec = 'F' THEN elapsed END) AS tf, avg(CASE WHEN prec = 'O' THEN elapsed END) AS tt, avg(CASE WHEN prec = 'F' THEN tax END) AS ef, avg(CASE WHEN prec = 'O' THEN tax END) AS eo FROM b GROUP BY ALL) SELECT platform, size, round(tf / tt, 6) AS speedup, round(eo / ef, 6) AS error_ratio FROM o WHERE tf / tt IS NOT NULL")
 def precision_impact(spark, sf_dir):
     return rounded(P.precision_impact(bench(spark, sf_dir), ["platform", "size"], "prec", "elapsed", "tax", "F", "O"), 6, "speedup", "error_ratio")
-
-
-@query("predicted_factors", "WITH m(smoother, smoothing) AS (VALUES ('gauss_seidel', 0.25::DOUBLE), ('jacobi', 0.5), ('red_black_gs', 0.5), ('weighted_jacobi', 0.33)) SELECT smoother, smoothing, round(least(pow(smoothing, 4) * 0.8, 0.5), 9) AS two_grid FROM m")
-def predicted_factors(spark, sf_dir):
-    return rounded(P.predicted_factors(spark), 9, "two_grid")
-
-
-CUBES = [(9, 9, 9), (17, 17, 17), (33, 33, 33), (129, 129, 129), (513, 257, 129)]
-
-
-@query("memory_3d", f"WITH RECURSIVE s(nx, ny, nz) AS (VALUES {', '.join(map(str, CUBES))}), l AS (SELECT nx, ny, nz, nx * ny * nz AS points, nx * ny * nz AS here, 0 AS level FROM s UNION ALL SELECT nx, ny, nz, points, here // 8, level + 1 FROM l WHERE level < 4 AND here // 8 >= 1000) SELECT nx, ny, nz, CAST(points AS BIGINT) AS points, count(*) AS levels, round(sum(here) * 32 / 1048576.0, 6) AS mb FROM l GROUP BY ALL")
-def memory_3d(spark, sf_dir):
-    return rounded(P.memory_3d(spark.createDataFrame(CUBES, "nx int, ny int, nz int")), 6, "mb")

@@ -18,10 +18,18 @@ def problem_field(spark: SparkSession, grid: Grid, name: str) -> DataFrame:
     return boundary.boundary(made, grid).select("i", "j", F.col("exact").alias("u"), "f", "exact").unionByName(boundary.interior(made, grid).select("i", "j", F.lit(0.0).alias("u"), "f", "exact"))
 
 
-def problem_runs(spark: SparkSession, grid: Grid, names: list[str]) -> DataFrame:
+#: Factors (key, a) of solutions and sources: a problem is solved once for each, as run name:key.
+Scales = list[tuple[str, float]]
+
+
+def _run(name: str, key: str) -> str:
+    return f"{name}:{key}" if key else name
+
+
+def problem_runs(spark: SparkSession, grid: Grid, names: list[str], scales: Scales = [("", 1.0)]) -> DataFrame:
     """(run_id, i, j, u, f, exact): the fields of several problems from one pass over the points."""
     x, y = F.col("x"), F.col("y")
-    each = F.array(*[F.struct(F.lit(n).alias("run_id"), POISSON[n].source(x, y).cast("double").alias("f"), POISSON[n].exact(x, y).cast("double").alias("exact")) for n in names])
+    each = F.array(*[F.struct(F.lit(_run(n, k)).alias("run_id"), (a * POISSON[n].source(x, y).cast("double")).alias("f"), (a * POISSON[n].exact(x, y).cast("double")).alias("exact")) for n in names for k, a in scales])
     made = grid.points(spark).select("i", "j", F.explode(each).alias("p")).select("i", "j", "p.*")
     return made.select("run_id", "i", "j", F.when(grid.inside(), 0.0).otherwise(F.col("exact")).alias("u"), "f", "exact")
 
@@ -32,12 +40,12 @@ def _errors(solved: DataFrame, grid: Grid, n: int) -> DataFrame:
     return solved.groupBy(F.col("run_id").alias("problem")).agg(F.sqrt(F.lit(grid.hx * grid.hy) * F.sum(off * off)).alias("l2_error"), F.max(F.abs(off)).alias("max_error")).select("problem", F.lit(n).alias("n"), F.lit(grid.h).alias("h"), "l2_error", "max_error")
 
 
-def error_table(spark: SparkSession, names: list[str], sizes: list[int], method: str = "V", tolerance: float = 1e-10) -> DataFrame:
+def error_table(spark: SparkSession, names: list[str], sizes: list[int], method: str = "V", tolerance: float = 1e-10, scales: Scales = [("", 1.0)]) -> DataFrame:
     """(problem, n, h, l2_error, max_error) after solving every problem on every grid; each grid's problems are solved in one job."""
     parts = []
     for n in sizes:
         grid = Grid(n, n)
-        runs = problem_runs(spark, grid, names)
+        runs = problem_runs(spark, grid, names, scales)
         solved = solvers.solve_runs(runs, grid, method, tolerance, 60, want="field")
         parts.append(_errors(solved.join(runs.select("run_id", "i", "j", "exact"), ["run_id", "i", "j"]), grid, n))
     out = parts[0]
@@ -46,7 +54,7 @@ def error_table(spark: SparkSession, names: list[str], sizes: list[int], method:
     return out
 
 
-def heat_error_table(spark: SparkSession, names: list[str], sizes: list[int], dt: float = 0.01, until: float = 0.1, method: str = "backward_euler") -> DataFrame:
+def heat_error_table(spark: SparkSession, names: list[str], sizes: list[int], dt: float = 0.01, until: float = 0.1, method: str = "backward_euler", scales: Scales = [("", 1.0)]) -> DataFrame:
     """(problem, n, h, l2_error, max_error) at ``until``; dt is the first grid's step and falls with the spacing's square, so both errors do."""
     out = None
     for n in sizes:
@@ -57,8 +65,10 @@ def heat_error_table(spark: SparkSession, names: list[str], sizes: list[int], dt
         for name in names:
             p = HEAT[name]
             over = lambda made, at: F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: made(x, y, (k + F.lit(at)) * F.lit(step)))  # noqa: B023, E731
-            fields = {"run_id": F.lit(name), "alpha": F.lit(p.alpha), "u": p.exact(x, y, F.lit(0.0)), "f": over(p.source, theta), "edge": over(p.exact, 1.0), "exact": p.exact(x, y, F.lit(until))}
-            each.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
+            for key, a in scales:
+                times = lambda made: lambda *at: a * made(*at)  # noqa: B023, E731
+                fields = {"run_id": F.lit(_run(name, key)), "alpha": F.lit(p.alpha), "u": a * p.exact(x, y, F.lit(0.0)), "f": over(times(p.source), theta), "edge": over(times(p.exact), 1.0), "exact": a * p.exact(x, y, F.lit(until))}
+                each.append(F.struct(*[v.alias(k) for k, v in fields.items()]))
         runs = grid.points(spark).select("i", "j", F.explode(F.array(*each)).alias("p")).select("i", "j", "p.*")
         solved = timestep.march_runs(runs, grid, step, steps, method)
         part = _errors(solved.join(runs.select("run_id", "i", "j", "exact"), ["run_id", "i", "j"]), grid, n)
@@ -72,7 +82,7 @@ def order_study(errors: DataFrame, least: float = 1.8, most: float = 2.2) -> Dat
     return fit.select("problem", "slope", "r2", "margin", F.col("slope").between(least, most).alias("passed"))
 
 
-def suite(spark: SparkSession, quick: bool = True) -> tuple[DataFrame, DataFrame]:
+def suite(spark: SparkSession, quick: bool = True, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(results, summary): order and rate tests of the catalogs, and their pass rates with a total row.
 
     quick takes three problems on small grids; else every Poisson and heat problem of the catalogs is a row,
@@ -81,11 +91,12 @@ def suite(spark: SparkSession, quick: bool = True) -> tuple[DataFrame, DataFrame
     names = ["trigonometric", "polynomial", "anisotropic"] if quick else list(POISSON)
     sizes = [9, 17, 33] if quick else [17, 33, 65]
     judged = lambda study, kind: study.select(F.col("problem").alias("test"), F.lit(kind).alias("kind"), F.coalesce("passed", F.lit(False)).alias("passed"), F.col("slope").alias("value"))
-    order = judged(order_study(error_table(spark, names, sizes)), "order")
+    scales = [("", scale)]
+    order = judged(order_study(error_table(spark, names, sizes, scales=scales)), "order")
     if not quick:
-        order = order.unionByName(judged(order_study(heat_error_table(spark, list(HEAT), sizes), 1.6, 2.4), "heat_order"))
+        order = order.unionByName(judged(order_study(heat_error_table(spark, list(HEAT), sizes, scales=scales), 1.6, 2.4), "heat_order"))
     grid = Grid(sizes[-1], sizes[-1])
-    history = solvers.solve_runs(problem_runs(spark, grid, names), grid, "V", 1e-9, 30)
+    history = solvers.solve_runs(problem_runs(spark, grid, names, scales), grid, "V", 1e-9, 30)
     rates = statistics.geometric_mean(convergence.ratios(history, ["run_id"], "iteration", "residual_norm").where("iteration > 1"), ["run_id"], "ratio")
     rate = rates.select(F.col("run_id").alias("test"), F.lit("rate").alias("kind"), (F.col("geometric_mean") < 0.2).alias("passed"), F.col("geometric_mean").alias("value"))
     results = solvers.checkpoint(order.unionByName(rate))
@@ -100,7 +111,18 @@ def transfer_accuracy(spark: SparkSession, grid: Grid, name: str = "trigonometri
     return stencil.norms(stencil.combine(u, back, lambda a, b: a - b), grid)
 
 
+def region_scales(spark: SparkSession, sf_dir: str) -> Scales:
+    """A factor for each region, of which there are a handful: the mean balance of its suppliers, in thousands."""
+    supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    means = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).groupBy("n_regionkey").agg(F.round(F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1)) / 1000, 6).alias("a"))
+    return [(str(r["n_regionkey"]), r["a"]) for r in means.orderBy("n_regionkey").collect()]
+
+
+def _mean_scale(spark: SparkSession, sf_dir: str) -> float:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.round(F.avg("s_acctbal") / 1000, 6)).first()[0] or 1.0
+
+
 QUERIES = {
-    "validation_suite": lambda spark, sf_dir: suite(spark, quick=False)[0],
-    "validation_summary": lambda spark, sf_dir: suite(spark, quick=False)[1],
+    "validation_suite": lambda spark, sf_dir: suite(spark, quick=False, scale=_mean_scale(spark, sf_dir))[0],
+    "validation_summary": lambda spark, sf_dir: suite(spark, quick=False, scale=_mean_scale(spark, sf_dir))[1],
 }
