@@ -167,6 +167,52 @@ def doubled_step(field: DataFrame, grid: Grid, alpha: float, dt: float, toleranc
     return both.withColumn("u", F.col("__one")).drop("__one"), taken, dt
 
 
+def march_adaptive(runs: DataFrame, grid: Grid, dt: float, until: float, tolerance: float, method: str = "backward_euler", tries: int = 10, solved_to: float = 1e-10, most: int = 60) -> DataFrame:
+    """(run_id, step, t, dt, error, tries, norm): the accepted steps of every run (run_id, i, j, u, alpha), without a source, its edge held.
+
+    Every run has a time, a step and a verdict of its own: a step is held against two half steps, as in
+    ``doubled_step``, and runs are one group each. ``norm`` is the root of the summed squares after the step.
+    """
+    theta = METHODS[method]
+    if theta == 0:
+        raise ValueError("march_adaptive takes implicit methods")
+    if grid.nx * grid.ny > solvers.GROUP_POINTS:
+        raise ValueError("too large for one group; use doubled_step")
+    order = 2 if theta == 0.5 else 1
+
+    def march(pdf):
+        import numpy as np
+        import pandas as pd
+
+        at, levels = (pdf["i"].to_numpy(), pdf["j"].to_numpy()), grid.hierarchy()
+        alpha, u = float(pdf["alpha"].iloc[0]), np.zeros((grid.nx, grid.ny))
+        u[at] = pdf["u"]
+
+        def step(u, h):
+            shift = 1.0 / (theta * h * alpha)
+            right = u * shift - (1.0 - theta) / theta * kernels.apply(u, grid)
+            for _ in range(most):
+                u = kernels.cycle(u, right, levels, shift=shift)
+                if kernels.norm(kernels.residual(u, right, grid, shift), grid) < solved_to * shift:
+                    break
+            return u
+
+        t, h, rows = 0.0, dt, []
+        while t < until - 1e-12:
+            for attempt in range(1, tries + 1):
+                taken = min(h, until - t)
+                one, two = step(u, taken), step(step(u, taken / 2), taken / 2)
+                error = float(np.sqrt(np.sum((two - one) ** 2))) / (3.0 if order == 2 else 1.0)
+                kept, h = next_step(taken, error, tolerance, order)
+                if kept:
+                    break
+            u, t = two if kept else one, t + taken
+            rows.append((pdf["run_id"].iloc[0], len(rows) + 1, t, taken, error, attempt, float(np.sqrt(np.sum(u * u)))))
+        return pd.DataFrame(rows, columns=["run_id", "step", "t", "dt", "error", "tries", "norm"])
+
+    return runs.select("run_id", "i", "j", "u", "alpha").groupBy("run_id").applyInPandas(march, "run_id string, step int, t double, dt double, error double, tries int, norm double")
+
+
 def stability_scan(field: DataFrame, grid: Grid, alpha: float, steps: list[float], count: int = 20) -> DataFrame:
     """(dt, largest, stable) of forward Euler for each dt: below 1e6 and not NaN after ``count`` steps."""
     spark, rows = field.sparkSession, []

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import convergence as V
-from ..functions import joins, scans
+from ..functions import joins, scans, variants
 from ..functions import statistics as S
-from ..operators import boundary, solvers, wavefront
+from ..operators import boundary, solvers, timestep, wavefront
 from .analytics import BENCH, _table, bench, rounded
-from .fields import FIELD, G, g17, spectral, within
+from .fields import FIELD, RUN_FIELD, G, g17, runs17, spectral, within
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,40 @@ def solve_subdomains_coarse(spark, sf_dir):
     """Sixteen overlapping tiles with a coarse level."""
     out = solvers.solve_subdomains(boundary.zero(g17(spark, sf_dir), G).select("i", "j", "u", "f"), G, 4, 4, 1e-6, 60, coarse=True)
     return out.field.select("i", "j", (F.round("u", 4) + F.lit(0.0)).alias("u"))
+
+
+#: Modes of every run, then steps of backward Euler judged by halving, until the time is reached.
+ADAPTIVE = (
+    f"WITH RECURSIVE {RUN_FIELD}, w AS (SELECT CAST(x AS INTEGER) AS a, CAST(y AS INTEGER) AS b, sin(x * y * pi() / 16) / sqrt(8.0) AS s FROM range(1, 16) p(x), range(1, 16) q(y)), "
+    f"a AS (SELECT run_id, w.b AS k, j, sum(w.s * u) AS v FROM g JOIN w ON w.a = g.i WHERE {within()} GROUP BY ALL), b AS (SELECT run_id, k, w.b AS l, sum(w.s * v) AS v FROM a JOIN w ON w.a = a.j GROUP BY ALL), "
+    "m AS MATERIALIZED (SELECT run_id, list(v ORDER BY k, l) AS c, list(1024 * (pow(sin(k * pi() / 32), 2) + pow(sin(l * pi() / 32), 2)) ORDER BY k, l) AS lam FROM b GROUP BY run_id), "
+    "r AS (SELECT run_id, 0 AS step, 0::DOUBLE AS t, 0.004::DOUBLE AS h, 0::DOUBLE AS taken, 0::DOUBLE AS error, 0 AS tries, true AS kept, c FROM m UNION ALL "
+    "SELECT run_id, step + CAST(error < 0.4 AS INTEGER), CASE WHEN error < 0.4 THEN t + taken ELSE t END, "
+    "CASE WHEN error < 0.1 THEN least(2 * taken, taken * pow(0.4 / error, 0.5)) WHEN error < 0.4 THEN taken ELSE greatest(taken / 4, 0.8 * taken * pow(0.4 / error, 0.5)) END, taken, error, CASE WHEN kept THEN 1 ELSE tries + 1 END, error < 0.4, CASE WHEN error < 0.4 THEN two ELSE c END "
+    "FROM (SELECT *, sqrt(list_sum(list_transform(range(1, len(c) + 1), lambda i: pow(two[i] - one[i], 2)))) AS error FROM ("
+    "SELECT run_id, step, t, least(h, 0.02 - t) AS taken, tries, kept, r.c, list_transform(range(1, len(r.c) + 1), lambda i: r.c[i] / (1 + lam[i] * least(h, 0.02 - t))) AS one, list_transform(range(1, len(r.c) + 1), lambda i: r.c[i] / pow(1 + lam[i] * least(h, 0.02 - t) / 2, 2)) AS two "
+    "FROM r JOIN m USING (run_id) WHERE t < 0.02 - 1e-12))) "
+    "SELECT run_id, CAST(step AS INTEGER) AS step, round(t, 6) AS t, round(taken, 6) AS dt, round(error, 4) AS error, CAST(tries AS INTEGER) AS tries, round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 4) AS norm FROM r WHERE kept AND step > 0"
+)
+
+
+@query("heat_adaptive_steps", ADAPTIVE)
+def heat_adaptive_steps(spark, sf_dir):
+    """The accepted steps of every line number's field, each run with a step of its own."""
+    runs = runs17(spark, sf_dir).withColumn("alpha", F.lit(1.0))
+    return rounded(rounded(timestep.march_adaptive(runs, G, 0.004, 0.02, 0.4), 6, "t", "dt"), 4, "error", "norm")
+
+
+@query(
+    "variant_props",
+    "WITH p AS (SELECT event_type, CASE WHEN event_id % 7 = 3 THEN '{bad' WHEN event_id % 7 = 5 THEN replace(props, '}', ', \"tag\": \"' || event_type || '\"}') ELSE props END AS props FROM events), "
+    "v AS (SELECT event_type, CASE WHEN json_valid(props) THEN props END AS j FROM p) "
+    "SELECT event_type, count(*) AS n, count(j) AS parsed, CAST(sum(CAST(j->>'$.k' AS BIGINT)) AS BIGINT) AS total, count(j->>'$.tag') AS tagged, max(j->>'$.tag') AS tag, count(TRY_CAST(j->>'$.tag' AS BIGINT)) AS numbers, count(j->>'$.none') AS missing FROM v GROUP BY event_type",
+)
+def variant_props(spark, sf_dir):
+    """Event properties as VARIANT, some of them malformed or with a further key: typed, wrongly typed and missing paths."""
+    e, kind = _table(spark, sf_dir, "events"), F.col("event_id") % 7
+    props = F.when(kind == 3, "{bad").when(kind == 5, F.replace("props", F.lit("}"), F.concat(F.lit(', "tag": "'), "event_type", F.lit('"}')))).otherwise(F.col("props"))
+    rows = variants.parsed(e.select("event_type", props.alias("props")), "props")
+    got = variants.extracted(rows, "props", {"k": ("$.k", "bigint"), "tag": ("$.tag", "string"), "number": ("$.tag", "bigint"), "none": ("$.none", "string")})
+    return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("parsed"), F.sum("k").alias("total"), F.count("tag").alias("tagged"), F.max("tag").alias("tag"), F.count("number").alias("numbers"), F.count("none").alias("missing"))

@@ -107,6 +107,37 @@ def export(df: DataFrame, path: str, kind: str = "json") -> None:
         raise ValueError(f"no such format: {kind}")
 
 
+def export_benchmarks(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """Results and summary as CSV, and all with the system's information as one JSON document, beside each other.
+
+    ``path/results`` and ``path/summary`` are CSV folders, ``path/benchmark`` one JSON line with ``system_info``,
+    ``summary`` and the number of results; results themselves stay out of it, as they may be many.
+    """
+    export(results, f"{path}/results", "csv")
+    export(summary, f"{path}/summary", "csv")
+    info = system_info(results.sparkSession).select(F.struct("*").alias("system_info"))
+    listed = summary.limit(10_000).agg(F.collect_list(F.struct("*")).alias("summary"))
+    count = results.agg(F.count(F.lit(1)).alias("results"))
+    info.join(listed).join(count).coalesce(1).write.mode("overwrite").json(f"{path}/benchmark")  # one row each
+
+
+def export_suite(results: DataFrame, summary: DataFrame, path: str) -> None:
+    """A validation suite's results as JSON lines and its report as a text file, written by Spark."""
+    export(results, f"{path}/results", "json")
+    text = report(summary, "Validation summary") + "\n" + report(results, "Tests")
+    results.sparkSession.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+
+
+def clean_streams(spark: SparkSession, root: str, prefixes: tuple[str, ...] = ("stream-", "wavelet-", "pipeline-", "job1-", "job2-")) -> int:
+    """Remove the folders under ``root`` that queries left for their results; the number removed."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in files.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith(prefixes)] if files.exists(place) else []
+    for f in found:
+        files.delete(f, True)
+    return len(found)
+
+
 def report(df: DataFrame, title: str, most: int = 200) -> str:
     """A short table as text; at most ``most`` rows come to the driver."""
     rows = df.limit(most).collect()

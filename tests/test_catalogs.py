@@ -20,7 +20,7 @@ def test_every_problem_has_its_sql():
 
 TWINS = """poisson_catalog heat_catalog mms_3d mms_errors heat_errors grid_rules grid_generate grid_coarsen grid_refine grid_evaluate initial_gaussian benchmark_selections spectrum_1d condition_number
 fourier_symbols morton_order tile_traversal block_adjacency enumerate_configs predicted_factors memory_3d feedback_steps bc_segment_gaps bc_insulated bc_radiation bc_config heat_theta solve_cg solve_subdomains
-stability_scan run_aggregates evolution_frames stagnation asymptotic_fit one_run_scans lru_evict_one_owner order_statistics_one_key range_join_first_match substring_join mean_interval student_fit gauss_seidel_wavefront""".split()
+stability_scan run_aggregates evolution_frames stagnation asymptotic_fit one_run_scans lru_evict_one_owner order_statistics_one_key range_join_first_match substring_join mean_interval student_fit gauss_seidel_wavefront heat_adaptive_steps variant_props stream_windows stream_last_values""".split()
 
 
 @pytest.mark.parametrize("name", TWINS)

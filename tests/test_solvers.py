@@ -244,3 +244,19 @@ def test_flexible_is_a_preconditioner(spark):
     flexible = preconditioners.Flexible(g)
     out = preconditioners.conjugate_gradients(start, g, flexible, 1e-8, 20)
     assert out.converged and len(flexible.seen) == len(out.history) + 1 and all(r > 0 and s > 0 for r, s in flexible.seen)
+
+
+def test_every_run_has_its_own_steps(spark):
+    g = Grid(9, 9)
+    smooth = g.evaluate(spark, u=lambda x, y: F.sin(np.pi * x) * F.sin(np.pi * y)).selectExpr("'smooth' run_id", "i", "j", "u", "1D alpha")
+    rough = g.evaluate(spark, u=lambda x, y: 40 * F.sin(5 * np.pi * x) * F.sin(3 * np.pi * y)).selectExpr("'rough' run_id", "i", "j", "u", "1D alpha")
+    for method in ("backward_euler", "crank_nicolson"):
+        rows = timestep.march_adaptive(smooth.unionByName(rough), g, 0.01, 0.05, 0.05, method).collect()
+        by = {n: sorted((r for r in rows if r["run_id"] == n), key=lambda r: r["step"]) for n in ("smooth", "rough")}
+        for steps in by.values():
+            assert steps[-1]["t"] == pytest.approx(0.05) and sum(r["dt"] for r in steps) == pytest.approx(0.05) and all(r["error"] < 0.05 for r in steps)
+        assert len(by["smooth"]) < len(by["rough"]) and max(r["tries"] for r in by["rough"]) > 1
+        lam = 4 * 64 * 2 * np.sin(np.pi / 16) ** 2
+        assert by["smooth"][-1]["norm"] == pytest.approx(4 * np.exp(-lam * 0.05), rel=0.1)
+    with pytest.raises(ValueError):
+        timestep.march_adaptive(smooth, g, 0.01, 0.05, 0.05, "forward_euler")

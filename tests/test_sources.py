@@ -65,3 +65,25 @@ def test_settings(tmp_path):
     else:
         s.write(str(tmp_path / "s.yaml"))
         assert Settings.read(str(tmp_path / "s.yaml")) == s
+
+
+def test_benchmark_and_suite_exports(spark, tmp_path):
+    import json
+
+    results = spark.createDataFrame([("a", 1.5), ("b", float("nan"))], "test string, value double")
+    summary = results.groupBy().agg(F.count("test").alias("n"), F.max("value").alias("most"))
+    tables.export_benchmarks(results, summary, str(tmp_path / "bench"))
+    assert spark.read.csv(str(tmp_path / "bench/results"), header=True).count() == 2 and spark.read.csv(str(tmp_path / "bench/summary"), header=True).count() == 1
+    (line,) = [json.loads(x) for f in (tmp_path / "bench/benchmark").glob("part-*") for x in f.read_text().splitlines()]
+    assert line["results"] == 2 and line["system_info"]["logical_cores"] >= 1 and len(line["summary"]) == 1
+    tables.export_suite(results, summary, str(tmp_path / "suite"))
+    text = spark.read.text(str(tmp_path / "suite/report")).collect()
+    assert any("Validation summary" in r[0] for r in text) and spark.read.json(str(tmp_path / "suite/results")).count() == 2
+
+
+def test_left_folders_are_removed(spark, tmp_path):
+    for name in ("stream-1", "stream-1-progress", "job2-x", "kept"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "stream-file").write_text("x")
+    assert tables.clean_streams(spark, str(tmp_path)) == 3 and sorted(p.name for p in tmp_path.iterdir()) == ["kept", "stream-file"]
+    assert tables.clean_streams(spark, str(tmp_path / "nowhere")) == 0
