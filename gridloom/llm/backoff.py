@@ -19,7 +19,8 @@ are never more rows than n-grams. A frequent n-gram reaches its partition once a
 an occurrence, so no partition is hot.
 
 Defined results: null, empty and blank texts have no words, log score 0 and no mean; repeated
-rows count each time, wherever they lie; an empty table gives no rows.
+rows count each time, wherever they lie; a very long text is a block of its own, scored whole; an empty
+table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

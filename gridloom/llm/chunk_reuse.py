@@ -7,7 +7,8 @@ go on beyond it: each join is re-encoded with a word of context on either side,
 when the context comes out as it did inside the chunks; else the whole text is encoded.
 
 Defined results: null and empty texts have no tokens; texts of any length are encoded whole,
-a chunk at a time; equal texts give equal rows; other columns are left alone.
+a chunk at a time; equal texts give equal rows; an empty table gives no rows; other columns, whatever
+their names, are left alone.
 """
 
 from __future__ import annotations

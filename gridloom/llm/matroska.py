@@ -7,7 +7,7 @@ laced blocks, clusters and cues. Broken files raise ValueError in ``parse`` and
 packets and an error text in ``packet_table``.
 
 Defined results: null and empty texts are a payload of 64 zero bytes; equal texts, equal
-files; very long texts become more clusters; other columns are left alone.
+files; very long texts become more clusters; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations

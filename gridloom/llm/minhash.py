@@ -13,7 +13,8 @@ so no link between different texts is left to the stars.
 
 Defined results: null, empty and blank texts have no shingles and are groups of their own; null
 doc ids take part but name no group unless all its ids are null; repeated rows share a group;
-an empty table gives no rows.
+very long texts are shingled whole, and a pair at exactly the threshold is linked; an empty table
+gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

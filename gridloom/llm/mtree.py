@@ -13,7 +13,7 @@ they only ever spare work. Defined results: vectors that are null, empty or hold
 non-finite components, and rows without a vec_id, take no part; shorter vectors count as padded
 with zeros; rows with the same vec_id are rows of their own, as queries and as candidates, and only
 the query's own row is left out; ties go to the smaller vec_id; fewer candidates than k are all
-returned.
+returned; an empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ packed again together.
 
 Defined results: a null or empty text is one piece with just the end id; only documents longer
 than a sequence are cut; whole pieces fill a sequence alone; repeated rows are pieces of their
-own; an empty table gives no rows.
+own; of equally full bins the one met first is taken; an empty table gives no rows; other columns,
+whatever their names, are left alone.
 """
 
 from __future__ import annotations

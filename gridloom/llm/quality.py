@@ -8,7 +8,9 @@ each with all its passages, and of these rows as many as have at most PASSAGES t
 with one doc_id the fit takes one; scores read every passage of every text.
 
 Defined results: null and empty texts are one empty passage; equal texts get equal scores; rows
-without a label are scored like others; a table without usable labels scores everything 0.5.
+without a label are scored like others; a table without usable labels scores everything 0.5; very
+long texts are scored over all their passages; repeated rows give equal rows; an empty table gives no rows;
+other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

@@ -6,14 +6,15 @@ so a child receives its weight's share. Later changes confine movement to the su
 weight changes, and keep every share right:
 
 * A gain (a new shard, or more weight for one) is a draw of its own beside the draws made
-  before it. A key moves only if the new draw beats the best it had, and then it descends into
-  the very subtree that gained; no key moves between others.
+  before it. A key moves only if the new draw beats the best it had, and then it goes to the shard
+  that gained, in one step; no key moves between others.
 * A loss (less weight for a shard, down to none; a rack or a region is lost shard by shard) lets
   a hash choose which of the shard's keys leave, and those descend again through the tree
   without it; no other key moves.
 
 Rules for odd rows: a null key is a key of its own; a null text counts zero bytes;
-repeated rows share the shard and get different slots; an empty table gives no rows.
+repeated rows share the shard and get different slots; texts of any length count whole; an empty
+table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

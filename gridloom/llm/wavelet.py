@@ -7,7 +7,8 @@ documents' ids and lengths.
 
 Defined results: a null or empty text has just the end id; documents lie in ascending doc_id
 order, nulls first, equal ids by text; a file ends after the document that fills it, so one
-very long document makes one longer file; an empty table makes no files.
+very long document makes one longer file; repeated rows are written each time; an empty table makes
+no files; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations

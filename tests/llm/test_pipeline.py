@@ -55,3 +55,27 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
     assert corpus_pipeline.run(spark, where).count() == 0
+
+
+def test_odd_rows_pass_every_stage(spark, tmp_path):
+    """Very long texts, repeats, ties at the threshold, nulls, and columns named like the stages' own."""
+    where, rng = str(tmp_path / "t"), random.Random(3)
+    tie = [f"w{n}" for n in range(40)]
+    other = [*tie[:36], *[f"z{n}" for n in range(4)]]  # 32 of 40 shingles shared: exactly 0.8
+    assert 100 * 32 == 80 * (36 + 36 - 32)
+    rows = [(1, " ".join(tie)), (2, " ".join(other)), (3, None), (4, ""), (4, ""), (None, "no id"), (5, "long " * 60_000 + "secret: abcdefghijkl99"), (6, "x" * 120_000), (7, " \n ")]
+    rows += [(100 + n, " ".join(rng.choices("alpha beta gamma delta epsilon zeta".split(), k=60))) for n in range(30)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 0.5, "k", d, 1.0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, node string, item long, predicted double")
+    docs.write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(d, d % 2, 0) for d in range(100, 130)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    docs = table(spark, where, "documents")
+    good = corpus_pipeline.keep_good(spark, docs, where)
+    one = corpus_pipeline.deduplicate(spark, docs, where).cache()
+    clean = corpus_pipeline.mask_secrets(spark, one, where)
+    assert good.columns == one.columns == clean.columns == docs.columns and good.count() <= docs.count()
+    ids = [r["doc_id"] for r in one.collect()]
+    assert 1 in ids and 2 not in ids and {3, 4, 5, 6, 7} <= set(ids)
+    assert next(r["text"] for r in clean.where("doc_id = 5").collect()).endswith("[assign]")
+    packed = corpus_pipeline.pack(spark, clean, where)
+    assert packed.where("doc_id = 5").count() > 1 and packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
+    assert corpus_pipeline.run(spark, where).count() > 0
