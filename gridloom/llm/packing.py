@@ -30,9 +30,9 @@ from .common import checkpoint, slices, table, tidy
 from .encoding import word_encoder
 
 CAPACITY = 2048
-PROBLEM = 4096  # pieces solved together, about
+PROBLEM = 32_768  # pieces solved together, about; every problem loses up to a bin, so few large ones are better
 ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 4, 30
-SEARCHES = 4  # searches of one task, about: their rows are small and their work is not
+SEARCHES = 1  # searches of one task, about: their rows are small and their work is not
 EMPTIEST, OTHERS = 0.1, 0.2  # shares of the bins that a mutation dissolves
 WORDS = 120_000  # pieces a worker's table keeps; packing follows stages whose workers hold memory already
 DISSOLVE = 0.97  # bins filled less than this are packed again
@@ -88,10 +88,13 @@ def from_bins(bins: list[list[int]], sizes: list[int], capacity: int) -> Packing
     return out
 
 
-def first_packing(sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Best fit in a random order."""
+def first_packing(sizes: list[int], capacity: int, rng: random.Random | None) -> Packing:
+    """Best fit in a random order, or, without one, by falling size."""
     out, order = Packing(sizes, capacity), list(range(len(sizes)))
-    rng.shuffle(order)
+    if rng:
+        rng.shuffle(order)
+    else:
+        order.sort(key=lambda i: -sizes[i])
     out.best_fit(order)
     return out
 
@@ -124,13 +127,18 @@ def mutate(packing: Packing, rng: random.Random) -> Packing:
     return out
 
 
-def evolve(sizes: list[int], capacity: int, population: list[list[list[int]]], seed: int, offspring: int = OFFSPRING, wanted: int = POPULATION) -> tuple[list[Packing], int]:
-    """One epoch on one island: (the population, best first; how many children were made)."""
+def evolve(sizes: list[int], capacity: int, population: list[list[list[int]]], seed: int, offspring: int = OFFSPRING, wanted: int = POPULATION, immigrant: bool = False) -> tuple[list[Packing], int]:
+    """One epoch on one island: (the population, best first; how many children were made).
+
+    With ``immigrant``, best fit by falling size joins the population, so that no result is above it.
+    """
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
     alive = [from_bins(p, sizes, capacity) for p in population]
     while len(alive) < wanted:
         alive.append(first_packing(sizes, capacity, rng))
+    if immigrant:
+        alive.append(first_packing(sizes, capacity, None))
     alive.sort(key=Packing.fitness, reverse=True)
     children = 0
     while children < offspring and len(alive[0].bins) > bound:
@@ -162,7 +170,7 @@ def _bins(flat: list[int]) -> list[list[int]]:
 STATE = "problem long, island int, sizes array<int>, population array<array<int>>, score array<long>, children int"
 
 
-def _epoch(capacity: int, number: int):
+def _epoch(capacity: int, number: int, last: bool):
     def run(batches):
         import pandas as pd
 
@@ -170,7 +178,7 @@ def _epoch(capacity: int, number: int):
             out = []
             for problem, island, sizes, population, before in zip(pdf["problem"], pdf["island"], pdf["sizes"], pdf["population"], pdf["children"], strict=True):
                 sizes = [int(s) for s in sizes]
-                alive, children = evolve(sizes, capacity, [_bins([int(x) for x in p]) for p in population], (int(problem) * 1_000 + number) * ISLANDS + int(island))
+                alive, children = evolve(sizes, capacity, [_bins([int(x) for x in p]) for p in population], (int(problem) * 1_000 + number) * ISLANDS + int(island), immigrant=last and int(island) == 0)
                 best = alive[0].fitness()
                 out.append((problem, island, sizes, [_flat(p.bins) for p in alive], [best[0], best[1]], int(before) + children))
             yield pd.DataFrame(out, columns=["problem", "island", "sizes", "population", "score", "children"])
@@ -189,7 +197,7 @@ def _evolved(items: DataFrame, capacity: int, islands: int, epochs: int) -> Data
         if n:
             elite = state.select("problem", ((F.col("island") + 1) % islands).alias("island"), F.element_at("population", 1).alias("elite"))
             state = state.join(elite, ["problem", "island"]).select("problem", "island", "sizes", F.array_union("population", F.array("elite")).alias("population"), "score", "children")
-        state = checkpoint(state.repartition(tasks, "problem", "island").mapInPandas(tidy(_epoch(capacity, n)), STATE))
+        state = checkpoint(state.repartition(tasks, "problem", "island").mapInPandas(tidy(_epoch(capacity, n, n == epochs - 1)), STATE))
     return state
 
 
@@ -221,8 +229,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, epo
     placed = judged.where("good").select("item", "length", F.lit(0).alias("turn"), "problem", "bin", "pos").unionByName(second.select("item", "length", F.lit(1).alias("turn"), "problem", "bin", "pos"))
     bins = placed.groupBy("turn", "problem", "bin").agg(F.array_sort(F.collect_list(F.struct("pos", "length", "item"))).alias("x"))
     sequence = F.shiftleft(F.col("problem"), 32) + F.col("bin").cast("long") * 2 + F.col("turn")
-    ends = F.transform(F.sequence(F.lit(1), F.size("x")), lambda n: F.aggregate(F.slice("x", 1, n - 1), F.lit(0).cast("long"), lambda a, y: a + y["length"]))
-    spread = bins.select(sequence.alias("sequence_id"), F.explode(F.arrays_zip(F.col("x.item").alias("item"), ends.alias("offset"))).alias("y"))
+    walk = F.aggregate("x", F.array().cast("array<long>"), lambda a, y: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + y["length"])))
+    spread = bins.withColumn("end", walk).select(sequence.alias("sequence_id"), F.explode(F.arrays_zip(F.col("x.item").alias("item"), F.zip_with("end", "x", lambda e, y: e - y["length"]).alias("offset"))).alias("y"))
     return full.unionByName(spread.select(F.col("y.item").alias("item"), "sequence_id", F.col("y.offset").alias("offset")))
 
 
