@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import convergence as V
 from ..functions import joins, scans, variants
 from ..functions import statistics as S
-from ..operators import boundary, solvers, timestep, wavefront
+from ..operators import boundary, quadtree, solvers, timestep, wavefront
 from .analytics import BENCH, _table, bench, rounded
 from .fields import FIELD, RUN_FIELD, G, g17, runs17, spectral, within
 
@@ -206,3 +206,27 @@ def variant_props(spark, sf_dir):
     rows = variants.parsed(e.select("event_type", props.alias("props")), "props")
     got = variants.extracted(rows, "props", {"k": ("$.k", "bigint"), "tag": ("$.tag", "string"), "number": ("$.tag", "bigint"), "none": ("$.none", "string")})
     return got.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("parsed"), F.sum("k").alias("total"), F.count("tag").alias("tagged"), F.max("tag").alias("tag"), F.count("number").alias("numbers"), F.count("none").alias("missing"))
+
+
+LIMIT = 1.0
+#: Split cells by how the field varies on their points, closed under what the neighbours need.
+QUADTREE = (
+    f"WITH RECURSIVE {FIELD}, l AS (SELECT level, CAST(power(2, 4 - level) AS INTEGER) AS size, CAST(power(2, level) AS INTEGER) AS n FROM range(4) t(level)), "
+    "s AS (SELECT level, CAST(a.ci AS INTEGER) AS ci, CAST(b.cj AS INTEGER) AS cj FROM l, range(8) a(ci), range(8) b(cj), g WHERE a.ci < n AND b.cj < n AND i BETWEEN a.ci * size AND a.ci * size + size AND j BETWEEN b.cj * size AND b.cj * size + size GROUP BY ALL "
+    f"HAVING max(u) - min(u) > {LIMIT}), "
+    "r AS (SELECT CAST(level AS INTEGER) AS level, ci, cj FROM s UNION SELECT level - 1, (ci + di) // 2, (cj + dj) // 2 FROM r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(di, dj) WHERE level > 0 AND ci + di BETWEEN 0 AND power(2, level) - 1 AND cj + dj BETWEEN 0 AND power(2, level) - 1), "
+    "k AS (SELECT level + 1 AS level, ci * 2 + a AS ci, cj * 2 + b AS cj FROM r, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b) UNION ALL SELECT 0, 0, 0), "
+    "f AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.level = k.level AND r.ci = k.ci AND r.cj = k.cj))"
+)
+
+
+@query("quadtree_leaves", f"{QUADTREE} SELECT CAST(level AS INTEGER) AS level, CAST(ci AS INTEGER) AS ci, CAST(cj AS INTEGER) AS cj, CAST(power(4, 4 - level) AS BIGINT) AS cells FROM f")
+def quadtree_leaves(spark, sf_dir):
+    """The adaptive regions of the field, in balance; the intervals must cover the square without a gap."""
+    found = quadtree.leaves(quadtree.split_cells(g17(spark, sf_dir), 4, LIMIT), 4)
+    return found.select("level", "ci", "cj", (F.col("z1") - F.col("z0")).alias("cells"))
+
+
+@query("quadtree_quality", f"{QUADTREE} SELECT CAST(level AS INTEGER) AS level, count(*) AS leaves, round(sum(power(4, -level)), 9) AS share FROM f GROUP BY level")
+def quadtree_quality(spark, sf_dir):
+    return rounded(quadtree.quality(quadtree.leaves(quadtree.split_cells(g17(spark, sf_dir), 4, LIMIT), 4), 4), 9, "share")
