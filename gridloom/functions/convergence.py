@@ -122,7 +122,10 @@ def switch_precision(history: DataFrame, keys: list[str], order: str, residual:
 
 
 def preconditioner_switch(history: DataFrame, keys: list[str], order: str, residual: str, width: int = 5, limit: float = 0.9) -> DataFrame:
-    """Add ``switch``: the last residual of a full window is above ``limit`` times its first."""
+    """Add ``switch``: the last residual of a full window is above ``limit`` times its first.
+
+    Every such row is marked; ``preconditioners.Adaptive`` is the policy that forgets its history after a switch.
+    """
     w = _window(keys, order)
     first = F.first_value(residual).over(w.rowsBetween(-(width - 1), 0))
     full = F.row_number().over(w) >= width

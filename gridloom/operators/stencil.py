@@ -69,6 +69,11 @@ def mixed_residual(field: DataFrame, grid: Grid, value: str = "u", rhs: str = "f
     return residual(wide, grid, value, rhs, out)
 
 
+def mixed_correction(field: DataFrame, value: str = "u", correction: str = "e", damping: float = 1.0) -> DataFrame:
+    """A single-precision field moved by a damped double-precision correction, in single precision."""
+    return field.withColumn(value, F.col(value).cast("float") + F.lit(damping).cast("float") * F.col(correction).cast("float"))
+
+
 def stencil_at(field: DataFrame, grid: Grid, i: int, j: int, value: str = "u", out: str = "lap") -> DataFrame:
     """The Laplacian at one inner point; only five points are read."""
     if not (1 <= i <= grid.nx - 2 and 1 <= j <= grid.ny - 2):

@@ -195,7 +195,7 @@ def mixed_residual(field):
 
 @on_field("mixed_correction", f"WITH {FIELD} SELECT i, j, CAST(u AS FLOAT) + CAST(0.7 AS FLOAT) * CAST(f AS FLOAT) AS u FROM g")
 def mixed_correction(field):
-    return field.select("i", "j", (F.col("u").cast("float") + F.lit(0.7).cast("float") * F.col("f").cast("float")).alias("u"))
+    return stencil.mixed_correction(field, "u", "f", 0.7).select("i", "j", "u")
 
 
 @on_field("restrict_injection", f"WITH {FIELD} SELECT i // 2 AS i, j // 2 AS j, u FROM g WHERE i % 2 = 0 AND j % 2 = 0")
