@@ -189,7 +189,7 @@ FIT = "count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS interce
 
 @query("loglog_fit", f"WITH {BENCH}, f AS (SELECT platform, ln(elapsed) AS y, ln(work) AS x FROM b WHERE elapsed > 0 AND work > 0), g AS (SELECT platform, {FIT} FROM f GROUP BY platform) SELECT platform, n, round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(r2, 6) AS r2, round(ssr, 3) AS ssr, round(sqrt(ssr / (n - 2) / sxx), 6) AS stderr, round(1.96 * sqrt(ssr / (n - 2) / sxx), 6) AS margin FROM g")
 def loglog_fit(spark, sf_dir):
-    return rounded(rounded(V.loglog_fit(bench(spark, sf_dir), ["platform"], "work", "elapsed"), 6, "slope", "intercept", "r2", "stderr", "margin"), 3, "ssr").drop("t_margin")
+    return rounded(rounded(V.loglog_fit(bench(spark, sf_dir), ["platform"], "work", "elapsed"), 6, "slope", "intercept", "r2", "stderr", "margin"), 3, "ssr").drop("t_margin", "p_value")
 
 
 #: Times that are NaN, infinite, zero or negative on some lines.
