@@ -33,7 +33,8 @@ def contains_join(names: DataFrame, key: str, name: str, terms: DataFrame, term:
 
     Names are indexed by their n-grams, of three letters, or of fewer where a term is shorter. A term looks up
     the rarest of its n-grams only; what is found is tested in full. ``key`` names a row of names. Null and
-    empty terms match nothing.
+    empty terms match nothing. Names and n-grams are never broadcast: a file says nothing of how many n-grams it holds,
+    so the joins are named here.
     """
     wanted = terms.select(F.lower(term).alias(term)).where(F.length(term) > 0).distinct()
     sizes = sorted(r[0] for r in wanted.select(F.least(F.length(term), F.lit(3))).distinct().collect())
@@ -47,7 +48,7 @@ def contains_join(names: DataFrame, key: str, name: str, terms: DataFrame, term:
     index = low.select("__key", F.explode(every).alias("__gram"))
     asked = wanted.select(term, F.explode(F.array_distinct(grams(term, f"least(length({term}), 3)"))).alias("__gram"))
     counts = index.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
-    rarest = asked.join(counts, "__gram", "left").groupBy(term).agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
-    found = index.join(rarest, "__gram").select("__key", term)
-    both = names.join(found, names[key] == found["__key"]).drop("__key")
+    rarest = asked.join(counts.hint("merge"), "__gram", "left").groupBy(term).agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
+    found = index.hint("merge").join(rarest, "__gram").select("__key", term)
+    both = names.hint("merge").join(found, names[key] == found["__key"]).drop("__key")
     return both.where(F.contains(F.lower(name), F.col(term)))

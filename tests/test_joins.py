@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.functions import joins
 
@@ -36,3 +37,9 @@ def test_contains_join(spark):
     assert sorted((r["id"], r["term"]) for r in got.collect()) == want and len(want) > 100
     assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
     assert joins.contains_join(a, "id", "name", b.where("false"), "term").count() == 0
+
+
+def test_contains_join_broadcasts_neither_names_nor_grams(spark):
+    names = spark.range(50).select("id", F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"))
+    got = joins.contains_join(names, "id", "name", names.select(F.right("name", F.lit(2)).alias("term")), "term")
+    assert "Broadcast" not in plan_of(got) and got.count() == 90
