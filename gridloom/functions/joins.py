@@ -24,10 +24,39 @@ def range_join(points: DataFrame, at: str, intervals: DataFrame, low: str, high:
     levels = sorted(r[0] for r in held.select("__level").distinct().collect())
     place = F.array(*[F.struct(F.lit(n).alias("__level"), F.expr(f"shiftright(bigint({at}), {n})").alias("__bin")) for n in levels]) if levels else F.expr("cast(array() as array<struct<__level:int,__bin:bigint>>)")
     spread = points.where(F.col(at).isNotNull()).select("*", F.inline(place))
-    both = spread.join(dealt, [*keys, "__level", "__bin"])
+    both = spread.hint("merge").join(dealt, [*keys, "__level", "__bin"])
     return both.where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__level", "__bin")
 
 
+def range_aggregate(points: DataFrame, at: str, intervals: DataFrame, low: str, high: str, **wanted: tuple[str, str]) -> DataFrame:
+    """The points that lie in an interval [low, high), with a column ``name=(kind, column)`` over the intervals that hold each; whole numbers.
+
+    Kinds: ``count`` (of values), ``sum``, ``min``, ``max``. The pairs are never made: an interval is cut into
+    aligned blocks, at most two of each power of two, that hold each of its numbers once; blocks are aggregated, and a
+    place adds up its one block of each size. The work follows points and intervals, however many hold a
+    point. Nulls and empty intervals match nothing.
+    """
+    if bad := [k for k, _ in wanted.values() if k not in ("count", "sum", "min", "max")]:
+        raise ValueError(f"no such aggregate: {bad}")
+    held = intervals.select(F.col(low).cast("long").alias("__low"), F.col(high).cast("long").alias("__high"), *[F.col(c).alias(f"__{n}") for n, (_, c) in wanted.items()]).where("__low < __high")
+    most = held.agg(F.max(F.length(F.bin(F.col("__high") - F.col("__low"))))).first()[0] or 0
+    first, end = "-shiftright(-__low, k)", "shiftright(__high, k)"
+    # of the whole blocks of a size inside the interval, an odd first and an odd end do not pair up into larger ones
+    blocks = (
+        f"flatten(transform(sequence(0, length(bin(__high - __low)) - 1), k -> if({first} < {end}, filter(array("
+        f"if(({first} & 1L) = 1, named_struct('__level', k, '__block', {first}), null), if(({end} & 1L) = 1, named_struct('__level', k, '__block', {end} - 1), null)), b -> b is not null), "
+        "cast(array() as array<struct<__level:int,__block:bigint>>))))"
+    )
+    names = [f"__{n}" for n in wanted]
+    some = lambda kind, c, again: (F.sum(c) if again else F.count(c)) if kind == "count" else getattr(F, kind)(c)
+    dealt = held.select(*names, F.inline(F.expr(blocks))).groupBy("__level", "__block").agg(F.count(F.lit(1)).alias("__rows"), *[some(kind, f"__{n}", False).alias(f"__{n}") for n, (kind, _) in wanted.items()])
+    places = points.select(F.col(at).cast("long").alias("__place")).where("__place IS NOT NULL").distinct()
+    asked = places.select("__place", F.explode(F.expr(f"slice(sequence(0, 63), 1, {most})")).alias("__level")).withColumn("__block", F.expr("shiftright(__place, __level)"))
+    # neither side is broadcast: a file says nothing of how many blocks come from it
+    found = asked.hint("merge").join(dealt, ["__level", "__block"]).groupBy("__place").agg(*[some(kind, f"__{n}", True).alias(n) for n, (kind, _) in wanted.items()])
+    return points.hint("merge").join(found, F.col(at).cast("long") == F.col("__place")).drop("__place")
+
+
 def contains_join(names: DataFrame, key: str, name: str, terms: DataFrame, term: str) -> DataFrame:
     """(names' columns, term): each name with each distinct term that it contains, letters in either case.
 

@@ -70,7 +70,8 @@ def range_join_first_match(spark, sf_dir):
     low = F.lit(1704067200) + F.col("o_orderkey") * 173 % 2592000
     spans = _table(spark, sf_dir, "orders").select("o_orderkey", low.alias("low"), (low + F.floor("o_totalprice") % 1800).alias("high"))
     events = _table(spark, sf_dir, "events").select("event_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("at"))
-    return joins.range_join(events, "at", spans, "low", "high").groupBy("event_id").agg(F.count(F.lit(1)).alias("held_by"), F.min("o_orderkey").alias("first"))
+    found = joins.range_aggregate(events, "at", spans, "low", "high", held_by=("count", "low"), first=("min", "o_orderkey"))
+    return found.groupBy("event_id").agg(F.sum("held_by").alias("held_by"), F.min("first").alias("first"))
 
 
 @query(
