@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import student
-from .statistics import t_quantile
+from .statistics import with_t_quantile
 
 
 def _window(keys: list[str], order: str):
@@ -190,5 +190,6 @@ def loglog_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     ssr = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
     out = sums.withColumn("ssr", ssr).withColumn("stderr", F.when(F.col("n") > 2, F.sqrt(F.col("ssr") / (F.col("n") - 2) / F.col("sxx"))))
     t = F.when(F.col("stderr") > 0, F.col("slope") / F.col("stderr")).otherwise(F.when(F.col("slope") == 0, 0.0).otherwise(float("inf")))
-    out = out.withColumn("margin", F.lit(1.96) * F.col("stderr")).withColumn("t_margin", t_quantile(F.col("n") - 2) * F.col("stderr"))
-    return out.withColumn("p_value", student.two_sided(t, F.col("n") - 2)).drop("sxx", "syy", "sxy")
+    out = with_t_quantile(out.withColumn("__freedom", F.col("n") - 2), "__freedom", "__t")
+    out = out.withColumn("margin", F.lit(1.96) * F.col("stderr")).withColumn("t_margin", F.col("__t") * F.col("stderr"))
+    return out.withColumn("p_value", student.two_sided(t, F.col("n") - 2)).drop("sxx", "syy", "sxy", "__freedom", "__t")

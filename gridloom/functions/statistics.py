@@ -14,6 +14,20 @@ def t_quantile(freedom: Column, confidence: float = 0.95) -> Column:
     return student.quantile(freedom, confidence)
 
 
+#: Tasks that share the quantiles of ``with_t_quantile``.
+QUANTILE_PARTS = 64
+
+
+def with_t_quantile(df: DataFrame, freedom: str, name: str, confidence: float = 0.95) -> DataFrame:
+    """Add ``name``, the two-sided quantile for the column ``freedom``, worked out once for each value that there is.
+
+    A quantile costs thousands of steps, and many groups share their size.
+    """
+    place = F.least(F.col(freedom).cast("double"), F.lit(float(student.MOST_FREEDOM)))
+    each = df.select(place.alias("__v")).where("__v IS NOT NULL").distinct().repartition(QUANTILE_PARTS, "__v")
+    return df.withColumn("__v", place).join(each.select("__v", t_quantile(F.col("__v"), confidence).alias(name)), "__v", "left").drop("__v")
+
+
 def timing_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value)
     return df.groupBy(*keys).agg(
@@ -105,8 +119,8 @@ def reliability(df: DataFrame, inner: list[str], outer: list[str], converged: st
 def mean_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean with its 95 % t interval, from the sample deviation."""
     out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("s"))
-    half = t_quantile(F.col("n") - 1) * F.col("s") / F.sqrt(F.col("n").cast("double"))
-    return out.select(*keys, "n", "mean", half.alias("half_width"))
+    half = F.col("__t") * F.col("s") / F.sqrt(F.col("n").cast("double"))
+    return with_t_quantile(out.withColumn("__freedom", F.col("n") - 1), "__freedom", "__t").select(*keys, "n", "mean", half.alias("half_width"))
 
 
 def outliers(df: DataFrame, keys: list[str], value: str, z: float = 3.0) -> DataFrame:

@@ -28,6 +28,12 @@ def log_gamma(z: Column) -> Column:
     return (w - 0.5) * F.log(w) - w + 0.5 * F.log(F.lit(2 * pi)) + series - F.log(product)
 
 
+def _once(f, *values: Column) -> Column:
+    """f of values that are worked out before, through a one-element array; a lambda works out a column anew at each use."""
+    given = F.array(F.struct(*[v.alias(f"v{n}") for n, v in enumerate(values)]))
+    return F.transform(given, lambda s: f(*[s[f"v{n}"] for n in range(len(values))]))[0]
+
+
 def _fraction(a: Column, b: Column, x: Column) -> Column:
     """The continued fraction of the incomplete beta function, by the modified Lentz method."""
     apart = lambda v: F.when(F.abs(v) < TINY, TINY).otherwise(v)
@@ -35,13 +41,12 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
     start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
 
     def half(s: Column, term: Column) -> Column:
-        d, c = 1 / apart(1 + term * s["d"]), apart(1 + term / s["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+        next_ = lambda h, c, d: F.struct(c.alias("c"), d.alias("d"), (h * d * c).alias("h"))
+        return _once(lambda h, c, d: next_(h, apart(c), 1 / apart(d)), s["h"], 1 + term / s["c"], 1 + term * s["d"])
 
     def step(s: Column, m: Column) -> Column:
         even = half(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
-        # the odd half reads the even one through a one-element array, so that it is worked out once
-        return F.transform(F.array(even), lambda e: half(e, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))))[0]
+        return _once(lambda e: half(e, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))), even)
 
     steps = F.transform(F.sequence(F.lit(1), F.lit(FRACTION_STEPS)), lambda m: m.cast("double"))
     return F.aggregate(steps, start, step, lambda s: s["h"])
@@ -49,6 +54,10 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
 
 def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
     """The regularised incomplete beta function of x in [0, 1]."""
+    return _once(_incomplete_beta, a, b, x)
+
+
+def _incomplete_beta(a: Column, b: Column, x: Column) -> Column:
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
     direct = front * _fraction(a, b, x) / a
     mirrored = 1 - front * _fraction(b, a, 1 - x) / b

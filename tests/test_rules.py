@@ -183,3 +183,15 @@ def test_student(spark):
         assert math.isclose(got, 1 - inner, rel_tol=1e-7)
     odd = spark.range(1).select(student.two_sided(F.lit(NAN), F.lit(3)), student.two_sided(F.lit(INF), F.lit(3)), student.two_sided(F.lit(0.0), F.lit(3)), student.two_sided(F.lit(None).cast("double"), F.lit(3))).first()
     assert tuple(odd) == (None, 0.0, 1.0, None)
+
+
+def test_quantiles_are_worked_out_once_for_each_freedom(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([3, 0, 1, 2, 7, 7, 7, 30, 10**7, 10**6])], "k int, v long")
+    got = {r["k"]: r for r in S.with_t_quantile(df, "v", "t").withColumn("own", student.quantile(F.col("v"))).collect()}
+    assert len(got) == 10 and all(r["t"] == r["own"] for r in got.values()) and got[1]["t"] is None and got[4]["t"] == got[6]["t"] > 2
+    rows = spark.range(300).select((F.col("id") % 100).alias("k"), (F.rand(1) + 1).alias("x"), (F.rand(2) + 1).alias("y"))
+    for out in (S.mean_interval(rows, ["k"], "x"), V.loglog_fit(rows, ["k"], "x", "y").drop("p_value")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        newton = [line for line in plan.splitlines() if "aggregate(sequence" in line]
+        below = plan[plan.index(newton[0]) :]
+        assert len(newton) == 1 and "RepartitionByExpression" in below and "Aggregate [__v" in below  # over distinct freedoms
