@@ -73,9 +73,17 @@ def grid_rules(spark, sf_dir):
     return rounded(grid.many_rules(sizes(spark, sf_dir)).drop("refined_nx", "refined_ny"), 9, "radius", "omega")
 
 
-@query("grid_refine", f"WITH {SIZES} SELECT nx, ny, 2 * (nx - 1) + 1 AS refined_nx, 2 * (ny - 1) + 1 AS refined_ny FROM s")
+@query(
+    "grid_refine",
+    f"WITH {SIZES}, r AS (SELECT nx, ny, 2 * (nx - 1) + 1 AS refined_nx, 2 * (ny - 1) + 1 AS refined_ny FROM s), l AS (SELECT *, unnest(range(refined_nx)) AS i FROM r), p AS (SELECT *, unnest(range(refined_ny)) AS j FROM l) "
+    "SELECT nx, ny, refined_nx, refined_ny, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(i * (1::DOUBLE / (refined_nx - 1)), 9) AS x, round(j * (1::DOUBLE / (refined_ny - 1)), 9) AS y FROM p",
+)
 def grid_refine(spark, sf_dir):
-    return grid.many_rules(sizes(spark, sf_dir)).select("nx", "ny", "refined_nx", "refined_ny")
+    """The points of every grid refined once, over the unit square."""
+    refined = grid.many_rules(sizes(spark, sf_dir)).select(F.col("refined_nx").alias("nx"), F.col("refined_ny").alias("ny"))
+    coarse = lambda n: F.expr(f"({n} + 1) div 2").cast("int").alias(n)
+    points = grid.many_points(refined).select(coarse("nx"), coarse("ny"), F.col("nx").alias("refined_nx"), F.col("ny").alias("refined_ny"), "i", "j", "x", "y")
+    return rounded(points, 9, "x", "y")
 
 
 def lines(spark, sf_dir):

@@ -35,3 +35,13 @@ def test_float_fields(spark):
     out = Grid(5, 5, dtype="float").evaluate(spark, u=lambda x, y: x + y)
     assert out.schema["u"].dataType.simpleString() == "float"
     assert hierarchy_frame(spark, Grid(9, 9)).agg(F.sum("nx")).first()[0] == 9 + 5 + 3
+
+
+def test_refined_grids_have_all_their_points(spark):
+    from gridloom.plans import grids
+
+    d = "/root/testdata/sf0.001"
+    per = {(r["nx"], r["ny"]): r for r in grids.grid_refine(spark, d).groupBy("nx", "ny", "refined_nx", "refined_ny").agg({"*": "count", "x": "max", "i": "max", "j": "max"}).collect()}
+    assert set(per) == {tuple(r) for r in grids.sizes(spark, d).collect()}
+    for (nx, ny), r in per.items():
+        assert (r["refined_nx"], r["refined_ny"], r["count(1)"]) == (2 * nx - 1, 2 * ny - 1, (2 * nx - 1) * (2 * ny - 1)) and (r["max(x)"], r["max(i)"], r["max(j)"]) == (1, 2 * nx - 2, 2 * ny - 2)
