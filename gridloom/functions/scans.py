@@ -106,17 +106,29 @@ def running(df: DataFrame, keys: list[str], order: list[str], parts: int = PARTS
 def order_statistics(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], parts: int = PARTS) -> DataFrame:
     """(keys, name…): exact percentiles of each key, interpolated between neighbours.
 
-    Equal values are counted first; ranks come from a running sum over the counts by segments of
-    the values, and only the rows that hold a wanted rank go on. No task holds a key's values.
+    Rows are counted by key and segment of the values, and only those of the segments that hold a wanted rank go on;
+    there equal values are counted, and ranks come from a running sum. No task holds a key's values, and
+    the other rows are never exchanged.
     Nulls do not count; a key of nulls alone has no row. Without keys, no values give one row of nulls.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    ranked = running(counts, keys, ["__v"], parts, __upto=("sum", "__n"), __all=("total", "__n"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    cut = rows.withColumn(SEGMENT, segment(F.col("__v"), bounds(rows, "__v", parts)))
+    every = Window.partitionBy(*keys)
+    sizes = cut.groupBy(*keys, SEGMENT).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.sum("__n").over(every.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    placed = sizes.withColumn("__all", F.sum("__n").over(every)).withColumn("__ahead", ahead).withColumn("__upto", F.col("__ahead") + F.col("__n"))
     place = {name: (F.col("__all") - 1) * F.lit(float(p)) for name, p in shares.items()}
     holds = lambda rank: (rank >= F.col("__upto") - F.col("__n")) & (rank < F.col("__upto"))
     held = F.lit(False)
     for p in place.values():
         held = held | holds(F.floor(p)) | holds(F.ceil(p))
+    wanted = placed.where(held).select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col(SEGMENT).alias("__in"), "__all", "__ahead")
+    same = F.col(SEGMENT) == F.col("__in")
+    for n, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+    counts = cut.join(wanted, same).groupBy(*keys, SEGMENT, "__all", "__ahead", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    here = Window.partitionBy(*keys, SEGMENT).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("__upto", F.col("__ahead") + F.sum("__n").over(here))
     ends = [f for n, p in place.items() for f in (F.max(F.when(holds(F.floor(p)), F.col("__v"))).alias(f"__a_{n}"), F.max(F.when(holds(F.ceil(p)), F.col("__v"))).alias(f"__b_{n}"))]
     found = ranked.where(held).groupBy(*keys).agg(F.max("__all").alias("__all"), *ends)
     share = {n: p - F.floor(p) for n, p in place.items()}

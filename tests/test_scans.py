@@ -73,3 +73,12 @@ def test_order_statistics_are_exact(spark, keys):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-12) for k in b)
     none = scans.order_statistics(df.where("false"), keys, "v", shares).collect()
     assert none == [] if keys else [tuple(r) for r in none] == [(None,) * 5]
+
+
+def test_order_statistics_exchange_only_rows_of_wanted_segments(spark):
+    rows = spark.range(20_000).select((F.col("id") % 2).alias("k"), ((F.col("id") * 7919) % 20_000).cast("double").alias("v"))
+    out = scans.order_statistics(rows, ["k"], "v", {"median": 0.5})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.count("Union") == 0  # rows meet the few wanted segments; nothing is scanned as a whole
+    want = {k: sorted((i * 7919) % 20_000 for i in range(k, 20_000, 2)) for k in (0, 1)}
+    assert {r["k"]: r["median"] for r in out.collect()} == {k: (v[4999] + v[5000]) / 2 for k, v in want.items()}
