@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, give_back, setting, table
-from .minhash import _MIX, _mix, _words, word_list
+from .common import checkpoint, give_back, setting, slices, table
+from .minhash import _BLANKS, _MIX, _mix
 
 BACKOFF = 0.4
 LEAST = 2
@@ -40,6 +41,12 @@ PARTS = 256  # hash partitions, at least
 OWNED = 16_000_000  # n-grams of a hash partition, about
 ORDER = 2
 NARROW = (1 << 31) - 1  # totals that return as an int
+SLICE = 1 << 20  # text whose words are hashed at once, about
+LONG = 64  # bytes; longer words are hashed one by one
+
+_SOLID = ~np.isin(np.arange(256), [32, *_BLANKS])  # bytes of words
+_FOLDED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)  # A-Z in lower case
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n of eight bytes
 
 
 def gram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,15 +62,51 @@ def gram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarr
     return hashes, at
 
 
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed_words`` of one array, from its bytes: no word becomes an object of its own.
+
+    A word's hash mixes its length and its bytes, folded, eight at a time.
+    """
+    import xxhash
+
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    begins, ends = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if ends[-1] else np.empty(0, np.uint8)
+    folded, solid = np.zeros(len(data) + 8, np.uint8), _SOLID[data]
+    folded[:-8] = _FOLDED[data]
+
+    first, last, full = solid.copy(), solid.copy(), begins < ends
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    first[begins[full]] = solid[begins[full]]  # words never go on in the next text
+    last[ends[full] - 1] = solid[ends[full] - 1]
+    first = np.flatnonzero(first)
+    sizes = np.flatnonzero(last) + 1 - first
+
+    eights = np.ndarray(len(data) + 1, "<u8", folded, strides=(1,))  # the eight bytes from each place on
+    with np.errstate(over="ignore"):
+        hashes = _mix(sizes.astype(np.uint64) * _MIX)
+        open_ = np.flatnonzero(sizes <= LONG)
+        for k in range(0, LONG, 8):
+            piece = eights[first[open_] + k] & _KEPT[np.minimum(sizes[open_] - k, 8)]
+            hashes[open_] = _mix(hashes[open_] * _MIX + piece)
+            open_ = open_[sizes[open_] > k + 8]
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(folded[first[i] : first[i] + sizes[i]].tobytes())
+    return hashes, np.searchsorted(first, begins)
+
+
 def hashed_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes of all texts, where each text's words begin)"""
-    starts, held, count = [], [np.empty(0, np.uint64)], 0
-    for text in texts:
-        listed = word_list(text.as_py() or "")
-        starts.append(count)
-        held.append(np.fromiter(map(_words.__getitem__, listed), np.uint64, len(listed)))
-        count += len(listed)
-    return np.concatenate(held), np.array(starts, np.int64)
+    held, starts, count = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    for batch in pa.table({"text": texts}).to_batches():
+        for part in slices(batch, 0, SLICE):
+            hashes, begins = _hashes(part.column(0))
+            held.append(hashes)
+            starts.append(begins + count)
+            count += len(hashes)
+    return np.concatenate(held), np.concatenate(starts)
 
 
 def _lists(values: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
@@ -105,32 +148,37 @@ def _scores(parts: int, order: int):
 
     def run(block: pa.Table, back: pa.Table) -> pa.Table:
         words, starts = hashed_words(block["text"])
-        ends_of = [gram_hashes(words, starts, n) for n in range(1, order + 1)]
-        every = np.concatenate([hashes for hashes, _ in ends_of])
+        ends = np.append(starts[1:], len(words))
+        every, ends_of = map(list, zip(*[gram_hashes(words, starts, n) for n in range(1, order + 1)], strict=True))
+        del words
+        every = np.concatenate(every)
         sort = np.argsort(every)
         every = every[sort]
         fresh = _runs(every)
         first = np.flatnonzero(fresh)
         totals = np.diff(first, append=len(every))  # what no other block has keeps the block's count
         cuts = _cuts(every[first], parts)
+        del first, every
         for part, at, total, large in zip(back["part"], back["at"], back["totals"], back["large"], strict=True):
             totals[cuts[part.as_py()] + at.values.to_numpy()] = total.values.to_numpy()
             for x in large.as_py():
                 totals[cuts[part.as_py()] + x["at"]] = x["total"]
+        place = np.cumsum(fresh, dtype=np.int32 if len(sort) < 1 << 31 else np.int64)
+        place -= 1
         every = np.empty(len(sort))
-        every[sort] = totals[np.cumsum(fresh) - 1]
-        of_order = np.split(every, np.cumsum([len(at) for _, at in ends_of])[:-1])
+        every[sort] = totals[place]
+        del sort, place, totals
+        of_order = np.split(every, np.cumsum([len(at) for at in ends_of])[:-1])
 
-        ends = np.append(starts[1:], len(words))
-        longest = np.minimum(np.arange(len(words)) - np.repeat(starts, ends - starts), order - 1)  # words of context
+        longest = np.minimum(np.arange(ends[-1]) - np.repeat(starts, ends - starts), order - 1)  # words of context
         shorter = of_order[0]
-        score, back = np.log(BACKOFF**longest * shorter), np.ones(len(words), bool)
+        score, back = np.log(BACKOFF**longest * shorter), np.ones(len(longest), bool)
         for n in range(2, order + 1):
-            at, count = ends_of[n - 1][1], of_order[n - 1]
+            at, count = ends_of[n - 1], of_order[n - 1]
             seen = count >= LEAST
             score[at[seen]] = np.log(BACKOFF ** (longest[at[seen]] - n + 1) * count[seen] / shorter[at[seen] - 1])
             back[at[seen]] = False
-            shorter = np.zeros(len(words))
+            shorter = np.zeros(len(longest))
             shorter[at] = count
         backs = np.concatenate([[0], np.cumsum(back)])
         sums = [float(score[a:b].sum()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

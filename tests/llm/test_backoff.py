@@ -1,7 +1,13 @@
 import math
+import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import xxhash
+
 from gridloom.llm import backoff
+from gridloom.llm.minhash import word_list
 
 from .conftest import ODD
 from .test_minhash import corpus, words_of
@@ -114,3 +120,39 @@ def test_op8(spark, sf):
     want = sorted((str(r[0]), r[1], r[2], r[3]) for r in brute_of_order(ODD, 2))
     assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3 for a, b in zip(got, want, strict=True))
     assert backoff.op8(spark, sf(empty=True)).count() == 0
+
+
+def test_hashed_words_are_the_words(monkeypatch):
+    long = ["x" * n for n in (7, 8, 9, 16, 63, 64, 65, 30000)] + ["X" * 65, "é" * 32, "é" * 33, "\0", "\0\0", "a\0", "A\0\0", "é\xa0é\u2003日本\x1c\x85b"]
+    split = ["glued", "to", "gether", "", None, "\x0b\x0c\r\n\t ", " a\tb\nc\rd\x0be\x0cf ", "A-Z @[`{ İ ſ K"]
+    texts = [t for _, t in ODD] + long + split + [" ".join(long)] + [t for _, t in corpus(5)] + [f"{i:x} w{i} {i * i}" for i in range(20000)]
+    want = [word_list(t or "") for t in texts]
+    everywhere = {w for t in want for w in t}
+    for at in (1 << 20, 1, 5000):
+        monkeypatch.setattr(backoff, "SLICE", at)
+        for kind in (pa.string(), pa.large_string()):
+            whole = pa.chunked_array([pa.array(["cut", *texts[:20]], kind)[1:], pa.array([], kind), pa.array([*texts[20:], "cut"], kind)[:-1]])
+            hashes, starts = backoff.hashed_words(whole)
+            assert starts.tolist() == np.cumsum([0, *map(len, want)])[:-1].tolist()
+            names = dict(zip((w for t in want for w in t), hashes.tolist(), strict=True))
+            assert [names[w] for t in want for w in t] == hashes.tolist()
+            assert len(set(names.values())) == len(everywhere)
+    for none in ([], [None], ["", None, " "]):
+        hashes, starts = backoff.hashed_words(pa.chunked_array([pa.array(none, pa.string())]))
+        assert len(hashes) == 0 and starts.tolist() == [0] * len(none)
+
+
+def test_words_are_hashed_without_an_object_each():
+    texts = [" ".join(f"w{i * 200 + k}" for k in range(200)) for i in range(2000)]
+    held = pa.chunked_array([pa.array(texts)])
+
+    def seconds(run):
+        taken = []
+        for _ in range(3):
+            began = time.process_time()
+            run()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    one_by_one = seconds(lambda: [xxhash.xxh3_64_intdigest(w.encode()) for t in texts for w in word_list(t)])
+    assert seconds(lambda: backoff.hashed_words(held)) < one_by_one / 2
